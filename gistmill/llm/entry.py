@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import bpe, lines, mixing, quality
+from gistmill.llm import binary, bpe, lines, mixing, quality, rankmerge
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -33,8 +33,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7(table(spark, sf_dir, "documents"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.op3(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankmerge.op10(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op5_mix_sources, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op5_mix_sources, op7_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
