@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import binary, bpe, lines, mixing, quality, rankmerge
+from gistmill.llm import binary, bpe, langmodel, lines, mixing, quality, rankmerge
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,12 +37,16 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.op3(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankmerge.op10(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op5_mix_sources, op7_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op5_mix_sources, op7_line_dedup, op9_lm_scores, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
