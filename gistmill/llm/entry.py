@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import binary, bpe, langmodel, lines, mixing, quality, rankmerge
+from gistmill.llm import binary, bpe, langmodel, linecrf, lines, mixing, quality, rankmerge
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op5_mix_sources, op7_line_dedup, op9_lm_scores, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op7_line_dedup, op9_lm_scores, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
