@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import binary, bpe, langmodel, linecrf, lines, mixing, quality, rankmerge
+from gistmill.llm import binary, bpe, langmodel, linecrf, lines, mixing, quality, rankmerge, vectors
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op7_line_dedup, op9_lm_scores, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op6_near_vectors, op7_line_dedup, op9_lm_scores, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
