@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import binary, bpe, langmodel, linecrf, lines, mixing, quality, rankmerge, vectors
+from gistmill.llm import binary, bpe, jaccard, langmodel, linecrf, lines, mixing, quality, rankmerge, vectors
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.op3(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op6_near_vectors, op7_line_dedup, op9_lm_scores, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op6_near_vectors, op7_line_dedup, op8_ngram_jaccard, op9_lm_scores, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
