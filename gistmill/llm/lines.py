@@ -7,7 +7,7 @@ so a line that a third of all documents hold is spread over all tasks, then (has
 Defined results: a null or empty text is one empty line; the key of a line has ASCII white space stripped at both
 ends and A-Z in lower case; documents of the same id count once for a line, and each such row keeps or loses its
 lines alike; null ids count as one document and never keep a hot line unless no other id has it; other columns
-are not read.
+are carried on request, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,19 +32,20 @@ def hash_of(line: Column, min_chars: int) -> Column:
     return F.when((F.length(line) >= min_chars) & (F.length(F.btrim(line, F.lit(SPACE_CHARS))) >= min_chars), pair)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """id, text (whole), n_lines, n_dropped and kept_text for each row of docs."""
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text and the carried columns (as a struct, row) for each row of docs."""
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.lit(None).cast("struct<c0:int>")
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), row.alias("row"))
     lines = F.split("text", "\n")
     held = base.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform(lines, lambda x: hash_of(x, min_chars)), lambda h: h.isNotNull()))).alias("h"))
     held = held.select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     hot = held.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     lose = held.join(hot.select("a", "b", "keeper"), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lose.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    both = base.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.doc_id", "d.text", "l.lost")
+    both = base.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.doc_id", "d.text", "d.row", "l.lost")
     keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), hash_of(x, min_chars)), F.lit(False)))
     both = both.withColumn("kept", F.when(F.col("lost").isNull(), lines).otherwise(keep))
-    return both.select("doc_id", "text", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+    return both.select("doc_id", "row", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -57,36 +57,35 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), quality: Column | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs (times taken) and the carried columns, one row a document."""
+    """doc_id, size, source_size, target, taken, epochs (times taken) and the carried columns (as a struct, row), one row a document."""
     text, source = docs[text_col], docs[source_col].cast("string")
     # a double in (0, 1] of 53 hash bits, and the key it gives
     u = (F.shiftrightunsigned(F.xxhash64(docs[id_col], F.lit(seed)), 11).cast("double") + 1.0) / F.lit(2.0**53)
     base = docs.select(
         docs[id_col].alias("doc_id"),
-        source.alias("source_key"),
+        F.coalesce(source, F.lit("")).alias("source_key"),
         source.isNull().cast("int").alias("null_last"),
         size_of(text).alias("size"),
         (-F.log(u) / (quality if quality is not None else quality_of(text))).alias("key"),
         F.xxhash64(text).alias("tie"),
-        *[docs[c].alias(f"_{c}") for c in carry],
+        (F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.lit(None).cast("struct<c0:int>")).alias("row"),
     )
     # the key's bin: 1 - exp(-key) spreads unit-quality keys evenly, and rises with the key for any quality
     base = base.withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * BINS).cast("int"))
-    bins = base.groupBy("source_key", "null_last", "bin").agg(F.sum("size").alias("bin_size"))
-    by_source = bins.groupBy("source_key", "null_last").agg(F.sum("bin_size").alias("source_size"))
-    same = F.col("b.source_key").eqNullSafe(F.col("t.source_key"))
-    before = W.partitionBy("source_key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    placed = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
-    placed = placed.alias("b").join(targets(by_source).alias("t"), same).select("b.source_key", "b.bin", "b.before", "t.source_size", "t.target")
-    here = F.col("d.source_key").eqNullSafe(F.col("p.source_key")) & (F.col("d.bin") == F.col("p.bin"))
-    rows = base.alias("d").join(placed.alias("p"), here).select("d.*", "p.before", "p.source_size", "p.target")
-    inside = W.partitionBy("source_key", "bin").orderBy("key", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
+    named, binned = ["source_key", "null_last"], ["source_key", "null_last", "bin"]
+    bins = base.groupBy(*binned).agg(F.sum("size").alias("bin_size"))
+    by_source = bins.groupBy(*named).agg(F.sum("bin_size").alias("source_size"))
+    before = W.partitionBy(*named).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    placed = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).drop("bin_size").join(targets(by_source), named)
+    # the join and the window deal rows by the same three keys, so a document moves once
+    rows = base.join(placed, binned)
+    inside = W.partitionBy(*binned).orderBy("key", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - whole * F.col("source_size")
     again = (F.col("size") > 0) & (F.col("at") + F.col("size") / 2.0 <= rest)
     epochs = (whole + again.cast("int")).cast("long")
-    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (epochs * F.col("size")).alias("taken"), epochs.alias("epochs"), *[F.col(f"_{c}").alias(f"carry_{c}") for c in carry])
+    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (epochs * F.col("size")).alias("taken"), epochs.alias("epochs"), "row")
 
 
 def op5(docs: DataFrame) -> DataFrame:
