@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A block closes at so many bytes of text or documents; a single longer document is a block of its own.
-BLOCK_BYTES, BLOCK_DOCS = 24_000_000, 40_000
+BLOCK_BYTES, BLOCK_DOCS = 32_000_000, 60_000
 ROW = "block string, kind int, bucket int, payload binary"
 ARROW = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-ZSTD = pa.Codec("zstd", 3)
+ZSTD = pa.Codec("zstd", 9)
 
 
 def tune(spark: SparkSession) -> None:
@@ -61,6 +61,31 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_codes(codes: np.ndarray) -> list[np.ndarray]:
+    """Codes as streams that compress well: a byte for the 255 most frequent, then two bytes, then four for the rest."""
+    n = np.bincount(codes) if len(codes) else np.empty(0, np.int64)
+    order = np.argsort(-n, kind="stable").astype(np.int32)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    rank = rank[codes]
+    rest = rank[rank >= 255] - 255
+    return [order[: 65535 + 255].copy(), np.minimum(rank, 255).astype(np.uint8), np.minimum(rest, 65535).astype(np.uint16), order[rest[rest >= 65535] + 255]]
+
+
+def unpack_codes(order: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The codes that pack_codes() took; its last stream holds codes themselves."""
+    out = np.empty(len(low), np.int32)
+    first = low < 255
+    out[first] = order[low[first]]
+    rest = np.empty(len(mid), np.int32)
+    near = mid < 65535
+    rest[~near] = high
+    at = mid[near].astype(np.int64) + 255
+    rest[near] = order[at]
+    out[~first] = rest
+    return out
+
+
 def ragged_take(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows index of a ragged array: (lengths, values)."""
     lengths = (offsets[1:] - offsets[:-1])[index]
@@ -91,22 +116,30 @@ def array_to_ids(ids: np.ndarray, valid: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=valid == 0)
 
 
+def partition() -> int:
+    return TaskContext.get().partitionId() if TaskContext.get() else 0
+
+
+def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """(id, text) of each row of texts()."""
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
 def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list[bytes]]]:
     """(block name, ids, texts) of bounded size, in the order of the rows."""
     ids: list = []
     held: list[bytes] = []
     size = n = 0
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held and (size + len(t) > BLOCK_BYTES or len(held) >= BLOCK_DOCS):
-                yield f"{part}-{n}", ids, held
-                ids, held, size, n = [], [], 0, n + 1
-            ids.append(i)
-            held.append(t)
-            size += len(t)
+    for i, t in pairs(batches):
+        if held and (size + len(t) > BLOCK_BYTES or len(held) >= BLOCK_DOCS):
+            yield f"{partition()}-{n}", ids, held
+            ids, held, size, n = [], [], 0, n + 1
+        ids.append(i)
+        held.append(t)
+        size += len(t)
     if held:
-        yield f"{part}-{n}", ids, held
+        yield f"{partition()}-{n}", ids, held
 
 
 def word_bucket(words: list[bytes], n: int) -> np.ndarray:

@@ -69,18 +69,33 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_blocks(n_buckets: int):
+    def packed(name: str, ids: list, lengths: list[int], codes: list[np.ndarray], table: B.Codes) -> Iterator[pa.RecordBatch]:
+        words = list(table)
+        bucket = B.word_bucket(words, n_buckets)
+        flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32) if n_buckets - 1 <= np.iinfo(k).max)
+        yield from B.rows(name, 0, [(0, B.pack(*B.ids_to_array(ids), np.array(lengths, np.int32), bucket.astype(kind), *B.pack_codes(flat)))])
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        for b in range(n_buckets):
+            if cuts[b] < cuts[b + 1]:
+                raw = b"\n".join(words[k] for k in order[cuts[b] : cuts[b + 1]])
+                yield from B.rows(name, 1, [(b, B.ZSTD.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little"))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, texts in B.blocked(batches):
-            table = B.Codes()
-            per_doc = [np.fromiter(map(table.__getitem__, words), np.int32, len(words)) for words in map(bytes.split, texts)]
-            words = list(table)
-            bucket = B.word_bucket(words, n_buckets)
-            lengths = np.array([len(x) for x in per_doc], np.int32)
-            codes = np.concatenate(per_doc) if per_doc else np.empty(0, np.int32)
-            yield from B.rows(name, 0, [(0, B.pack(*B.ids_to_array(ids), lengths, codes, bucket.astype(np.uint16 if n_buckets < 65536 else np.uint32)))])
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            yield from B.rows(name, 1, [(b, B.ZSTD.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")) for b in range(n_buckets) if cuts[b] < cuts[b + 1] for raw in [b"\n".join(words[k] for k in order[cuts[b] : cuts[b + 1]])]])
+        part, n = B.partition(), 0
+        ids, lengths, codes, table, size = [], [], [], B.Codes(), 0
+        for i, raw in B.pairs(batches):
+            if ids and (size + len(raw) > B.BLOCK_BYTES or len(ids) >= B.BLOCK_DOCS):
+                yield from packed(f"{part}-{n}", ids, lengths, codes, table)
+                ids, lengths, codes, table, size, n = [], [], [], B.Codes(), 0, n + 1
+            words = raw.split()
+            ids.append(i)
+            lengths.append(len(words))
+            codes.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+            size += len(raw)
+        if ids:
+            yield from packed(f"{part}-{n}", ids, lengths, codes, table)
 
     return run
 
@@ -110,7 +125,8 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, parts in B.grouped(batches, "block"):
         if parts[0]["kind"] != 0:
             raise ValueError(f"block {block} has answers but no documents")
-        ids, valid, lengths, codes, bucket = B.unpack(parts[0]["payload"])
+        ids, valid, lengths, bucket, *streams = B.unpack(parts[0]["payload"])
+        codes = B.unpack_codes(*streams)
         order = np.argsort(bucket, kind="stable")  # words in the order of the answers
         answers = [B.unpack(p["payload"]) for p in parts[1:]]
         n = np.concatenate([a[0] for a in answers]) if answers else np.empty(0, np.uint32)
