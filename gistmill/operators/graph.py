@@ -15,17 +15,28 @@ MAX_TOPIC, MIN_TOPIC, SEED = 40, 3, 7
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id each id of the edges (a, b) reaches. Minimum labels and pointer jumps, one checkpoint a round."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    now = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "id")
-        step = now.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = step.alias("x").join(now.alias("y"), F.col("x.root") == F.col("y.id")).select("x.id", "x.old", F.least("x.root", "y.root").alias("root"))
-        step = durable(jump)
-        now = step.select("id", "root")
-        if not step.where("root < old").limit(1).count():
-            return now
+    """(id, root): the smallest id that each id of the edges (a, b) reaches. Loops and repeats do no harm.
+
+    Contraction: every node adopts its least neighbour if that is smaller, pointers jump once, and the edges are
+    rewritten between what their ends adopted; those inside one node vanish. Each round leaves at most half the nodes
+    of every component that is not yet one node, and of star-like components next to none, so rounds are few and get
+    cheap. Minima are partial before the shuffle, the joins are inner equi-joins that adaptive execution can split,
+    each round is cut with a checkpoint, and nothing is collected but whether an edge is left.
+    """
+    left = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    adopted: list[DataFrame] = []
+    while left.limit(1).count() or not adopted:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+        step = durable(near.alias("x").join(near.alias("y"), F.col("x.root") == F.col("y.id")).select("x.id", "y.root"))
+        adopted.append(step)
+        moved = left.join(step.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        left = durable(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    now = adopted[0]
+    for step in adopted[1:]:
+        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        now = now.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+    return durable(now) if len(adopted) > 1 else now
 
 
 def _rounds(nodes: DataFrame) -> int:

@@ -10,6 +10,7 @@ N, document counts and the average length cover the whole index; labels and sour
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,10 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TERM_PARTITIONS = 64
 
 
+def _and_is(word: str) -> Callable[[Column, Column], Column]:
+    return lambda hit, token: F.coalesce(hit & (token == word), F.lit(False))
+
+
 def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
     """How often the tokens of a phrase stand side by side."""
     if len(phrase) == 1:
@@ -29,7 +34,7 @@ def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
     hits = F.transform(tokens, lambda t: t == phrase[0])
     for k, word in enumerate(phrase[1:], start=1):
         shifted = F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1)))
-        hits = F.zip_with(hits, shifted, lambda h, t, w=word: F.coalesce(h & (t == w), F.lit(False)))
+        hits = F.zip_with(hits, shifted, _and_is(word))
     return F.size(F.filter(hits, lambda h: h))
 
 
