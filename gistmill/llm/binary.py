@@ -7,7 +7,7 @@ shared folder, in ascending document order: rows are dealt by range of the id, s
 into shards of bounded size; `first` is the shard's place in the whole sequence.
 
 Encoding: the text is cut at ASCII white space so that no pre-token of the byte-level pattern is cut (a single space
-goes with the word after it), and each distinct piece of a worker's documents is encoded once. Texts with other white
+goes with the word after it), and each distinct piece of a worker's documents is encoded once, by the file's ranks. Texts with other white
 space or special strings are encoded whole.
 
 Defined results: a null or empty text is the end id alone; null ids sort first; repeated ids keep all their rows in
@@ -17,6 +17,7 @@ the order of their texts' hashes; other columns are not read; an empty table wri
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gistmill.llm import blocks as B
-from gistmill.llm.bpe import encode_words, tokenizer
+from gistmill.llm.bpe import tokenizer
 from gistmill.session import shared_dir
 
 MAGIC, END_ID = b"TOKPACK1", 0
@@ -104,6 +105,28 @@ class Shard:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1] - self.offsets[k]))
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: visible bytes are their own letter, the others
+    take the code points from 256 on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=2)
+def piece_encoder(path: str):
+    """An encoder of pieces from the tokenizer file's own vocabulary, whose ids rise with the merges: the same ids as
+    the tokenizer gives, several times as fast."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @functools.lru_cache(maxsize=2)
 def specials(path: str) -> tuple[bytes, ...]:
     return tuple(t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values())
@@ -130,8 +153,11 @@ class Pieces:
             else:
                 pieces = PIECE.findall(raw)
                 codes.append(np.fromiter(map(self.table.__getitem__, pieces), np.int64, len(pieces)))
-        n, got = encode_words([p.decode("utf-8", "replace") for p in list(self.table)[len(self.lengths) :]], self.path)
-        self.lengths, self.flat = np.concatenate([self.lengths, n]), np.concatenate([self.flat, got])
+        encoder = piece_encoder(self.path)
+        made = [encoder.encode_ordinary(p.decode("utf-8", "replace")) for p in list(self.table)[len(self.lengths) :]]
+        n = np.fromiter(map(len, made), np.int64, len(made))
+        self.lengths = np.concatenate([self.lengths, n])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in made for i in x), np.int64, int(n.sum()))])
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         whole = tokenizer(self.path)
         return [np.array(whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64) if c is None else B.ragged_take(self.offsets, self.flat, c)[1] for c, raw in zip(codes, texts, strict=True)]
