@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from gistmill.functions import ids
 from gistmill.functions import text as X
@@ -151,29 +153,21 @@ def linked_mentions(texts: DataFrame, names: list[str], text_col: str = "text")
     return texts.withColumn("found", find(text_col))
 
 
-def hash_embedder(texts: Iterator[pd.Series], size: int = 32) -> Iterator[pd.Series]:
+def embed_text(text: str | None, size: int = 32) -> list[float]:
     """The offline default embedder: words counted in slots by their SHA-256, unit length."""
-    import hashlib
-    import math
+    v = [0.0] * size
+    for word in X.fold_text(text or ""):
+        v[int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % size] += 1.0
+    n = math.sqrt(sum(x * x for x in v))
+    return [x / n for x in v] if n else v
 
-    for part in texts:
-        out = []
-        for text in part:
-            v = [0.0] * size
-            for word in X.fold_text(text or ""):
-                v[int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % size] += 1.0
-            n = math.sqrt(sum(x * x for x in v))
-            out.append([x / n for x in v] if n else v)
-        yield pd.Series(out)
+
+@F.pandas_udf(ArrayType(FloatType()))
+def embedded(texts: pd.Series) -> pd.Series:
+    return texts.map(embed_text)
 
 
 def embed(rows: DataFrame, cache: DataFrame, model: str = "hash", text_col: str = "text") -> DataFrame:
     """The cache (model, text_hash, vector) with vectors of the texts it lacked, each distinct text embedded once."""
-    make = F.pandas_udf("array<float>")(_embed_series)
     new = rows.select(ids.text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")).dropDuplicates(["text_hash"]).join(cache.where(F.col("model") == model).select("text_hash"), "text_hash", "left_anti")
-    return cache.unionByName(new.select(F.lit(model).alias("model"), "text_hash", make("text").alias("vector")))
-
-
-def _embed_series(texts: pd.Series) -> pd.Series:
-    """hash_embedder for one series."""
-    return next(hash_embedder(iter([texts])))
+    return cache.unionByName(new.select(F.lit(model).alias("model"), "text_hash", embedded("text").alias("vector")))

@@ -1,0 +1,211 @@
+"""One object over a library's tables: import, build, search, explore and ask, each a lazily composed DataFrame."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gistmill.functions import chunking, ids
+from gistmill.functions import text as X
+from gistmill.operators import ask, explore, graph, knowledge, store, textindex, vectorsearch
+from gistmill.session import durable
+
+TABLES = {
+    "conversations": "id string, source string, title string, created_at string, updated_at string, content_hash string, message_count long",
+    "messages": "id string, conversation_id string, parent_id string, position long, role string, created_at string, text string, source string, title string",
+    "chunks": "id string, message_id string, conversation_id string, source string, title string, role string, created_at string, order int, text string, text_hash string, token_estimate long",
+    "answers": "model string, prompt_version string, text_hash string, answer string",
+    "embeddings": "model string, text_hash string, vector array<float>",
+    "entities": "id string, key string, name string, type string, descriptions array<string>, mentions long, summary string, text string",
+    "facts": "id string, subject_key string, statement_key string, statement string, object string, said long, first_said string, last_said string, sources array<struct<created_at:string,chunk_id:string,message_id:string>>",
+    "edges": "src string, type string, dst string, weight long, descriptions array<string>",
+    "topics": "id string, size long, keys array<string>",
+}
+NAMED = re.compile(r"\b[A-Z][\w+#]+")
+
+
+def rule_answers(texts: list[str]) -> list[str | None]:
+    """The offline default reader: capitalised words are entities, consecutive ones are related, sentences that decide
+    something are facts about their first entity."""
+    out = []
+    for text in texts:
+        names = list(dict.fromkeys(NAMED.findall(text)))
+        facts = [{"subject": n[0], "statement": s.strip()} for s in re.split(r"(?<=[.!?])\s+", text) if "decided" in s and (n := NAMED.findall(s))]
+        passage = {"passage": 1, "entities": [{"name": n, "type": "other", "description": ""} for n in names], "relationships": [{"source": a, "target": b, "strength": 5} for a, b in zip(names, names[1:], strict=False)], "facts": facts}
+        out.append(json.dumps({"passages": [passage]}))
+    return out
+
+
+class KnowledgeBase:
+    """Tables of one library. Builders replace a table by a checkpointed new one; `save` and `load` keep them as Parquet."""
+
+    def __init__(self, spark: SparkSession, model: str = "rules", version: str = "1") -> None:
+        self.spark, self.model, self.version = spark, model, version
+        self.tables = store.open_tables(spark, TABLES)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.tables[name]
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        columns = self.spark.createDataFrame([], TABLES[name]).schema
+        have = set(rows.columns)
+        shaped = rows.select(*[(F.col(f"`{c.name}`") if c.name in have else F.lit(None)).cast(c.dataType).alias(c.name) for c in columns])
+        self.tables[name] = durable(shaped)
+
+    def register(self) -> None:
+        """Temp views of all tables, for SQL."""
+        for name, rows in self.tables.items():
+            rows.createOrReplaceTempView(name)
+
+    def save(self, root: str) -> dict[str, str]:
+        return {name: store.write_table(rows, root, name) for name, rows in self.tables.items()}
+
+    def load(self, paths: dict[str, str]) -> KnowledgeBase:
+        for name, path in paths.items():
+            self.tables[name] = self.spark.read.schema(TABLES[name]).parquet(path)
+        return self
+
+    # import and build
+
+    def add(self, conversations: DataFrame, messages: DataFrame) -> DataFrame:
+        """Imports conversations with their messages; returns (outcome, n). Only new and updated ones are written."""
+        held = F.array_sort(F.collect_list(F.struct("position", "id", "role", F.coalesce("text", F.lit("")))))
+        hashes = messages.groupBy("conversation_id").agg(F.sha2(F.to_json(held), 256).alias("content_hash"), F.count("*").alias("message_count")).withColumnRenamed("conversation_id", "id")
+        incoming = durable(store.add_outcomes(self["conversations"], conversations.drop("message_count", "content_hash").join(hashes, "id")))
+        fresh = incoming.where("outcome <> 'unchanged'")
+        own = messages.join(fresh.select(F.col("id").alias("conversation_id"), "source", "title"), "conversation_id")
+        kept = self["messages"].join(fresh.select(F.col("id").alias("conversation_id")), "conversation_id", "left_anti")
+        self.put("messages", kept.unionByName(own.select(*[F.col(c) if c in own.columns else F.lit(None).alias(c) for c in kept.columns])))
+        self.put("conversations", store.upsert(self["conversations"], fresh.drop("outcome").select(*[F.col(c).cast("string") if c in ("created_at", "updated_at") else F.col(c) for c in self["conversations"].columns]), ["id"]))
+        return incoming.groupBy("outcome").agg(F.count("*").alias("n"))
+
+    def sync_chunks(self, max_tokens: int = chunking.MAX_TOKENS, overlap_tokens: int = chunking.OVERLAP_TOKENS) -> DataFrame:
+        """Chunks all messages anew; returns (state, n) of fresh, stale and unchanged ids."""
+        made = chunking.chunks(self["messages"], "text", max_tokens, overlap_tokens)
+        new = durable(made.select(F.col("chunk_id").alias("id"), F.col("id").alias("message_id"), "conversation_id", "source", "title", "role", "created_at", "order", F.col("chunk_text").alias("text"), "text_hash", "token_estimate"))
+        changes = store.id_changes(self["chunks"], new).groupBy("state").agg(F.count("*").alias("n"))
+        changes = durable(changes)
+        self.put("chunks", new)
+        return changes
+
+    def sync_embeddings(self) -> None:
+        self.put("embeddings", ask.embed(self["chunks"], self["embeddings"]))
+
+    def sync_answers(self, provider: Callable[[list[str]], list[str | None]] = rule_answers, batch_size: int = 1) -> int:
+        """Asks the provider about texts without an answer; returns how many there were."""
+        todo = durable(knowledge.pending(self["chunks"].select("id", "text", "text_hash"), self["answers"], self.model, self.version))
+        told = knowledge.ask(todo, provider, batch_size=batch_size).where("answer is not null")
+        self.put("answers", self["answers"].unionByName(told.select(F.lit(self.model).alias("model"), F.lit(self.version).alias("prompt_version"), "text_hash", "answer")))
+        return todo.count()
+
+    def sync_graph(self) -> None:
+        """Entities, relationships, mentions and facts from all answers; the graph is replaced as a whole."""
+        best = knowledge.latest_answers(self["answers"], self.model, self.version).select("text_hash", "answer").withColumn("count", F.lit(1))
+        parsed = durable(self["chunks"].select(F.col("id").alias("chunk_id"), "message_id", "created_at", "text_hash").join(knowledge.parse_answers(best), "text_hash"))
+        mentions = parsed.select("chunk_id", F.posexplode("entities").alias("pos", "e")).select("chunk_id", F.col("pos").cast("long").alias("pos"), "e.name", "e.type", "e.description")
+        related = parsed.select("chunk_id", F.posexplode("relationships").alias("pos", "r")).select("chunk_id", F.col("pos").cast("long").alias("pos"), F.col("r.a").alias("source"), F.col("r.b").alias("target"), "r.description", "r.strength")
+        said = parsed.select("chunk_id", "message_id", "created_at", F.posexplode("facts").alias("pos", "f")).select("chunk_id", F.col("pos").cast("long").alias("pos"), "message_id", "created_at", F.col("f.subject").alias("subject"), F.col("f.statement").alias("statement"), F.col("f.object").alias("object"))
+        self.put("entities", knowledge.entities(mentions))
+        self.put("facts", knowledge.facts(said))
+        pairs = knowledge.relationships(related).select("src", "type", "dst", "weight", "descriptions")
+        plain = knowledge.mention_edges(mentions).unionByName(knowledge.fact_edges(self["facts"]))
+        self.put("edges", pairs.unionByName(plain, allowMissingColumns=True))
+
+    def sync_duplicates(self, judge: Callable[[DataFrame], DataFrame]) -> None:
+        """SAME_AS edges of the candidate pairs (a, b) that judge marks as the same."""
+        pairs = knowledge.duplicate_candidates(self["entities"].select("key"))
+        self.put("edges", self["edges"].where("type <> 'SAME_AS'").unionByName(knowledge.same_as_edges(judge(pairs)), allowMissingColumns=True))
+
+    def sync_topics(self) -> None:
+        edges = self["edges"]
+        links = edges.where("type = 'RELATED_TO'").select(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")
+        same = edges.where("type = 'SAME_AS'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        topics, inside = knowledge.topic_nodes(durable(graph.find_topics(self["entities"].select("id"), links, same)), self["entities"])
+        self.put("topics", topics)
+        self.put("edges", edges.where("type <> 'IN_TOPIC'").unionByName(inside, allowMissingColumns=True))
+
+    # reading
+
+    def indexed(self) -> DataFrame:
+        """All rows that full-text search covers: (id, label, title, text, source, conversation_id)."""
+        m = self["messages"].select("id", F.lit("Message").alias("label"), "title", "text", "source", "conversation_id")
+        c = self["chunks"].select("id", F.lit("Chunk").alias("label"), "title", "text", "source", "conversation_id")
+        none = [F.lit(None).cast("string").alias(x) for x in ("source", "conversation_id")]
+        e = self["entities"].select("id", F.lit("Entity").alias("label"), F.col("name").alias("title"), "text", *none)
+        f = self["facts"].select("id", F.lit("Fact").alias("label"), F.col("subject_key").alias("title"), F.col("statement").alias("text"), *none)
+        return m.unionByName(c).unionByName(e).unionByName(f).where(~X.is_blank(F.col("text")))
+
+    def search(self, query: str, limit: int = 20, sources: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
+        where: Column = F.lit(True)
+        if sources:
+            where = where & F.col("source").isin(sources)
+        if labels:
+            where = where & F.col("label").isin(labels)
+        return ask.snippets(textindex.search(self.indexed(), query, "id", {"title": 2.0, "text": 1.0}, limit, where), query)
+
+    def vectors(self) -> DataFrame:
+        return self["chunks"].join(self["embeddings"].select("text_hash", "vector"), "text_hash").withColumnRenamed("id", "node_id")
+
+    def query_vector(self, text: str) -> list[float]:
+        return ask.embed_text(text)
+
+    def nearest(self, text: str, limit: int = 20, sources: list[str] | None = None) -> DataFrame:
+        return vectorsearch.nearest(store.in_sources(self.vectors(), sources), self.query_vector(text), "node_id", "vector", limit)
+
+    def hybrid_search(self, query: str, limit: int = 20, sources: list[str] | None = None) -> DataFrame:
+        """Messages by the fusion of words, meaning and entities."""
+        from pyspark.sql import Window as W
+
+        order = W.orderBy(F.col("score").desc(), "id")
+        words = self.search(query, 4 * limit, sources, ["Message"]).select(F.col("id").alias("message_id"), F.row_number().over(order).alias("rank"))
+        near = self.nearest(query, 4 * limit, sources).select("message_id", F.col("node_id").alias("chunk_id"), "distance")
+        found = self.search(query, limit, None, ["Entity"]).select("id", F.row_number().over(order).alias("rank"))
+        entity = ask.entity_leg(found, self["edges"], store.in_sources(self["chunks"], sources), limit)
+        return ask.fold_hybrid(words, ask.best_per_message(near), entity, limit).join(self["messages"].withColumnRenamed("id", "message_id"), "message_id").orderBy(F.col("score").desc(), "message_id")
+
+    def retrieve(self, question: str, limit: int = ask.MAX_SOURCES) -> DataFrame:
+        return ask.retrieve(self.spark, question, self["entities"], self["edges"], self["chunks"], self.vectors(), self.query_vector(question), limit)
+
+    def explore(self, **focus: object) -> dict[str, DataFrame]:
+        counts = explore.mention_counts(self["edges"], self["chunks"])
+        related = self["edges"].where("type = 'RELATED_TO'").select("src", "dst", "weight")
+        return explore.explore(self["entities"], self["conversations"], related, counts, self["edges"].where("type = 'IN_TOPIC'").select("src", "dst"), **focus)
+
+    def timeline(self, sources: list[str] | None = None) -> DataFrame:
+        return explore.timeline(self["conversations"], sources)
+
+    def facts_found(self, query: str | None = None, limit: int = 20) -> DataFrame:
+        """Facts by words, else the newest."""
+        if not query:
+            return knowledge.newest_first(self["facts"]).limit(limit)
+        hits = self.search(query, limit, None, ["Fact"]).select("id", "score")
+        return self["facts"].join(hits, "id").orderBy(F.col("score").desc(), "id")
+
+    def find_entity(self, name: str) -> DataFrame:
+        """The entity of that name, else the best hit by words."""
+        hits = self.search(name, 20, None, ["Entity"]).select("id", "score")
+        exact = F.col("key") == X.entity_key(F.lit(name))
+        return self["entities"].join(hits, "id").orderBy(exact.desc(), F.col("score").desc(), "id").limit(1)
+
+    def stats(self) -> DataFrame:
+        counted = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in self.tables.items()]
+        out = counted[0]
+        for one in counted[1:]:
+            out = out.unionByName(one)
+        return out
+
+    def library_stats(self) -> DataFrame:
+        """Conversations and messages of each source, and of all."""
+        return self["conversations"].rollup("source").agg(F.count("*").alias("conversations"), F.sum("message_count").alias("messages")).orderBy(F.col("source").asc_nulls_last())
+
+    def add_note(self, text: str, title: str | None = None, created_at: str | None = None) -> DataFrame:
+        """One note as a conversation of one message; its id comes from its text."""
+        external = ids.content_hash_of(text)[:32]
+        row = self.spark.createDataFrame([(external, text, created_at)], "external_id string, text string, created_at string")
+        conv = row.select(ids.conversation_id(F.lit("note"), "external_id").alias("id"), F.lit("note").alias("source"), X.clip(F.lit(title) if title else F.element_at(F.split(F.btrim("text"), "\n"), 1)).alias("title"), "created_at", F.col("created_at").alias("updated_at"))
+        message = row.select(ids.conversation_id(F.lit("note"), "external_id").alias("conversation_id"), "text", "created_at").select(ids.message_id("conversation_id", F.lit("body")).alias("id"), "conversation_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("position"), F.lit("user").alias("role"), "created_at", "text")
+        return self.add(conv, message)
