@@ -36,7 +36,7 @@ def ordered_distinct(rows: DataFrame, keys: list[str], value: str, name: str) ->
 
 def entities(mentions: DataFrame) -> DataFrame:
     """mentions (chunk_id, pos, name, type, description) to entities: key, id, name, type, descriptions, mentions, text."""
-    rows = mentions.withColumn("key", X.entity_key(F.col("name"))).where("key <> ''")
+    rows = mentions.withColumn("key", X.entity_key(F.col("name"))).where("key <> ''").withColumn("type", X.canonical_type(F.col("type")))
     base = rows.groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
     out = base.join(mode_first_seen(rows, ["key"], "name", "name"), "key").join(mode_first_seen(rows, ["key"], "type", "type"), "key").join(ordered_distinct(rows, ["key"], "description", "descriptions"), "key", "left")
     out = out.withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>")))
@@ -131,6 +131,57 @@ def ask(rows: DataFrame, provider: Callable[[list[str]], list[str | None]], text
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("answer", StringType())]))
 
 
+def numbered(rows: DataFrame, batch: str, order: str, heading: Column, body: Column) -> DataFrame:
+    """(batch, request): the rows of each batch as numbered blocks; heading and body are columns of a row."""
+    blocks = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), heading.alias("h"), body.alias("b"))))
+    shown = F.transform(blocks, lambda x, i: F.concat(F.lit("### "), F.replace(x["h"], F.lit("{n}"), (i + 1).cast("string")), F.lit("\n"), x["b"]))
+    return rows.groupBy(batch).agg(F.array_join(shown, "\n\n").alias("request"))
+
+
+def passage_requests(chunks: DataFrame, batch: str = "batch") -> DataFrame:
+    return numbered(chunks, batch, "id", F.lit("Passage {n}"), F.col("text"))
+
+
+def to_summarise(found: DataFrame, cache: DataFrame) -> DataFrame:
+    """Entities of several descriptions whose set of descriptions has no summary yet, with its key."""
+    several = found.where(F.size("descriptions") > 1).withColumn("set_key", ids.content_hash(F.to_json(F.struct(F.col("name"), F.array_sort("descriptions").alias("d")))))
+    return several.join(cache.select("set_key"), "set_key", "left_anti")
+
+
+def summary_requests(found: DataFrame, batch: str = "batch", most: int = 20) -> DataFrame:
+    lines = F.array_join(F.transform(F.slice("descriptions", 1, most), lambda d: F.concat(F.lit("- "), d)), "\n")
+    return numbered(found, batch, "id", F.concat(F.lit("Entity {n}: "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(")")), lines)
+
+
+def pair_requests(pairs: DataFrame, found: DataFrame, batch: str = "batch") -> DataFrame:
+    """Requests to compare pairs (a, b) of entity keys, each shown by name, type and summary."""
+    card = F.format_string("- %s (%s): %s", "name", "type", "summary")
+    a, b = found.select(F.col("key").alias("a"), card.alias("ca")), found.select(F.col("key").alias("b"), card.alias("cb"))
+    return numbered(pairs.join(a, "a").join(b, "b").withColumn("o", F.struct("a", "b")), batch, "o", F.lit("Pair {n}"), F.concat_ws("\n", "ca", "cb"))
+
+
+def answer_requests(question: str, sources: DataFrame, background: DataFrame) -> DataFrame:
+    """One request: the question, numbered passages, and notes."""
+    told = sources.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda s: F.concat(F.lit("["), s["number"].cast("string"), F.lit("] "), s["text"])), "\n\n").alias("p"))
+    known = background.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "rank", "title", "text"))), lambda n: F.concat(F.lit("- "), n["title"], F.lit(": "), n["text"])), "\n").alias("n"))
+    return told.join(F.broadcast(known)).select(F.concat(F.lit(f"Question: {question}\n\n"), "p", F.lit("\n\n"), "n").alias("request"))
+
+
+def parse_numbered(rows: DataFrame, items: str, number: str, value: str, kind: str, answer_col: str = "answer", count_col: str = "count") -> DataFrame:
+    """rows with (number, value) of an answer's list of numbered items, such as summaries or verdicts; numbers out of range go."""
+    parsed = F.from_json(answer_col, f"{items} array<struct<{number}:int,{value}:{kind}>>")[items]
+    one = rows.select("*", F.explode(parsed).alias("_i")).where(F.col(f"_i.{number}").between(1, F.col(count_col)) & F.col(f"_i.{value}").isNotNull())
+    return one.select(*rows.columns, F.col(f"_i.{number}").alias("number"), F.col(f"_i.{value}").alias("value"))
+
+
+def parse_reports(rows: DataFrame, answer_col: str = "answer", most: int = 5) -> DataFrame:
+    """rows with title, summary and findings of a topic's report; one without title or summary is left out."""
+    r = F.from_json(answer_col, "title string, summary string, findings array<string>")
+    found = rows.withColumn("_r", r).withColumn("title", X.squeeze(F.col("_r.title"))).withColumn("summary", X.squeeze(F.col("_r.summary")))
+    findings = F.slice(F.filter(F.transform(F.coalesce("_r.findings", F.array().cast("array<string>")), X.squeeze), lambda x: x != ""), 1, most)
+    return found.withColumn("findings", findings).where("title <> '' and summary <> ''").drop("_r")
+
+
 ANSWER = "passages array<struct<passage:int,entities:array<struct<name:string,type:string,description:string>>,relationships:array<struct<source:string,target:string,description:string,strength:double>>,facts:array<struct<subject:string,statement:string,object:string>>>>"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,8 +204,12 @@ class KnowledgeBase:
         return self["conversations"].rollup("source").agg(F.count("*").alias("conversations"), F.sum("message_count").alias("messages")).orderBy(F.col("source").asc_nulls_last())
 
     def add_note(self, text: str, title: str | None = None, created_at: str | None = None) -> DataFrame:
-        """One note as a conversation of one message; its id comes from its text."""
-        external = ids.content_hash_of(text)[:32]
+        """One note as a conversation of one message; its id comes from its text and time."""
+        text = text.strip()
+        if not text:
+            raise ValueError("a note cannot be empty")
+        created_at = created_at or datetime.now(UTC).isoformat()
+        external = ids.content_hash_of({"text": text, "created_at": created_at})[:32]
         row = self.spark.createDataFrame([(external, text, created_at)], "external_id string, text string, created_at string")
         conv = row.select(ids.conversation_id(F.lit("note"), "external_id").alias("id"), F.lit("note").alias("source"), X.clip(F.lit(title) if title else F.element_at(F.split(F.btrim("text"), "\n"), 1)).alias("title"), "created_at", F.col("created_at").alias("updated_at"))
         message = row.select(ids.conversation_id(F.lit("note"), "external_id").alias("conversation_id"), "text", "created_at").select(ids.message_id("conversation_id", F.lit("body")).alias("id"), "conversation_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("position"), F.lit("user").alias("role"), "created_at", "text")

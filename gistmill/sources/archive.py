@@ -50,20 +50,35 @@ def merge_cache(cache: DataFrame, archived: DataFrame, keys: list[str]) -> DataF
     return store.insert_absent(cache, archived, keys)
 
 
+#: How a note names the roles.
+ROLE_NAMES = {"user": "You", "assistant": "Assistant", "system": "System"}
+UNSAFE, NAME_CHARS = r'[<>:"/\\|?*\x00-\x1f]+', 80
+
+
 def _quoted(value: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(value, F.lit("")), r'(["\\])', r"\\$1"), F.lit('"'))
+    return F.concat(F.lit('"'), F.regexp_replace(value, r'(["\\])', r"\\$1"), F.lit('"'))
+
+
+def _stamp(at: Column) -> Column:
+    """An ISO text as date and minute in UTC; null stays null."""
+    return F.concat(F.replace(F.substring(at, 1, 16), F.lit("T"), F.lit(" ")), F.lit(" UTC"))
 
 
 def markdown(conversations: DataFrame, branch: DataFrame) -> DataFrame:
     """(source, name, body): a note for each conversation's active branch, named by date and title; the second of a name
-    gets the end of its id."""
-    said = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.col("text"))
-    bodies = branch.groupBy("conversation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("branch_position", said.alias("t")))), lambda x: x["t"]), "\n\n").alias("said"))
-    rows = conversations.join(bodies.withColumnRenamed("conversation_id", "id"), "id")
-    day = F.coalesce(F.substring(F.coalesce("created_at", "updated_at"), 1, 10), F.lit("undated"))
-    clean = squeeze(F.regexp_replace(F.coalesce("title", F.lit("Untitled")), r'[\\/:*?"<>|\x00-\x1f]+', " "))
-    rows = rows.withColumn("stem", F.concat_ws(" ", day, F.substring(clean, 1, 80)))
-    taken = F.row_number().over(W.partitionBy("source", F.lower("stem")).orderBy("id"))
-    name = F.when(taken == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" "), F.substring("id", -8, 8)))
-    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), _quoted(F.col("title"))), F.concat(F.lit("source: "), F.col("source")), F.concat(F.lit("id: "), F.col("id")), F.lit("---"))
-    return rows.select("source", F.concat(name, F.lit(".md")).alias("name"), F.concat(head, F.lit("\n\n# "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n"), F.col("said"), F.lit("\n")).alias("body"))
+    gets the end of its id. Messages without text are left out."""
+    who = F.coalesce(F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])[F.col("role")], F.initcap("role"))
+    when = F.coalesce(F.concat(F.lit(" · "), _stamp(F.col("created_at"))), F.lit("")) if "created_at" in branch.columns else F.lit("")
+    said = F.concat(F.lit("## "), who, when, F.lit("\n\n"), F.btrim("text"), F.lit("\n"))
+    shown = branch.where(F.btrim("text") != "").groupBy("conversation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("branch_position", said.alias("t")))), lambda x: x["t"]), "\n").alias("said"))
+    rows = conversations.join(shown.withColumnRenamed("conversation_id", "id"), "id", "left")
+    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("(untitled)"))
+    clean = F.rtrim(F.substring(squeeze(F.regexp_replace(F.coalesce("title", F.lit("untitled")), UNSAFE, "-")), 1, NAME_CHARS), F.lit(" ."))
+    day = F.substring(F.coalesce("created_at", "updated_at"), 1, 10)
+    rows = rows.withColumn("stem", F.concat_ws(" ", day, F.when(clean == "", "untitled").otherwise(clean)))
+    taken = F.row_number().over(W.partitionBy("source", "stem").orderBy("id"))
+    name = F.when(taken == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" "), F.regexp_replace(F.substring("id", -8, 8), UNSAFE, "-")))
+    model = F.col("model") if "model" in conversations.columns else F.lit(None).cast("string")
+    fields = (("title", _quoted(title)), ("source", F.col("source")), ("id", F.col("id")), ("created", _stamp(F.col("created_at"))), ("updated", _stamp(F.col("updated_at"))), ("model", model))
+    head = F.concat_ws("\n", F.lit("---"), *[F.concat(F.lit(f"{k}: "), v) for k, v in fields], F.lit("---"))
+    return rows.select("source", F.concat(name, F.lit(".md")).alias("name"), F.concat(head, F.lit("\n\n# "), title, F.lit("\n\n"), F.coalesce("said", F.lit(""))).alias("body"))

@@ -43,7 +43,8 @@ def test_text_helpers(spark):
     assert one(spark, X.tokens(F.lit("Café's customer_id 12"))) == ["cafe", "s", "customer", "id", "12"]
     assert X.query_words('NOT "customer_id" Café') == [["not"], ["customer", "id"], ["cafe"]]
     assert one(spark, X.wikilinks(F.lit("[[b#x|y]] [[ a ]] [[b]] [[#z]]"))) == ["a", "b"]
-    assert one(spark, X.safe_path(F.lit("../a:b/./c?.txt"))) == "a-b/c_.txt"
+    assert one(spark, X.safe_path(F.lit("../a:b/./c?.txt"))) == "a_b/c_.txt" and one(spark, X.safe_path(F.lit("../"))) == "upload"
+    assert one(spark, X.canonical_type(F.lit("app"))) == "tool" and one(spark, X.canonical_type(F.lit("x"))) == "x"
     assert one(spark, X.shorten_tool_text(F.lit("x" * 3234))).endswith("\n[1,234 more characters]")
     assert one(spark, X.token_estimate(F.lit("é" * 9))) == 2 and one(spark, X.token_estimate(F.lit(""))) == 1
     assert one(spark, X.ngrams(F.split(F.lit("a b c"), " "), 2)) == ["a b", "b c", "a", "b", "c"]

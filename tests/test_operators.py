@@ -235,3 +235,27 @@ def test_sessions_and_limits(spark):
     assert ok == {0: True, 1: True, 2: False, 3: False, 9: True, 10: True}
     w = knowledge.message_window(spark.createDataFrame([("v", k, "user", "x" * 10) for k in range(9)], "conversation_id string, position long, role string, text string"), spark.createDataFrame([("v", 4)], "conversation_id string, position long"), 35)
     assert sorted(r.position for r in w.collect()) == [3, 4, 5]
+
+
+def test_requests(spark):
+    chunks = spark.createDataFrame([("b", "two", 0), ("a", "one", 0), ("c", "three", 1)], "id string, text string, batch int")
+    assert {r.batch: r.request for r in knowledge.passage_requests(chunks).collect()} == {0: "### Passage 1\none\n\n### Passage 2\ntwo", 1: "### Passage 1\nthree"}
+    found = spark.createDataFrame([("e1", "a", "A", "tool", ["x", "y"], "s", 0), ("e2", "b", "B", "place", ["z"], "t", 0)], "id string, key string, name string, type string, descriptions array<string>, summary string, batch int")
+    todo = knowledge.to_summarise(found, spark.createDataFrame([], "set_key string"))
+    assert [r.name for r in todo.collect()] == ["A"] and knowledge.to_summarise(found, todo.select("set_key")).count() == 0
+    assert knowledge.summary_requests(todo).first().request == "### Entity 1: A (tool)\n- x\n- y"
+    pairs = spark.createDataFrame([("a", "b", 0)], "a string, b string, batch int")
+    assert knowledge.pair_requests(pairs, found).first().request == "### Pair 1\n- A (tool): s\n- B (place): t"
+    answers = spark.createDataFrame([('{"pairs": [{"pair": 1, "same": true}, {"pair": 3, "same": true}, {"pair": 2}]}', 2), ("no", 2)], "answer string, count int")
+    assert [(r.number, r.value) for r in knowledge.parse_numbered(answers, "pairs", "pair", "same", "boolean").collect()] == [(1, True)]
+    reports = spark.createDataFrame([('{"title": " T  t", "summary": "s", "findings": ["a", "", "b"]}',), ('{"title": "x"}',), ("[",)], "answer string")
+    assert [(r.title, r.findings) for r in knowledge.parse_reports(reports).collect()] == [("T t", ["a", "b"])]
+    sources, notes = spark.createDataFrame([(2, "b"), (1, "a")], "number int, text string"), spark.createDataFrame([("fact", 1, "K", "v")], "kind string, rank int, title string, text string")
+    assert knowledge.answer_requests("Why?", sources, notes).first().request == "Question: Why?\n\n[1] a\n\n[2] b\n\n- K: v"
+
+
+def test_report_lines(spark):
+    members = spark.createDataFrame([("t", f"n{k:02}", "tool", "s", 1) for k in range(32)], "topic string, name string, type string, summary string, mentions long")
+    links = spark.createDataFrame([("t", "a", "b", "d", 2), ("t", "a", "c", "d", 9)], "topic string, source string, target string, description string, weight long")
+    got = [r.line for r in explore.report_lines(members, links).orderBy("kind", "rank").collect()]
+    assert got[0] == "- n00 (tool): s" and got[30] == "- and 2 more" and got[31] == "- a -> c: d" and len(got) == 33

@@ -114,7 +114,7 @@ def test_documents():
     page = read("<html><head><title> A  b </title><style>x</style></head><body><p>one</p><div>two <b>three</b></div><script>y</script></body>", "p.html")
     assert (page["title"], page["text"]) == ("A b", "one\ntwo three")
     assert read("caf\xe9".encode("cp1252"), "x.log")["text"] == "café" and read("hi".encode("utf-16"), "x.log")["text"] == "hi"
-    assert read(r"{\rtf1{\fonttbl{\f0 A;}}\b Bold\b0\par next}", "r.rtf")["text"].split("\n") == ["Bold", "next"]
+    assert read(r"{\rtf1{\*\x A;}\b Bold\b0\par next}", "r.rtf")["text"].split("\n") == ["Bold", "next"]
     assert read("<a><b> x  y </b><c>z</c></a>", "d.xml")["text"] == "x y\nz"
     note = read("---\ntitle: T\ncreated: 2026-01-05\n---\n# H\nbody [[x]]", "n/a.md")
     assert (note["title"], note["created_at"], note["text"]) == ("T", "2026-01-05T00:00:00", "# H\nbody [[x]]")
@@ -165,6 +165,6 @@ def test_archive_round_trip(spark, tmp_path):
     assert n.count() == 3 and {r.type for r in e.collect()} == {"MENTIONS", "HAS"}
     branch = graph.active_branch(messages, spark.createDataFrame([("v", "m2")], "conversation_id string, leaf_id string"))
     out = {r.name: r.body for r in archive.markdown(conv, branch).collect()}
-    assert set(out) == {"2026-01-01 A b.md", "2026-01-01 A b w.md"} and "## User\n\nhi\n\n## Assistant\n\nyo\n" in out["2026-01-01 A b.md"]
+    assert set(out) == {"2026-01-01 A- b.md", "2026-01-01 A- b w.md"} and out["2026-01-01 A- b.md"].endswith("# A: b\n\n## You\n\nhi\n\n## Assistant\n\nyo\n")
     kept = archive.merge_cache(spark.createDataFrame([("k", 1)], "k string, v int"), spark.createDataFrame([("k", 2), ("j", 3)], "k string, v int"), ["k"])
     assert {tuple(r) for r in kept.collect()} == {("k", 1), ("j", 3)}
