@@ -442,10 +442,10 @@ def entity_graph_build(spark, sf_dir):
     return e.select("id", "key", "name", "type", "mentions", F.size("descriptions").alias("n_descriptions"), "text")
 
 
-@query("SELECT subject_key, statement_key, count(*)::BIGINT AS said, min(ts) AS first_said, max(ts) AS last_said FROM (SELECT event_type AS subject_key, (value::BIGINT % 50)::VARCHAR AS statement_key, user_id, min(strftime(ts, '%Y-%m-%d')) AS ts, min(event_id) AS e, arg_min(strftime(ts, '%Y-%m-%d'), event_id) AS dt FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2".replace("min(ts) AS first_said, max(ts) AS last_said", "min(dt) AS first_said, max(dt) AS last_said"))
+@query("SELECT subject_key, statement_key, count(*)::BIGINT AS said, min(ts) AS first_said, max(ts) AS last_said FROM (SELECT event_type AS subject_key, (floor(value)::BIGINT % 50)::VARCHAR AS statement_key, user_id, min(strftime(ts, '%Y-%m-%d')) AS ts, min(event_id) AS e, arg_min(strftime(ts, '%Y-%m-%d'), event_id) AS dt FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2".replace("min(ts) AS first_said, max(ts) AS last_said", "min(dt) AS first_said, max(dt) AS last_said"))
 def fact_sources(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    items = e.select(F.format_string("%012d", "event_id").alias("chunk_id"), F.lit(0).cast("long").alias("pos"), F.col("user_id").cast("string").alias("message_id"), F.date_format("ts", "yyyy-MM-dd").alias("created_at"), F.col("event_type").alias("subject"), (F.round("value", 0).cast("long") % 50).cast("string").alias("statement"), F.lit("").alias("object"))
+    items = e.select(F.format_string("%012d", "event_id").alias("chunk_id"), F.lit(0).cast("long").alias("pos"), F.col("user_id").cast("string").alias("message_id"), F.date_format("ts", "yyyy-MM-dd").alias("created_at"), F.col("event_type").alias("subject"), (F.floor("value").cast("long") % 50).cast("string").alias("statement"), F.lit("").alias("object"))
     return knowledge.facts(items).select("subject_key", "statement_key", "said", "first_said", "last_said")
 
 
