@@ -1,29 +1,5 @@
-"""Connected components of links, by rounds of minimum labels and pointer jumps over joined tables.
+"""Connected components of links."""
 
-Nothing is collected but one count a round. Each round is cut with a checkpoint. Minima are partial before they are
-shuffled, and the joins are inner equi-joins that adaptive execution can split where a label is hot.
-"""
+from gistmill.operators.graph import connected_components as components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from gistmill.session import durable
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): for each id in the edges (a, b), the smallest id that it reaches. Loops and repeats do no harm."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    now = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        step = now.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        step = durable(step)
-        # a label's own label is at least as small
-        jump = step.alias("x").join(now.alias("y"), F.col("x.root") == F.col("y.id")).select("x.id", "x.old", F.least("x.root", "y.root").alias("root"))
-        step = durable(jump)
-        moved = step.where("root < old").limit(1).count()
-        now = step.select("id", "root")
-        if not moved:
-            return now
+__all__ = ["components"]
