@@ -20,3 +20,14 @@ def test_components_of_every_part(spark, tmp_path):
                 stack += near[x]
     got = registry.queries()["connected_components_all"](spark, str(tmp_path)).collect()
     assert {r.id: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_topics_and_contraction_of_every_order(spark, tmp_path):
+    orders = {1: (2, 4), 7: (4, 6), 19: (2, 6), 20: (10, 12), 33: (12, 14), 40: (10, 14), 41: (2, 4)}
+    spark.createDataFrame([(o, p) for o, parts in orders.items() for p in parts], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries = registry.queries()
+    topics = queries["topics_communities"](spark, str(tmp_path)).collect()
+    assert sorted((r.topic, r["size"]) for r in topics) == [("p000002", 3), ("p000010", 3)]
+    links = queries["graph_contraction_all"](spark, str(tmp_path)).collect()
+    want = {("p000002", "p000004"): 2, ("p000004", "p000006"): 1, ("p000002", "p000006"): 1, ("p000010", "p000012"): 1, ("p000012", "p000014"): 1, ("p000010", "p000014"): 1}
+    assert {(r.a, r.b): r.weight for r in links} == want
