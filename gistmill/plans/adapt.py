@@ -38,15 +38,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return has.unionByName(replies)
 
 
-def mention_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, pos, name, type, description, source): capitalised words of English documents, in order."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+def mention_items(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(chunk_id, pos, name, type, description, source): capitalised words of the documents, in order."""
+    d = table(spark, sf_dir, "documents").where(where)
     rows = d.select(F.format_string("%012d", "doc_id").alias("chunk_id"), "source", F.posexplode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("pos", "name"))
     return rows.select("chunk_id", F.col("pos").cast("long").alias("pos"), "name", F.lit("other").alias("type"), F.concat(F.lit("seen in "), "source").alias("description"), "source")
 
 
-def relation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relation_items(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """(chunk_id, pos, source, target, description, strength): each name with the next of its document."""
-    m = mention_items(spark, sf_dir)
+    m = mention_items(spark, sf_dir, where)
     nxt = F.lead("name").over(W.partitionBy("chunk_id").orderBy("pos"))
     return m.withColumn("target", nxt).where("target is not null").select("chunk_id", "pos", F.col("name").alias("source"), "target", "description", F.lit(5.0).alias("strength"))

@@ -36,6 +36,8 @@ MSG = f"(SELECT 'msg_' || substr(sha256({CONV} || chr(31) || turn), 1, 24) AS id
 MESSAGES = f"(SELECT *, lag(id) OVER (PARTITION BY conversation_id ORDER BY turn) AS parent_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) - 1 AS position FROM {MSG})"
 EDGES = f"(SELECT conversation_id AS src, 'HAS_MESSAGE' AS type, id AS dst FROM {MESSAGES} UNION ALL SELECT id, 'REPLIES_TO', parent_id FROM {MESSAGES} WHERE parent_id IS NOT NULL)"
 MENTIONS = "(SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, source, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) - 1 AS pos FROM documents WHERE lang = 'en')"
+#: What MENTIONS keeps of the documents; queries of that SQL keep the same.
+ENGLISH = "lang = 'en'"
 KEY = "CASE WHEN length(lower({0})) > 3 AND lower({0}) LIKE '%s' AND NOT regexp_matches(lower({0}), '(ss|us|is)$') THEN substr(lower({0}), 1, length({0}) - 1) ELSE lower({0}) END"
 ENT = "'ent_' || substr(sha256({0}), 1, 24)"
 
@@ -416,24 +418,24 @@ def interleave_turns(spark, sf_dir):
 
 
 @query(f"SELECT key, count(DISTINCT chunk_id)::BIGINT AS mentions FROM (SELECT chunk_id, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key")
-def entity_mentions(spark, sf_dir):
-    return mention_items(spark, sf_dir).select(X.entity_key(F.col("name")).alias("key"), "chunk_id").groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
+def entity_mentions(spark, sf_dir, where=ENGLISH):
+    return mention_items(spark, sf_dir, where).select(X.entity_key(F.col("name")).alias("key"), "chunk_id").groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
 
 
 @query(f"SELECT key, name FROM (SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(chunk_id || lpad(pos::VARCHAR, 9, '0'))) AS r FROM (SELECT chunk_id, pos, name, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key, name) WHERE r = 1")
-def entity_mode_name(spark, sf_dir):
-    return knowledge.mode_first_seen(mention_items(spark, sf_dir).withColumn("key", X.entity_key(F.col("name"))), ["key"], "name", "name")
+def entity_mode_name(spark, sf_dir, where=ENGLISH):
+    return knowledge.mode_first_seen(mention_items(spark, sf_dir, where).withColumn("key", X.entity_key(F.col("name"))), ["key"], "name", "name")
 
 
 @query(f"SELECT key, string_agg('seen in ' || source, '|' ORDER BY o) AS descriptions FROM (SELECT key, source, min(chunk_id || lpad(pos::VARCHAR, 9, '0')) AS o FROM (SELECT chunk_id, pos, source, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key, source) GROUP BY key")
-def entity_descriptions(spark, sf_dir):
-    rows = mention_items(spark, sf_dir).withColumn("key", X.entity_key(F.col("name")))
+def entity_descriptions(spark, sf_dir, where=ENGLISH):
+    rows = mention_items(spark, sf_dir, where).withColumn("key", X.entity_key(F.col("name")))
     return knowledge.ordered_distinct(rows, ["key"], "description", "d").select("key", F.array_join("d", "|").alias("descriptions"))
 
 
 @query(f"SELECT a, b, {ENT.format('a')} AS src, {ENT.format('b')} AS dst, sum(5)::BIGINT AS weight, count(*)::BIGINT AS count FROM (SELECT {KEY.format('name')} AS a, {KEY.format('nxt')} AS b FROM (SELECT name, lead(name) OVER (PARTITION BY chunk_id ORDER BY pos) AS nxt FROM {MENTIONS}) WHERE nxt IS NOT NULL) WHERE a <> b GROUP BY a, b")
-def relation_weights(spark, sf_dir):
-    return knowledge.relationships(relation_items(spark, sf_dir)).select("a", "b", "src", "dst", "weight", "count")
+def relation_weights(spark, sf_dir, where=ENGLISH):
+    return knowledge.relationships(relation_items(spark, sf_dir, where)).select("a", "b", "src", "dst", "weight", "count")
 
 
 @query()
@@ -528,8 +530,8 @@ def topics_communities(spark, sf_dir):
 @query(f"""WITH m AS (SELECT {ENT.format(KEY.format('name'))} AS e, source AS c, count(DISTINCT chunk_id) AS n FROM {MENTIONS} GROUP BY 1, 2),
 mine AS (SELECT e, n FROM m WHERE c = 'src1' ORDER BY n DESC, e LIMIT 40)
 SELECT m.c AS conversation_id, sum(least(m.n, 3))::BIGINT AS score FROM m JOIN mine USING (e) WHERE m.c <> 'src1' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
-def explore_shared_capped(spark, sf_dir):
-    m = mention_items(spark, sf_dir)
+def explore_shared_capped(spark, sf_dir, where=ENGLISH):
+    m = mention_items(spark, sf_dir, where)
     counts = m.groupBy(ids.entity_id(X.entity_key(F.col("name"))).alias("entity_id"), F.col("source").alias("conversation_id")).agg(F.countDistinct("chunk_id").alias("n"))
     conv = m.select(F.col("source").alias("id")).distinct().select("id", "id", F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("updated_at")).toDF("id", "source", "created_at", "updated_at")
     none = spark.createDataFrame([], "src string, dst string, weight long")
@@ -538,8 +540,8 @@ def explore_shared_capped(spark, sf_dir):
 
 
 @query(f"SELECT {ENT.format(KEY.format('name'))} AS id, count(DISTINCT chunk_id)::BIGINT AS mentions FROM {MENTIONS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-def most_mentioned_entities(spark, sf_dir):
-    e = mention_items(spark, sf_dir).groupBy(ids.entity_id(X.entity_key(F.col("name"))).alias("id")).agg(F.countDistinct("chunk_id").alias("mentions"))
+def most_mentioned_entities(spark, sf_dir, where=ENGLISH):
+    e = mention_items(spark, sf_dir, where).groupBy(ids.entity_id(X.entity_key(F.col("name"))).alias("id")).agg(F.countDistinct("chunk_id").alias("mentions"))
     return e.orderBy(F.col("mentions").desc(), "id").limit(50)
 
 
@@ -556,6 +558,20 @@ def question_entities(spark, sf_dir):
     return ask.mentioned_entities(spark, "What did Thethe and the Reoush say about Anan?", e).select("place", "id", "name")
 
 
+def _of_every_document(fn: Callable) -> None:
+    """Registers fn over the documents of all languages beside fn, whose SQL reads the English ones."""
+
+    def whole(spark, sf_dir):
+        return fn(spark, sf_dir, where="true")
+
+    whole.__name__ = f"{fn.__name__}_all"
+    query(ORACLES[fn.__name__].replace(f" WHERE {ENGLISH}", ""))(whole)
+
+
+for _fn in (entity_mentions, entity_mode_name, entity_descriptions, relation_weights, explore_shared_capped, most_mentioned_entities):
+    _of_every_document(_fn)
+
+
 # documents (S20-S23)
 
 

@@ -31,3 +31,19 @@ def test_topics_and_contraction_of_every_order(spark, tmp_path):
     links = queries["graph_contraction_all"](spark, str(tmp_path)).collect()
     want = {("p000002", "p000004"): 2, ("p000004", "p000006"): 1, ("p000002", "p000006"): 1, ("p000010", "p000012"): 1, ("p000012", "p000014"): 1, ("p000010", "p000014"): 1}
     assert {(r.a, r.b): r.weight for r in links} == want
+
+
+def test_names_of_documents_of_every_language(spark, tmp_path):
+    rows = [(1, "src1", "en", "Paris saw Berta"), (2, "src2", "fr", "Paris aime Lyons"), (3, "src3", None, "Paris Lyons"), (4, "src4", "de", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = registry.queries()
+
+    def got(name, *columns):
+        return sorted(tuple(r[c] for c in columns) for r in queries[name](spark, str(tmp_path)).collect())
+
+    assert got("entity_mentions_all", "key", "mentions") == [("berta", 1), ("lyon", 2), ("paris", 3)]
+    assert got("entity_descriptions_all", "key", "descriptions")[1] == ("lyon", "seen in src2|seen in src3")
+    assert got("entity_graph_build", "key", "mentions") == [("berta", 1), ("lyon", 2), ("paris", 3)]
+    assert len(got("entity_graph_view", "src", "dst")) == len(got("relation_weights_all", "a", "b")) == 2
+    assert len(got("most_mentioned_entities_all", "id")) == 3
+    assert all(f"{n}_all" in registry.oracle_sql() for n in ("entity_mode_name", "explore_shared_capped", "relation_weights"))
