@@ -4,8 +4,8 @@ Every line is good or bad. Its features are shape ratios of the line itself and
 lines together. Training lines carry the label of their document; weights maximise the regularised likelihood.
 A document's score is the forward-backward marginal of "good", averaged over its lines by their length.
 
-The fit reads a bounded sample: of the labelled rows that are not held out, the SAMPLE_DOCS with the smallest hash of
-their id, and of these the first SAMPLE_LINES lines. Scoring reads every line of every text.
+The fit reads a bounded sample of rows: of the labelled rows that are not held out, the SAMPLE_DOCS with the smallest
+hash of their id, each with all its lines. Scoring reads every line of every text.
 
 Defined results: a null or empty text is one empty line and gets that line's marginal; lines of no bytes weigh as one
 byte; without training rows every score is 0.5; a null id is scored and never trained on; rows that repeat are scored
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from gistmill.llm import blocks as B
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
+SAMPLE_DOCS = 4000
 ROUNDS, RATE, DECAY = 220, 0.15, 1e-3
 SYMBOLS, MARKS, STOPS, DIGITS, UPPER = b"#*$%&|<>{}[]=+~^\\@_", b"!?", b".,;:", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = 20
@@ -51,9 +51,9 @@ def shape(line: bytes, seen: set[bytes], last: bytes | None) -> list[float]:
     ]
 
 
-def document(text: bytes, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def document(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(features of each line with those of its neighbours, lengths of the lines)."""
-    lines = text.split(b"\n")[:most]
+    lines = text.split(b"\n")
     seen: set[bytes] = set()
     own = np.empty((len(lines), FEATURES), np.float64)
     last = None
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                wide, _ = document(raw, SAMPLE_LINES)
+                wide, _ = document(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([label], pa.int32()), pa.array([len(wide)], pa.int32()), pa.array([B.pack(wide.astype(np.float32).ravel())], pa.binary())], names=["id", "label", "n", "wide"])
 
     found = B.texts(docs, id_col, text_col).join(F.broadcast(sample), "id").mapInArrow(run, "id long, label int, n int, wide binary").collect()
