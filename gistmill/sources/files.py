@@ -1,10 +1,14 @@
-"""Files of any depth, single files and members of zip archives, as rows; and what kind of export they hold."""
+"""Files of any depth, single files and members of zip, tar and gzip archives, as rows; and what kind of export they hold."""
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
+import lzma
+import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,30 +21,76 @@ ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("depth", pa.
 #: Limits of an unpacked archive: nesting, bytes and files.
 MAX_NESTED, MAX_BYTES, MAX_FILES = 4, 2_000_000_000, 100_000
 ISSUE = "label string, reason string"
+TARS = (".tar", ".tgz", ".tbz2", ".txz", ".tar.gz", ".tar.bz2", ".tar.xz")
+BROKEN = (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError)
+
+
+def _spend(path: str, budget: list[int], size: int, count: int) -> None:
+    budget[0] -= size
+    budget[1] -= count
+    if budget[0] < 0 or budget[1] < 0:
+        raise ValueError(f"{path} unpacks to more than is read")
+
+
+def _untarred(path: str, data: bytes, budget: list[int]) -> list[tuple[str, bytes]] | None:
+    """(name, content) of the files of a tar, compressed or not; None if it cannot be read."""
+    out = []
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data)) as bundle:
+            for entry in bundle:
+                name = entry.name.replace("\\", "/").removeprefix("./")
+                if not entry.isfile() or ".." in name.split("/") or name.startswith("/"):
+                    continue
+                _spend(path, budget, entry.size, 1)
+                out.append((name, bundle.extractfile(entry).read()))
+    except BROKEN:
+        return None
+    return out
+
+
+def _gunzipped(path: str, data: bytes, budget: list[int]) -> list[tuple[str, bytes]] | None:
+    """(name, content) of a gzip's one file; None if it cannot be read."""
+    parts = []
+    try:
+        with gzip.open(io.BytesIO(data)) as packed:
+            while piece := packed.read(1 << 20):
+                _spend(path, budget, len(piece), 0)
+                parts.append(piece)
+    except BROKEN:
+        return None
+    _spend(path, budget, 0, 1)
+    return [(path[: -len(".gz")], b"".join(parts))]
 
 
 def _members(path: str, data: bytes, level: int, budget: list[int]) -> Iterator[tuple[str, str, bytes]]:
-    """(path, member, content) of a file: itself, or all files of a zip, at any nesting up to the limit."""
-    if level < MAX_NESTED and data[:4] == b"PK\x03\x04" and not path.lower().endswith((".docx", ".pptx", ".xlsx", ".odt", ".odp", ".ods", ".epub", ".jar")):
+    """(path, member, content) of a file: itself, or all files of a zip, tar or gzip, at any nesting up to the limit.
+    A tar or gzip that cannot be read is passed on as it is."""
+    lower = path.lower()
+    packed = None
+    if level < MAX_NESTED and lower.endswith(TARS):
+        packed = _untarred(path, data, budget)
+    elif level < MAX_NESTED and lower.endswith(".gz"):
+        packed = _gunzipped(path, data, budget)
+    if packed is not None:
+        for inner, content in packed:
+            yield from _members(inner, content, level + 1, budget)
+    elif level < MAX_NESTED and data[:4] == b"PK\x03\x04" and not lower.endswith((".docx", ".pptx", ".xlsx", ".odt", ".odp", ".ods", ".epub", ".jar")):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 parts = info.filename.replace("\\", "/").split("/")
                 if info.is_dir() or ".." in parts or info.filename.startswith("/"):
                     continue
-                budget[0] -= info.file_size
-                budget[1] -= 1
-                if budget[0] < 0 or budget[1] < 0:
-                    raise ValueError(f"{path} unpacks to more than is read")
+                _spend(path, budget, info.file_size, 1)
                 yield from _members(info.filename, z.read(info), level + 1, budget)
     else:
         yield path, path, data
 
 
 def scan(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """(path, member, depth, content): files below a path, zips opened, those of a base name only if one is given."""
+    """(path, member, depth, content): files below a path, archives opened, those of a base name only if one is given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if name:
-        files = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).isin(name.lower()) | F.lower("path").endswith(".zip"))
+        files = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).isin(name.lower()) | F.lower("path").rlike(r"\.(zip|tar|tgz|tbz2|txz|gz|tar\.bz2|tar\.xz)$"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
