@@ -1,9 +1,10 @@
-"""Operator 8: n-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""Operator 8: n-gram Jaccard join by MinHash banding with exact verification.
 
 Texts become sets of five-word shingles. Texts of the same set are one class; from here on a class counts once.
-A forest of TREES prefix tries holds each class's MinHash labels. The matched prefix starts at the whole label and is
-shortened step by step until the chance that two sets at the threshold meet in some tree reaches RECALL. Classes that
-meet (each one linked to the least of its trie node, never all to all) make candidate groups; each group is verified
+Each class has TREES MinHash labels. The matched prefix is as long as it may be for the chance that two sets at the
+threshold meet in some tree to reach RECALL; its length comes from that formula alone, before any data is read, so
+this is banding of a fixed depth and not a forest of tries that is shortened on data. Classes that meet in a tree by
+equality of the hashed prefix (each one linked to the least of them, never all to all) make candidate groups; each group is verified
 exactly, pair of tiles by pair of tiles, by counting shared shingles. All pairs inside a candidate group are verified,
 also those that met in no tree. Results are one row for each class of a pair of tiles, never one for each pair.
 
