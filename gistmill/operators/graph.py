@@ -4,39 +4,95 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gistmill.session import durable
 
 MAX_TOPIC, MIN_TOPIC, SEED = 40, 3, 7
+#: Edges that one task of connected_components settles: some ten MB.
+IN_TASK = 100_000
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each id of the edges (a, b) reaches. Loops and repeats do no harm.
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n - 1 and links (i, j), the smallest node that each reaches.
 
-    Contraction: every node adopts its least neighbour if that is smaller, pointers jump once, and the edges are
-    rewritten between what their ends adopted; those inside one node vanish. Each round leaves at most half the nodes
-    of every component that is not yet one node, and of star-like components next to none, so rounds are few and get
-    cheap. Minima are partial before the shuffle, the joins are inner equi-joins that adaptive execution can split,
-    each round is cut with a checkpoint, and nothing is collected but whether an edge is left.
+    Every root with a smaller root beside it hangs itself under the least of those, and paths are pressed flat before
+    the next round. Two rounds leave at most half the roots of a component that still has several.
     """
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _finish(kind: T.DataType):
+    """All edges of a small graph in one task: (id, root)."""
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        ends = [pa.chunked_array([b.column(k) for b in held], type=arrow) for k in (0, 1)] if held else []
+        if not held or not len(ends[0]):
+            return
+        both = pa.chunked_array([c for e in ends for c in e.chunks], type=arrow).combine_chunks()
+        names = both.unique()
+        names = names.take(pc.sort_indices(names))
+        at = pc.index_in(both, names).to_numpy()
+        roots = local_roots(len(names), at[: len(at) // 2], at[len(at) // 2 :])
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(roots))], names=["id", "root"])
+
+    return run
+
+
+def connected_components(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(id, root): the smallest id that each id of the edges (a, b) reaches. Loops, repeats and null ends do no harm.
+
+    Contraction at random: in each round every node has a new random rank, adopts the neighbour of the least rank (or
+    itself), and then what that one adopted; edges are rewritten between what their ends adopted, and those inside one
+    node vanish. Ranks are new in each round, so the order of ids plays no part: a path keeps about two nodes in five
+    and a star one, whatever their ids, and the rounds are the logarithm of the nodes. As soon as no more than in_task
+    edges are left, one task settles them, however large the graph was. Adoptions are followed from the last round
+    back, over ever larger tables, so that work adds up to a multiple of the first round.
+
+    Minima are partial before the shuffle, every table is cut with a checkpoint, so that joins read it through an
+    exchange that adaptive execution can split, and nothing is collected but the number of edges left.
+    """
+    kind = edges.schema["a"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("root", kind)])
     left = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     adopted: list[DataFrame] = []
-    while left.limit(1).count() or not adopted:
+    while left.limit(in_task + 1).count() > in_task:
+        rank = len(adopted)
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+        least = F.min(F.struct(F.xxhash64("b", F.lit(rank)).alias("h"), F.col("b").alias("x")))
+        near = durable(both.groupBy("a").agg(least.alias("m")).select(F.col("a").alias("id"), F.least("m", F.struct(F.xxhash64("a", F.lit(rank)).alias("h"), F.col("a").alias("x")))["x"].alias("root")))
         step = durable(near.alias("x").join(near.alias("y"), F.col("x.root") == F.col("y.id")).select("x.id", "y.root"))
         adopted.append(step)
         moved = left.join(step.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
         left = durable(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    now = adopted[0]
-    for step in adopted[1:]:
-        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        now = now.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-    return durable(now) if len(adopted) > 1 else now
+    now = durable(left.coalesce(1).mapInArrow(_finish(kind), schema))
+    if not adopted:
+        return now
+    for step in reversed(adopted):
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        now = durable(step.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+    least = durable(now.groupBy("root").agg(F.min("id").alias("least")))
+    return durable(now.join(least, "root").select("id", F.col("least").alias("root")))
 
 
 def _rounds(nodes: DataFrame) -> int:

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
+from gistmill.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -259,3 +261,45 @@ def test_report_lines(spark):
     links = spark.createDataFrame([("t", "a", "b", "d", 2), ("t", "a", "c", "d", 9)], "topic string, source string, target string, description string, weight long")
     got = [r.line for r in explore.report_lines(members, links).orderBy("kind", "rank").collect()]
     assert got[0] == "- n00 (tool): s" and got[30] == "- and 2 more" and got[31] == "- a -> c: d" and len(got) == 33
+
+
+def shapes():
+    rng = np.random.default_rng(11)
+    path = [(k, k + 1) for k in range(2000)]
+    return {
+        "path": path,
+        "ring": [*path, (0, 2000)],
+        "star": [(0, k) for k in range(1, 2000)],
+        "caterpillar": [*path[:700], *[(k, 10_000 + k) for k in range(700)]],
+        "pieces": [(int(a), int(b)) for a, b in rng.integers(0, 3000, (2000, 2))],
+    }
+
+
+@pytest.mark.parametrize("shape", sorted(shapes()))
+@pytest.mark.parametrize("in_task", [100_000, 50])
+def test_components_of_shapes_take_few_rounds(spark, monkeypatch, shape, in_task):
+    edges = shapes()[shape]
+    cuts = []
+    monkeypatch.setattr(graph, "durable", lambda df: cuts.append(1) or durable(df))
+    got = {r.id: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), in_task).collect()}
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    place = {x: k for k, x in enumerate(nodes)}
+    root = list(range(len(nodes)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(place[a]), find(place[b])))
+            root[y] = x
+    assert got == {x: nodes[find(place[x])] for x in nodes}
+    # one cut for the edges, one for what a task settles, and in each round three and one on the way back
+    assert len(cuts) <= (2 if in_task > 50 else 4 + 4 * 8)
+
+
+def test_local_roots_of_a_long_path():
+    i = np.arange(99_999)
+    assert (graph.local_roots(100_000, i, i + 1) == 0).all() and (graph.local_roots(100_000, i[::-1] + 1, i[::-1]) == 0).all()
