@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm import blocks as B
-from gistmill.llm.components import components
+from gistmill.operators.graph import connected_components, local_roots
 from gistmill.session import durable
 
 THRESHOLD = 0.95
@@ -93,20 +93,6 @@ def links_between(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray,
     return np.concatenate(found_i or [none]), np.concatenate(found_j or [none])
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For n nodes and links (i, j), the smallest node that each reaches."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def tiles_of(axis: np.ndarray, bounds: np.ndarray):
     """Unit rows cut by their place on the first axis: rows (tile, place, rid, v) of valid vectors."""
 
@@ -198,7 +184,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     right = named.where("first < number").select(F.explode(F.sequence("first", F.col("number") - 1)).alias("other"), "number", "rids", "v").select(F.concat_ws("-", "other", "number").alias("pair"), "number", "rids", "v")
     met = left.unionByName(right).repartition(max(B.buckets(spark), 2 * len(metas)), "pair").sortWithinPartitions("pair")
     links = durable(met.mapInArrow(compare(axes, threshold), "rid long, n long, root long"))
-    roots = components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    roots = connected_components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rid").agg(F.sum("n").alias("n_links"))
     # rid -> root of its component -> the component's smallest vec_id; rids without links are their own
     linked = base.select("rid", "vec_id").join(roots.withColumnRenamed("id", "rid"), "rid")

@@ -342,7 +342,22 @@ def test_op8_on_odd_rows(spark, odd):
     got = sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in jaccard.join(x).collect() if r.doc_id is not None)
     assert got == [(1, 1, 0, True), (3, 3, 3, True), (4, 3, 3, False), (5, 5, 0, True), (6, 6, 1, True), (7, 6, 1, False)]
     assert jaccard.join(odd).count() == len(ODD) and jaccard.join(odd.limit(0)).count() == 0
-    assert jaccard.prefix_depth(0.8) == 4 and jaccard.recall(0.8, 4) > 0.9999 > jaccard.recall(0.8, 5)
+
+
+def test_op8_shortens_prefixes_on_the_links_found():
+    assert jaccard.shortest_prefix(0.8) == 4 and jaccard.recall(0.8, 4) > 0.9999 > jaccard.recall(0.8, 5)
+    close, far = np.zeros(jaccard.BINS), np.zeros(jaccard.BINS)
+    close[-2], far[0] = 1000, 1000
+    assert jaccard.next_prefix(close, 8, 0.8) == 8 and jaccard.next_prefix(far, 8, 0.8) == 4
+    assert jaccard.next_prefix(close + far / 1e6, 8, 0.8) == 8 and jaccard.next_prefix(np.zeros(jaccard.BINS), 8, 0.8) == 4
+    assert jaccard.next_prefix(far, 8, 0.8, 0.99) == 7
+
+
+def test_op8_counts_a_pair_of_several_trees_once(spark):
+    base = [f"w{k}" for k in range(300)]
+    given = [(k, " ".join([*base, f"x{k}"])) for k in range(1300)]  # more than a tile, all pairs linked in all trees
+    got = jaccard.join(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 1299)}
 
 
 def test_op9_equals_counts(spark, docs, odd):
