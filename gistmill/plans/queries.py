@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gistmill.functions import chunking, ids
+from gistmill.functions import chunking, ids, markup
 from gistmill.functions import text as X
 from gistmill.functions import vectors as V
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
@@ -582,6 +582,4 @@ def flatten_json(spark, sf_dir):
 
 @query()
 def html_to_text(spark, sf_dir):
-    from gistmill.sources import documents
-
-    return table(spark, sf_dir, "pages").select("page_id", documents.html_page("html").alias("page")).select("page_id", "page.title", "page.text")
+    return table(spark, sf_dir, "pages").select("page_id", markup.html_page("html").alias("page")).select("page_id", "page.title", "page.text")

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gistmill.functions import ids
+from gistmill.functions import ids, markup
 from gistmill.functions.text import clip
 from gistmill.operators.graph import nearest_kept
-from gistmill.sources import documents, files
+from gistmill.sources import files
 
 PART = "struct<type:string,text:string,language:string>"
 #: Kinds of content that an export holds but never showed.
@@ -188,7 +188,7 @@ def gemini(spark: SparkSession, path: str, gap_minutes: int = 30) -> Imported:
     """Activity entries to conversations by gaps between prompts: a gap of more than the limit opens a new one."""
     raw = files.json_items(files.scan(spark, path, "MyActivity.json")).withColumn("r", F.from_json("record", GEMINI))
     own = F.coalesce(F.col("r.header").contains("Gemini"), F.lit(False)) | F.coalesce(F.exists("r.products", lambda p: p.contains("Gemini")), F.lit(False))
-    turns = raw.where(own).select("path", "index", F.try_to_timestamp("r.time").alias("time"), F.coalesce("r.title", F.lit("")).alias("title"), documents.reply_text(F.transform("r.safeHtmlItem", lambda x: x["html"])).alias("response"))
+    turns = raw.where(own).select("path", "index", F.try_to_timestamp("r.time").alias("time"), F.coalesce("r.title", F.lit("")).alias("title"), markup.reply_text(F.transform("r.safeHtmlItem", lambda x: x["html"])).alias("response"))
     prompt = F.when(F.col("title").startswith(PROMPTED), F.btrim(F.substring("title", len(PROMPTED) + 1, 1_000_000))).when(F.col("response") != "", F.btrim("title"))
     turns = turns.withColumn("prompt", prompt)
     label = F.concat(F.lit("activity #"), F.col("index").cast("string"))

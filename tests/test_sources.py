@@ -107,33 +107,41 @@ def zipped(**members):
     return out.getvalue()
 
 
-def test_documents():
-    read = lambda data, name: documents.read_document(data if isinstance(data, bytes) else data.encode(), name)[0]
-    assert read("name,city\nMaya,Lisbon\nSam,\n", "a.csv")["text"] == "name: Maya | city: Lisbon\nname: Sam"
-    assert read('{"trip": {"to": "Porto", "days": [1, 2], "x": null}}', "a.json")["text"] == "trip.to: Porto\ntrip.days[0]: 1\ntrip.days[1]: 2"
-    page = read("<html><head><title> A  b </title><style>x</style></head><body><p>one</p><div>two <b>three</b></div><script>y</script></body>", "p.html")
-    assert (page["title"], page["text"]) == ("A b", "one\ntwo three")
-    assert read("caf\xe9".encode("cp1252"), "x.log")["text"] == "café" and read("hi".encode("utf-16"), "x.log")["text"] == "hi"
-    assert read(r"{\rtf1{\*\x A;}\b Bold\b0\par next}", "r.rtf")["text"].split("\n") == ["Bold", "next"]
-    assert read("<a><b> x  y </b><c>z</c></a>", "d.xml")["text"] == "x y\nz"
-    note = read("---\ntitle: T\ncreated: 2026-01-05\n---\n# H\nbody [[x]]", "n/a.md")
-    assert (note["title"], note["created_at"], note["text"]) == ("T", "2026-01-05T00:00:00", "# H\nbody [[x]]")
-    assert read("---\n: [broken\n---\n# Head #\n", "b.md")["title"] == "Head"
+def test_documents(spark):
     w = 'xmlns:w="w"'
-    docx = zipped(word__document_xml=f"<w:d {w}><w:p><w:r><w:t>Hello </w:t><w:t>you</w:t></w:r></w:p><w:p/></w:d>", docProps__core_xml='<c xmlns:d="d"><d:title>Doc</d:title></c>')
-    assert (read(docx, "a.docx")["title"], read(docx, "a.docx")["text"]) == ("Doc", "Hello you")
-    pptx = zipped(ppt__slides__slide10_xml='<a xmlns:a="a"><a:p><a:t>ten</a:t></a:p></a>', ppt__slides__slide2_xml='<a xmlns:a="a"><a:p><a:t>two</a:t></a:p></a>')
-    assert read(pptx, "a.pptx")["text"] == "Slide 2\ntwo\n\nSlide 10\nten"
-    xlsx = zipped(xl__sharedStrings_xml="<s><si><t>name</t></si><si><t>Maya</t></si></s>", xl__worksheets__sheet1_xml='<w><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>n</v></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row></w>')
-    assert read(xlsx, "a.xlsx")["text"] == "name: Maya | n: 7"
-    epub = zipped(**{"META-INF__container_xml": '<c><rootfile full-path="o/p.opf"/></c>', "o__p_opf": '<p><title>Book</title><item id="1" href="c.html"/><itemref idref="1"/></p>', "o__c_html": "<p>chapter</p>"})
-    assert (read(epub, "a.epub")["title"], read(epub, "a.epub")["text"]) == ("Book", "chapter")
     mail = "From: a@b\nTo: c@d\nSubject: S\nMessage-ID: <1>\nDate: Mon, 05 Jan 2026 10:00:00 +0000\n\nhello\n"
-    assert read(mail, "m.eml") | {} == {"external_id": "<1>", "source": "email", "title": "S", "text": "From: a@b\nTo: c@d\n\nhello", "created_at": "2026-01-05T10:00:00+00:00"}
-    assert len(documents.read_document(("From x\n" + mail + "\nFrom y\n" + mail.replace("<1>", "<2>")).encode(), "m.mbox")) == 2
-    for data, name in ((b"", "e.md"), (b"\0\1", "x.unknown"), (b"x", "a.png"), (b"{", "a.json"), (b" ", "a.txt")):
-        with pytest.raises(documents.Unreadable):
-            documents.read_document(data, name)
+    page_mail = "From: a@b\nSubject: P\nMessage-ID: <9>\nContent-Type: text/html\n\n<p>one &amp; two</p>"
+    given = {
+        "a.csv": 'name,city\n,\nMaya,Lisbon\n\nSam,\n"Ann, B",Porto,more\n', "h.csv": " , \na,b\n", "t.tsv": "k\tv\n1\t2\n", "e.csv": ",\n",
+        "a.json": '{"trip": {"to": "Porto", "days": [1, {"x": true}, [2, " "]], "x": null}, "n": 1.5}', "b.json": "[[1], []]", "l.jsonl": '{"a": 1}\n\n{"b": [2, 3]}\n',
+        "p.html": '<!doctype html><html><head><title> A &amp;  b </title><style>x</style></head><body><!-- no > --><p class="a > b">one</p><div>two <b>three</b>&nbsp;x<br/>&lt;y&gt;</div><svg/>s<script>if (a < b) "</p>"</script></body>',
+        "q.htm": "<p>no title<svg><text>hidden</text></svg><script>open", "x.log": "caf\xe9".encode("cp1252"), "y.log": "hi".encode("utf-16"), "z.log": b"\x81\xe9", "bom.log": "\ufeffx".encode(), "py.py": "x = 1",
+        "r.rtf": r"{\rtf1{\*\x A;}\b Bold\b0\par next}", "d.xml": "<a><b> x  y </b><c>z</c></a>", "n/a.md": "---\ntitle: T\ncreated: 2026-01-05\n---\n# H\nbody [[x]]", "b.md": "---\n: [broken\n---\n# Head #\n",
+        "a.docx": zipped(word__document_xml=f"<w:d {w}><w:p><w:r><w:t>Hello </w:t><w:t>you</w:t></w:r></w:p><w:p/></w:d>", docProps__core_xml='<c xmlns:d="d"><d:title>Doc</d:title></c>'),
+        "a.pptx": zipped(ppt__slides__slide10_xml='<a xmlns:a="a"><a:p><a:t>ten</a:t></a:p></a>', ppt__slides__slide2_xml='<a xmlns:a="a"><a:p><a:t>two</a:t></a:p></a>'),
+        "a.xlsx": zipped(xl__sharedStrings_xml="<s><si><t>name</t></si><si><t>Maya</t></si></s>", xl__worksheets__sheet1_xml='<w><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>n</v></c></row><row/><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row></w>', xl__worksheets__sheet2_xml="<w><row><c><v>only</v></c></row></w>"),
+        "a.epub": zipped(**{"META-INF__container_xml": '<c><rootfile full-path="o/p.opf"/></c>', "o__p_opf": '<p><title>Book</title><item id="1" href="c.html"/><item id="2" href="d.html"/><itemref idref="2"/><itemref idref="1"/></p>', "o__c_html": "<p>chapter</p>", "o__d_html": "<title>t</title><p>first</p>"}),
+        "m.eml": mail, "p.eml": page_mail, "m.mbox": "From x\n" + mail + "\nFrom y\n" + mail.replace("<1>", "<2>"), "none.eml": "From: a@b\n\n  \n",
+        "e.md": b"", "x.unknown": b"\0\1", "a.png": b"x", "bad.json": b"{", "a.txt": b" ", "cut.dat": "x" * 8191 + "\u00e9 more", "wrong.dat": b"x" * 8000 + b"\xff" + b"x" * 400, "end.dat": b"abc\xc3",
+    }
+    notes, skipped = documents.read_documents(spark.createDataFrame([(n, n, d if isinstance(d, bytes) else d.encode()) for n, d in given.items()], "path string, relative string, content binary"))
+    rows = notes.collect()
+    text = {r.relative: r.text for r in rows}
+    assert text["a.csv"] == "name: Maya | city: Lisbon\nname: Sam\nname: Ann, B | city: Porto" and text["h.csv"] == "a | b" and text["t.tsv"] == "k: 1 | v: 2"
+    assert text["a.json"] == "trip.to: Porto\ntrip.days[0]: 1\ntrip.days[1].x: True\ntrip.days[2][0]: 2\nn: 1.5" and text["b.json"] == "[0][0]: 1" and text["l.jsonl"] == "a: 1\n\nb[0]: 2\nb[1]: 3"
+    assert text["p.html"] == "one\ntwo three x\n<y>\ns" and text["q.htm"] == "no title"
+    assert [text[x] for x in ("x.log", "y.log", "z.log", "bom.log")] == ["caf\xe9", "hi", "\x81\xe9", "x"]
+    assert text["r.rtf"] == "Bold\nnext" and text["d.xml"] == "x y\nz" and text["n/a.md"] == "# H\nbody [[x]]"
+    assert text["a.docx"] == "Hello you" and text["a.pptx"] == "Slide 2\ntwo\n\nSlide 10\nten" and text["a.xlsx"] == "name: Maya | n: 7\n\nonly" and text["a.epub"] == "first\n\nchapter"
+    title = {r.relative: r.title for r in rows}
+    assert [title[x] for x in ("p.html", "q.htm", "n/a.md", "b.md", "a.docx", "a.epub", "a.csv", "m.eml")] == ["A & b", "q", "T", "Head", "Doc", "Book", "a", "S"]
+    first = next(r for r in rows if r.relative == "m.eml")
+    assert (first.external_id, first.source, first.text, first.created_at) == ("<1>", "email", "From: a@b\nTo: c@d\n\nhello", "2026-01-05T10:00:00+00:00")
+    assert text["p.eml"] == "From: a@b\n\none & two" and sum(r.relative == "m.mbox" for r in rows) == 2
+    assert next(r.created_at for r in rows if r.relative == "n/a.md") == "2026-01-05T00:00:00" and next(r.language for r in rows if r.relative == "py.py") == "python"
+    why = {r.relative: r.reason for r in skipped.collect()}
+    assert set(why) == {"e.csv", "none.eml", "e.md", "x.unknown", "a.png", "bad.json", "a.txt", "wrong.dat", "end.dat"} and len(text["cut.dat"]) == 8197
+    assert why["e.csv"] == "it holds no text" and why["none.eml"] == "it holds no email with text" and why["bad.json"].startswith("it could not be read")
 
 
 def test_folder(spark, tmp_path):
