@@ -264,11 +264,30 @@ def test_op6_equals_brute_force(spark, monkeypatch):
         smallest[r] = min(smallest.get(r, 10**9), int(ids[k]))
     want = sorted((int(ids[k]), int(n[k]), smallest[root[k]], int(ids[k]) == smallest[root[k]]) for k in range(len(x)))
     assert n.sum() > 500
-    for tile, square in ((8192, 1024), (16, 4)):
-        monkeypatch.setattr(vectors, "TILE", tile), monkeypatch.setattr(vectors, "SQUARE", square)
+    for band, tile in ((65_536, 8192), (40, 16), (9, 4)):
+        monkeypatch.setattr(vectors, "BAND", band), monkeypatch.setattr(vectors, "TILE", tile)
         assert sorted(map(tuple, vectors.near_vectors(df).collect())) == want
 
 
+def test_op6_folds_links_of_equal_vectors():
+    """All of 6,000 rows alike, in two bands: 18 million links, of which no more than a square's are held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    unit = np.zeros((6000, 16))
+    unit[:, 0] = 1.0
+    rids = np.random.default_rng(8).permutation(6000).astype(np.int64)
+    sides = [{"pair": "0-1", "number": k // 2, "tile": k % 2, "crossed": True, "rids": rids[k * 1500 : (k + 1) * 1500].tobytes(), "v": unit[:1500].tobytes()} for k in range(4)]
+    batch = pa.RecordBatch.from_pylist(sides)
+    tracemalloc.start()
+    out = next(vectors.compare(np.eye(16), 0.95)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(out.column("n").to_pylist()) == {3000} and set(out.column("root").to_pylist()) == {0} and out.num_rows == 6000
+    assert peak < 120_000_000
+
+
 def test_op6_on_odd_rows(spark):
     x = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (None, [2.0, 4.0]), (7, [1.0, 2.0, 0.0]), (8, []), (9, [-1.0, 0.0]), (10, [float("inf"), 1.0])], "vec_id long, embedding array<float>")
     got = rows(vectors.near_vectors(x))
