@@ -26,9 +26,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines of many documents stay in one of them; n_chars follows the text."""
-    made = lines.dedup_lines(docs, carry=tuple(docs.columns))
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return made.select(*[new.get(c, F.col(f"row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
+    carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    made = lines.dedup_lines(docs, carry=carry)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")} | {c: F.col(f"row.c{k}") for k, c in enumerate(carry)}
+    return made.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

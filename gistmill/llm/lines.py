@@ -1,8 +1,12 @@
 """Operator 7: line dedup with built-in functions only.
 
-Lines are exploded and hashed (two independent 64-bit hashes), documents are counted for each hash, and lines of
-hashes over the threshold go, except in the document with the largest id. Counting first groups (hash, document),
-so a line that a third of all documents hold is spread over all tasks, then (hash) with map-side partial counts.
+Lines are exploded once with their positions and hashed (two independent 64-bit hashes), documents are counted for
+each hash, lines of hashes over the threshold go, except in the document with the largest id, and what stays is put
+together by position. Counting first groups (hash, document), so a line that a third of all documents hold is spread
+over all tasks, then (hash) with map-side partial counts. Lines meet the counts in two ways: the HEAVY most frequent
+hashes are broadcast (a fixed number of rows), so that their lines move nowhere; of the others none has more than
+1 / HEAVY of all lines, and they meet by a shuffle. Lost positions return to a document by its id and a hash of its
+text, whatever its number of lines.
 
 Defined results: a null or empty text is one empty line; the key of a line has ASCII white space stripped at both
 ends and A-Z in lower case; documents of the same id count once for a line, and each such row keeps or loses its
@@ -17,8 +21,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.session import durable
+
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Most frequent hashes that are broadcast.
+HEAVY = 1024
 
 
 def key_of(line: Column) -> Column:
@@ -35,17 +43,26 @@ def hash_of(line: Column, min_chars: int) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text and the carried columns (as a struct, row) for each row of docs."""
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.lit(None).cast("struct<c0:int>")
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), row.alias("row"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), row.alias("row"))
     lines = F.split("text", "\n")
-    held = base.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform(lines, lambda x: hash_of(x, min_chars)), lambda h: h.isNotNull()))).alias("h"))
-    held = held.select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    hot = held.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lose = held.join(hot.select("a", "b", "keeper"), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    lost = lose.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    both = base.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.doc_id", "d.text", "d.row", "l.lost")
-    keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), hash_of(x, min_chars)), F.lit(False)))
-    both = both.withColumn("kept", F.when(F.col("lost").isNull(), lines).otherwise(keep))
-    return both.select("doc_id", "row", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+    held = base.select("doc_id", "t", F.posexplode(F.transform(lines, lambda x: hash_of(x, min_chars))).alias("pos", "h")).where("h is not null")
+    held = durable(held.select("doc_id", "t", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b")))
+    once = held.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one"))
+    hot = durable(once.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
+    heavy = F.broadcast(hot.orderBy(F.col("n").desc(), "a", "b").limit(HEAVY).select("a", "b", F.struct("keeper").alias("found")))
+    met = held.join(heavy, ["a", "b"], "left")
+    light = hot.join(heavy, ["a", "b"], "left_anti").select("a", "b", F.struct("keeper").alias("found"))
+    lose = met.where("found is not null").unionByName(met.where("found is null").drop("found").join(light, ["a", "b"])).where(~F.col("doc_id").eqNullSafe(F.col("found.keeper")))
+    lost = lose.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("lost"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.t") == F.col("l.t"))
+    both = base.alias("d").join(lost.alias("l"), same, "left").select("d.doc_id", "d.text", "d.row", "l.lost").withColumn("lines", lines)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost")), lambda i: F.get("lines", i))
+    n_lines = F.size("lines").cast("long")
+    # repeated rows bring the same positions again
+    both = both.withColumn("kept", F.when(F.col("lost").isNotNull(), kept))
+    n_dropped = F.coalesce(n_lines - F.size("kept"), F.lit(0)).cast("long")
+    return both.select("doc_id", "row", n_lines.alias("n_lines"), F.when(F.col("kept").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"), F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("kept_text"))
 
 
 def op7(docs: DataFrame) -> DataFrame:
