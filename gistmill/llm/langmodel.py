@@ -1,17 +1,22 @@
-"""Operator 9: LM scoring by deleted interpolation of bigrams and unigrams.
-
-P(w | v) = a[k] c(v, w) / c(v) + b[k] c(w) / N + e[k] / (V + 1), where k is the bucket of c(v) by powers of two. The
-weights of each bucket are learned by expectation-maximisation on counts from which the token at hand is deleted:
-every training token is held out in turn, (c(v, w) - 1) / (c(v) - 1) and (c(w) - 1) / (N - 1) predict it.
-
-Flow: documents become blocks of word codes; each block asks hash buckets for the counts of its distinct words and
-bigrams and adds its own training counts; totals return to the blocks, which sum up the cells of the EM (their
-number is fixed by the resolution, whatever the corpus) and then score their documents. Words meet by a 64-bit hash,
-bigrams by one of 54 bits.
-
-Defined results: a null or empty text is its end token alone; the first token's context is the end token; rows whose
-crc32(id as text) mod folds is the held-out remainder give no counts (a null id counts as the empty text); repeated
-rows count each time; with no training rows N and V are 0 and the model is uniform; other columns are not read.
+"""Operator 9: LM scoring by deleted interpolation of trigrams, bigrams and unigrams.
+
+P(w | u v) = a[k] c(u, v, w) / c(u, v) + b[k] c(v, w) / c(v) + d[k] c(w) / N + e[k] / (V + 1), where k is the bucket of
+c(u, v) by powers of two, or that of c(v) where u v was not seen. The weights of each bucket are learned by
+expectation-maximisation on counts from which the token at hand is deleted: every training token is held out in turn,
+(c(u, v, w) - 1) / (c(u, v) - 1) and so on predict it. A part whose context was not seen has weight 0.
+
+Flow: documents become blocks of word codes, dealt by block once. Each block asks hash buckets for the counts of its
+distinct words and bigrams and adds its own training counts; totals return to the blocks. Then it asks for trigrams,
+but only for those of which both bigrams occur outside the block: no trigram occurs more often than its bigrams, so
+the count of any other one is the block's own. Blocks then sum up the cells of the EM (their number is fixed by the
+resolution, whatever the corpus) and score their documents. For the cells, shares are rounded to half powers of two;
+scores use exact counts. Words meet by a 64-bit hash, bigrams and trigrams by one of 54 bits: of n distinct ones, about
+n / 2**54 share a count with another (one in four million for four thousand million).
+
+Defined results: a null or empty text is its end token alone; the first token's context is the end token, and it has no
+trigram; rows whose crc32(id as text) mod folds is the held-out remainder give no counts (a null id counts as the empty
+text); repeated rows count each time; with no training rows N and V are 0 and the model is uniform; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,10 +34,13 @@ from gistmill.llm import blocks as B
 from gistmill.session import durable
 
 FOLDS, HELD_OUT = 7, 2
-#: Context buckets by powers of two, and bins of a probability: none, then quarters of a power of two.
-CONTEXTS, BINS, STEPS = 24, 160, 4
+#: A block closes at so many bytes of text or documents; a single longer document is a block of its own.
+BLOCK_BYTES, BLOCK_DOCS = 10_000_000, 40_000
+#: Context buckets by powers of two; bins of a share: none, then half powers of two, for n-gram and for word shares.
+CONTEXTS, STEPS, BINS, WORD_BINS = 24, 2, 40, 96
 ROUNDS = 60
 END = b"\n"  # no word: words hold no white space
+WORDS, PAIRS, TRIPLES, TOTALS = 1, 2, 3, 9
 
 
 def is_held_out(doc_id: int | None, folds: int = FOLDS, remainder: int = HELD_OUT) -> bool:
@@ -69,7 +77,7 @@ def split_blocks(folds: int, remainder: int):
         part, n, size = B.partition(), 0, 0
         ids, lengths, codes, table = fresh()
         for i, raw in B.pairs(batches):
-            if ids and (size + len(raw) > B.BLOCK_BYTES or len(ids) >= B.BLOCK_DOCS):
+            if ids and (size + len(raw) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
                 yield from packed(f"{part}-{n}", ids, lengths, codes, table)
                 (ids, lengths, codes, table), size, n = fresh(), 0, n + 1
             words = raw.lower().split()
@@ -84,16 +92,6 @@ def split_blocks(folds: int, remainder: int):
     return run
 
 
-def block_pairs(codes: np.ndarray, lengths: np.ndarray, n_words: int, inverse: bool = False):
-    """Distinct bigrams of a block as previous * n_words + code, sorted, and for each token its bigram's place."""
-    return np.unique(previous(codes, lengths).astype(np.int64) * n_words + codes, return_inverse=inverse)
-
-
-def pair_hashes(pairs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    n = len(hashes)
-    return mixed(mixed(hashes)[pairs // n] + np.uint64(0x9E3779B97F4A7C15) * hashes[pairs % n])
-
-
 def placed(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by (bucket, hash within it), and where each bucket starts. A block and its answers agree on it."""
     bucket = (h >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)
@@ -102,145 +100,234 @@ def placed(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
 
 
+def shares(part: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
+    return part / np.maximum(whole, 1)
+
+
+class Block:
+    """Documents as codes, with their distinct words, bigrams and trigrams, and the counts asked for so far."""
+
+    def __init__(self, payload: bytes, replies: list[tuple[int, int, bytes]] = (), n_buckets: int = 1) -> None:
+        self.ids, self.valid, self.lengths, self.train, self.hashes, *streams = B.unpack(payload)
+        self.codes = B.unpack_codes(*streams)
+        self.n_buckets = n_buckets
+        self.replies = sorted(replies, key=lambda r: r[:2])
+        n = len(self.hashes)
+        pairs, at = np.unique(previous(self.codes, self.lengths).astype(np.int64) * n + self.codes, return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.first, self.last = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        self.counted = np.repeat(self.train, self.lengths).astype(bool)
+        if self.replies:
+            self.word_count, _ = self.back(WORDS, self.word_keys())
+            self.pair_count, extra = self.back(PAIRS, self.pair_keys())
+            self.pair_all = self.pair_count + extra
+
+    def word_keys(self) -> np.ndarray:
+        return mixed(self.hashes)
+
+    def pair_keys(self) -> np.ndarray:
+        return mixed(mixed(self.hashes)[self.first] + np.uint64(0x9E3779B97F4A7C15) * self.hashes[self.last])
+
+    def triples(self) -> None:
+        """Distinct trigrams: the places of their two bigrams, and for each token its trigram's place (-1 for a text's first)."""
+        inside = np.ones(len(self.codes), bool)
+        inside[np.cumsum(self.lengths) - self.lengths] = False
+        own = np.flatnonzero(inside)
+        found, at = np.unique(self.at[own - 1].astype(np.int64) * len(self.first) + self.at[own], return_inverse=True)
+        self.context, self.suffix = (found // max(len(self.first), 1)).astype(np.int32), (found % max(len(self.first), 1)).astype(np.int32)
+        self.tri_at = np.full(len(self.codes), -1, np.int32)
+        self.tri_at[own] = at
+        self.tri_own = np.bincount(at[self.counted[own]], minlength=len(found))
+        everywhere = np.bincount(at, minlength=len(found))
+        # both bigrams occur outside the block, in documents of either kind
+        self.asked = np.flatnonzero(np.minimum(self.pair_all[self.context], self.pair_all[self.suffix]) > everywhere)
+
+    def triple_keys(self) -> np.ndarray:
+        own = self.asked
+        return mixed(self.pair_keys()[self.context[own]] * np.uint64(3) + self.hashes[self.last[self.suffix[own]]] * np.uint64(0xD1342543DE82EF95))
+
+    def tri_counts(self) -> np.ndarray:
+        out = self.tri_own.copy()
+        if len(self.asked):
+            out[self.asked], _ = self.back(TRIPLES, self.triple_keys())
+        return out
+
+    def back(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Answers of a kind: training counts, and counts of the other documents."""
+        order, _ = placed(h, self.n_buckets)
+        got = [B.unpack(p) for k, _, p in self.replies if k == kind]
+        out = []
+        for part in (0, 1):
+            flat = np.concatenate([g[part] for g in got] or [np.empty(0, np.int64)])
+            if len(flat) != len(h):
+                raise ValueError("a block lacks answers")
+            put = np.empty(len(h), np.int64)
+            put[order] = flat
+            out.append(put)
+        return out[0], out[1]
+
+    def tokens(self) -> tuple[np.ndarray, ...]:
+        """Places of the distinct (trigram, bigram) pairs of tokens: for each the trigram's place or -1, the bigram's, and
+        for each token the pair's place."""
+        both = np.where(self.tri_at >= 0, self.tri_at.astype(np.int64) + len(self.first), self.at)
+        found, at = np.unique(both, return_inverse=True)
+        tri = np.where(found >= len(self.first), found - len(self.first), -1)
+        pair = np.where(tri >= 0, self.suffix[np.maximum(tri, 0)] if len(self.suffix) else 0, found)
+        return tri, pair, at
+
+
+def request_rows(block: str, kind: int, h: np.ndarray, n: np.ndarray, extra: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket: sorted hashes (as steps), and counts in training and other documents."""
+    order, cuts = placed(h, n_buckets)
+    h, n, extra = h[order], n[order].astype(np.uint32), extra[order].astype(np.uint32)
+    if kind != WORDS:
+        h = h >> np.uint64(10)  # 54 bits are left: steps between sorted hashes then take about four bytes
+    for b in range(n_buckets):
+        if cuts[b] < cuts[b + 1]:
+            x, y = cuts[b], cuts[b + 1]
+            yield from B.rows(block, kind, [(b, B.pack(h[x : x + 1], np.diff(h[x:y]), n[x:y], extra[x:y]))])
+
+
 def requests(n_buckets: int):
-    """Per block and bucket: sorted hashes (as steps) and training counts, kind 1 for words and 2 for bigrams."""
+    """Words and bigrams of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, lengths, train, hashes, *streams = B.unpack(row["payload"])
-                codes = B.unpack_codes(*streams)
-                pairs, at = block_pairs(codes, lengths, len(hashes), inverse=True)
-                counted = np.repeat(train, lengths).astype(bool)
-                both = ((1, mixed(hashes), np.bincount(codes[counted], minlength=len(hashes))), (2, pair_hashes(pairs, hashes), np.bincount(at[counted], minlength=len(pairs))))
-                del codes, at, counted, pairs
-                for kind, h, n in both:
-                    order, cuts = placed(h, n_buckets)
-                    h, n = h[order], n[order].astype(np.uint32)
-                    if kind == 2:
-                        h >>= np.uint64(10)  # 54 bits are left: steps between sorted hashes then take about four bytes
-                    for b in range(n_buckets):
-                        if cuts[b] < cuts[b + 1]:
-                            own = h[cuts[b] : cuts[b + 1]]
-                            yield from B.rows(row["block"], kind, [(b, B.pack(own[:1], np.diff(own), n[cuts[b] : cuts[b + 1]]))])
+                own = Block(row["payload"])
+                for kind, keys, at in ((WORDS, own.word_keys(), own.codes), (PAIRS, own.pair_keys(), own.at)):
+                    n, every = np.bincount(at[own.counted], minlength=len(keys)), np.bincount(at, minlength=len(keys))
+                    yield from request_rows(row["block"], kind, keys, n, every - n, n_buckets)
 
     return run
 
 
 def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of a bucket's hashes, returned to each asking block in its order; and the bucket's N and V (kind 9)."""
+    """Totals of a bucket's hashes, returned to each asking block in its order; and the bucket's N and V (of no block)."""
     for bucket, asked in B.grouped(batches, "bucket"):
-        for kind in (1, 2):
+        for kind in (WORDS, PAIRS, TRIPLES):
             rows = [(r["block"], B.unpack(r["payload"])) for r in asked if r["kind"] == kind]
             if not rows:
                 continue
-            keys = [np.cumsum(np.concatenate([first, step]), dtype=np.uint64) for _, (first, step, _) in rows]
+            keys = [np.cumsum(np.concatenate([x[0], x[1]]), dtype=np.uint64) for _, x in rows]
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([n for _, (_, _, n) in rows]), minlength=len(distinct)).astype(np.int64)
+            total, extra = (np.bincount(at, weights=np.concatenate([x[k] for _, x in rows]), minlength=len(distinct)).astype(np.int64) for k in (2, 3))
             cut = 0
             for (block, _), own in zip(rows, keys, strict=True):
-                yield from B.rows(block, kind, [(bucket, B.pack(total[at[cut : cut + len(own)]]))])
+                index = at[cut : cut + len(own)]
+                yield from B.rows(block, kind, [(bucket, B.pack(total[index], extra[index]))])
                 cut += len(own)
-            if kind == 1:
-                yield from B.rows("", 9, [(bucket, B.pack(np.array([total.sum(), (total > 0).sum()], np.int64)))])
+            if kind == WORDS:
+                yield from B.rows("", TOTALS, [(bucket, B.pack(np.array([total.sum(), (total > 0).sum()], np.int64)))])
 
 
-class Block:
-    """A block with the counts it asked for."""
+def opened(left: pa.Table, right: pa.Table, n_buckets: int) -> tuple[str, Block]:
+    """A block and its answers, as cogroup gives them."""
+    if not left.num_rows:
+        raise ValueError("answers of a block that is not there")
+    replies = list(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
+    own = Block(left.column("payload")[0].as_py(), replies, n_buckets)
+    own.triples()
+    return left.column("block")[0].as_py(), own
 
-    def __init__(self, parts: list[dict], n_buckets: int) -> None:
-        if parts[0]["kind"] != 0:
-            raise ValueError(f"block {parts[0]['block']} has answers but no documents")
-        self.ids, self.valid, self.lengths, self.train, hashes, *streams = B.unpack(parts[0]["payload"])
-        self.codes = B.unpack_codes(*streams)
-        pairs, self.at = block_pairs(self.codes, self.lengths, len(hashes), inverse=True)
-        self.first = (pairs // len(hashes)).astype(np.int32)
-        self.word_count = self.back(parts, 1, mixed(hashes), n_buckets)
-        self.pair_count = self.back(parts, 2, pair_hashes(pairs, hashes), n_buckets)
-        self.last = (pairs % len(hashes)).astype(np.int32)
-
-    @staticmethod
-    def back(parts: list[dict], kind: int, h: np.ndarray, n_buckets: int) -> np.ndarray:
-        order, _ = placed(h, n_buckets)
-        got = np.concatenate([B.unpack(p["payload"])[0] for p in parts if p["kind"] == kind] or [np.empty(0, np.int64)])
-        if len(got) != len(h):
-            raise ValueError("a block lacks answers")
-        out = np.empty(len(h), np.int64)
-        out[order] = got
-        return out
+
+def more_requests(n_buckets: int):
+    """Trigrams of a block that may occur outside it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        name, own = opened(left, right, n_buckets)
+        n = own.tri_own[own.asked]
+        every = np.bincount(own.tri_at[own.tri_at >= 0], minlength=len(own.tri_own))[own.asked]
+        return pa.Table.from_batches(request_rows(name, TRIPLES, own.triple_keys(), n, every - n, n_buckets), schema=B.ARROW)
+
+    return run
 
 
 def context_of(count: np.ndarray) -> np.ndarray:
     """0 for an unseen context, then by powers of two."""
-    return np.minimum(np.frexp(count.astype(np.float64))[1], CONTEXTS - 1)
+    return np.minimum(np.frexp(np.asarray(count, np.float64))[1], CONTEXTS - 1)
+
 
+def bucket_of(pair_context: np.ndarray, word_context: np.ndarray) -> np.ndarray:
+    """The bucket of the count of the two words before, or that of the one before where those were not seen."""
+    return np.where(pair_context > 0, context_of(pair_context), CONTEXTS + context_of(word_context))
 
-def bin_of(p: np.ndarray) -> np.ndarray:
-    """0 for no probability, then quarters of powers of two downwards."""
+
+def bin_of(p: np.ndarray, bins: int) -> np.ndarray:
+    """0 for no share, then half powers of two downwards."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.round(-np.log2(p) * STEPS), 0, BINS - 2) + 1, 0).astype(np.int64)
+        return np.where(p > 0, np.clip(np.round(-np.log2(p) * STEPS), 0, bins - 2) + 1, 0).astype(np.int64)
+
+
+def cell_of(bucket: np.ndarray, p3: np.ndarray, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    return ((bucket * BINS + bin_of(p3, BINS)) * BINS + bin_of(p2, BINS)) * WORD_BINS + bin_of(p1, WORD_BINS)
 
 
 def cells(n_buckets: int, total: int):
     """Sums of the EM's cells over a block's training tokens, each deleted from the counts that predict it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in B.grouped(batches, "block"):
-            block = Block(parts, n_buckets)
-            counted = np.repeat(block.train, block.lengths).astype(bool)
-            n = np.bincount(block.at[counted], minlength=len(block.first))
-            own = np.flatnonzero(n)
-            context = block.word_count[block.first[own]] - 1
-            p2 = np.where(context > 0, (block.pair_count[own] - 1) / np.maximum(context, 1), 0.0)
-            p1 = (block.word_count[block.last[own]] - 1) / max(total - 1, 1)
-            cell, at = np.unique((context_of(context) * BINS + bin_of(p2)) * BINS + bin_of(p1), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(np.bincount(at, weights=n[own]), pa.float64())], names=["cell", "n"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, own = opened(left, right, n_buckets)
+        tri, pair, at = own.tokens()
+        n = np.bincount(at[own.counted], minlength=len(tri))
+        keep = np.flatnonzero(n)
+        tri, pair, n = tri[keep], pair[keep], n[keep]
+        triple = np.where(tri >= 0, own.tri_counts()[tri] if len(own.tri_own) else 0, 1) - 1
+        before = np.where(tri >= 0, own.pair_count[own.context[tri]] if len(own.context) else 0, 1) - 1
+        word = own.word_count[own.first[pair]] - 1
+        cell, where = np.unique(cell_of(bucket_of(before, word), np.where(before > 0, shares(triple, before), 0.0), np.where(word > 0, shares(own.pair_count[pair] - 1, word), 0.0), (own.word_count[own.last[pair]] - 1) / max(total - 1, 1)), return_inverse=True)
+        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(np.bincount(where, weights=n, minlength=len(cell)), pa.float64())})
 
     return run
 
 
 def learn(cell: np.ndarray, n: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Weights (contexts, 3) by EM; a context bucket without counts takes those of the nearest lower one."""
-    value = np.concatenate([[0.0], 2.0 ** (-np.arange(BINS - 1) / STEPS)])
-    k = cell // (BINS * BINS)
-    p = np.stack([value[cell // BINS % BINS], value[cell % BINS], np.full(len(cell), 1.0 / (vocabulary + 1))], axis=1)
-    w = np.full((CONTEXTS, 3), 1 / 3)
+    """Weights (buckets, 4) by EM; a bucket without counts takes those of the nearest lower one of its kind."""
+    value = np.concatenate([[0.0], 2.0 ** (-np.arange(WORD_BINS - 1) / STEPS)])
+    k = cell // (BINS * BINS * WORD_BINS)
+    p = np.stack([value[cell // (BINS * WORD_BINS) % BINS], value[cell // WORD_BINS % BINS], value[cell % WORD_BINS], np.full(len(cell), 1.0 / (vocabulary + 1))], axis=1)
+    allowed = np.ones((2 * CONTEXTS, 4))
+    allowed[CONTEXTS:, 0] = 0  # no trigram without its context
+    allowed[CONTEXTS, 1] = 0
+    w = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(ROUNDS):
         part = w[k] * p
         part *= (n / np.maximum(part.sum(axis=1), 1e-300))[:, None]
-        new = np.stack([np.bincount(k, weights=part[:, j], minlength=CONTEXTS) for j in range(3)], axis=1)
+        new = np.stack([np.bincount(k, weights=part[:, j], minlength=2 * CONTEXTS) for j in range(4)], axis=1)
         # a thousandth of a token keeps every weight above 0, so that unseen words keep some probability
-        new = new + 1e-3
+        new = (new + 1e-3) * allowed
         w = new / new.sum(axis=1, keepdims=True)
-    seen = np.bincount(k, minlength=CONTEXTS) > 0
-    for j in range(1, CONTEXTS):
-        if not seen[j] and seen[:j].any():
-            w[j] = w[j - 1]
+    seen = np.bincount(k, minlength=2 * CONTEXTS) > 0
+    for kind in (0, CONTEXTS):
+        for j in range(kind + 2, kind + CONTEXTS):
+            if not seen[j] and seen[kind + 1 : j].any():
+                w[j] = w[j - 1]
     return w
 
 
 def scores(n_buckets: int, total: int, vocabulary: int, weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in B.grouped(batches, "block"):
-            block = Block(parts, n_buckets)
-            context = block.word_count[block.first]
-            w = weights[context_of(context)]
-            p = w[:, 0] * block.pair_count / np.maximum(context, 1) + w[:, 1] * block.word_count[block.last] / max(total, 1) + w[:, 2] / (vocabulary + 1)
-            log_p = np.log10(p)[block.at]
-            base = np.log10((block.word_count + 1) / (total + vocabulary + 1))
-            starts = np.cumsum(block.lengths) - block.lengths
-            yield pa.RecordBatch.from_arrays(
-                [
-                    B.array_to_ids(block.ids, block.valid),
-                    pa.array(block.train == 0),
-                    pa.array(block.lengths, pa.int64()),
-                    pa.array(np.add.reduceat((block.word_count > 0)[block.codes].astype(np.int64), starts), pa.int64()),
-                    pa.array(np.full(len(starts), total), pa.int64()),
-                    pa.array(np.add.reduceat(base[block.codes], starts), pa.float64()),
-                    pa.array(np.add.reduceat(log_p, starts), pa.float64()),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, own = opened(left, right, n_buckets)
+        tri, pair, at = own.tokens()
+        triple = np.where(tri >= 0, own.tri_counts()[tri] if len(own.tri_own) else 0, 0)
+        before = np.where(tri >= 0, own.pair_count[own.context[tri]] if len(own.context) else 0, 0)
+        word = own.word_count[own.first[pair]]
+        w = weights[bucket_of(before, word)]
+        p = w[:, 0] * shares(triple, before) + w[:, 1] * shares(own.pair_count[pair], word) + w[:, 2] * own.word_count[own.last[pair]] / max(total, 1) + w[:, 3] / (vocabulary + 1)
+        log_p = np.log10(p)[at]
+        base = np.log10((own.word_count + 1) / (total + vocabulary + 1))
+        starts = np.cumsum(own.lengths) - own.lengths
+        return pa.table(
+            {
+                "doc_id": B.array_to_ids(own.ids, own.valid),
+                "held_out": pa.array(own.train == 0),
+                "n_tokens": pa.array(own.lengths, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((own.word_count > 0)[own.codes].astype(np.int64), starts), pa.int64()),
+                "train_tokens": pa.array(np.full(len(starts), total), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(base[own.codes], starts), pa.float64()),
+                "score": pa.array(np.add.reduceat(log_p, starts), pa.float64()),
+            }
+        )
 
     return run
 
@@ -250,13 +337,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     spark = docs.sparkSession
     B.tune(spark)
     n = B.buckets(spark)
-    made = durable(B.texts(docs, id_col, text_col).mapInArrow(split_blocks(folds, remainder), B.ROW))
-    asked = made.mapInArrow(requests(n), B.ROW)
-    replies = durable(B.by_key(asked, "bucket", ["kind", "block"], answers, B.ROW))
-    totals = [B.unpack(r.payload)[0] for r in replies.where("kind = 9").collect()]  # two numbers for each bucket
+    # dealt by block and cut: later steps bring answers to the blocks, which stay where they are
+    made = durable(B.texts(docs, id_col, text_col).mapInArrow(split_blocks(folds, remainder), B.ROW).repartition(n, "block"))
+    replies = durable(B.by_key(made.mapInArrow(requests(n), B.ROW), "bucket", ["kind", "block"], answers, B.ROW))
+    totals = [B.unpack(r.payload)[0] for r in replies.where(f"kind = {TOTALS}").collect()]  # two numbers for each bucket
     total, vocabulary = (int(sum(x[j] for x in totals)) for j in (0, 1))
-    both = made.unionByName(replies.where("kind < 9"))
-    gathered = B.by_key(both, "block", ["kind", "bucket"], cells(n, total), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most CONTEXTS * BINS * BINS
+    first = replies.where(f"kind < {TOTALS}")
+
+    def at_blocks(answered: DataFrame, fn, schema: str) -> DataFrame:
+        return made.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(fn, schema)
+
+    asked = at_blocks(first, more_requests(n), B.ROW)
+    both = first.unionByName(durable(B.by_key(asked, "bucket", ["kind", "block"], answers, B.ROW)))
+    gathered = at_blocks(both, cells(n, total), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # bounded by the bins
     weights = learn(np.array([r.cell for r in gathered], np.int64), np.array([r.n for r in gathered], np.float64), vocabulary)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return B.by_key(both, "block", ["kind", "bucket"], scores(n, total, vocabulary, weights), schema)
+    return at_blocks(both, scores(n, total, vocabulary, weights), schema)

@@ -393,15 +393,71 @@ def test_op9_equals_counts(spark, docs, odd):
             assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def lm_brute(given):
+    """The score of each document by plain counting; weights by the same EM over cells made one token at a time."""
+    toks = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in given]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    one, two, three = Counter(), Counter(), Counter()
+
+    def grams(ws):
+        for k, w in enumerate(ws):
+            yield (ws[k - 2] if k > 1 else b"\n", ws[k - 1], w) if k else None, (ws[k - 1] if k else b"\n", w), w
+
+    for i, ws in toks:
+        if not held(i):
+            for g3, g2, g1 in grams(ws):
+                one[g1] += 1
+                two[g2] += 1
+                three[g3] += g3 is not None
+    n, v = sum(one.values()), len(one)
+
+    def parts(g3, g2, g1, less):
+        c3, b3 = (three[g3] - less, two[g3[:2]] - less) if g3 else (0, 0)
+        b2 = one[g2[0]] - less
+        return b3, b2, c3 / b3 if b3 > 0 else 0.0, (two[g2] - less) / b2 if b2 > 0 else 0.0, (one[g1] - less) / max(n - less, 1)
+
+    found = Counter()
+    for i, ws in toks:
+        if not held(i):
+            for g in grams(ws):
+                b3, b2, *p = parts(*g, 1)
+                found[int(langmodel.cell_of(langmodel.bucket_of(np.array([b3]), np.array([b2])), *(np.array([x]) for x in p))[0])] += 1
+    w = langmodel.learn(np.array(list(found), np.int64), np.array(list(found.values()), np.float64), v)
+    out = []
+    for _, ws in toks:
+        total = 0.0
+        for g in grams(ws):
+            b3, b2, *p = parts(*g, 0)
+            k = int(langmodel.bucket_of(np.array([b3]), np.array([b2]))[0])
+            total += math.log10(w[k] @ np.array([*p, 1 / (v + 1)]))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("size", [10_000_000, 300])
+def test_op9_scores_equal_brute_force(spark, odd, monkeypatch, size):
+    monkeypatch.setattr(langmodel, "BLOCK_BYTES", size)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 60)), p=np.arange(8, 0, -1) / 36)) for _ in range(90)]
+    given = [(k, t) for k, t in enumerate(texts)] + [(90, None), (91, "A a a A b"), (92, "never seen words never seen"), (93, "never seen words here")]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in langmodel.score(df).collect()}
+    assert np.allclose([got[i] for i, _ in given], lm_brute(given), atol=1e-9)
+    rows_odd = [(r[0], r[1]) for r in ODD]
+    assert np.allclose(sorted(r.score for r in langmodel.score(odd).collect()), sorted(lm_brute(rows_odd)), atol=1e-6)
+
+
 def test_op9_probabilities_sum_to_one():
-    """Over all words and the unknown one, for a seen and an unseen context."""
+    """Over all words and the unknown one, for seen and unseen contexts."""
     total, vocabulary = 10, 4
-    w = langmodel.learn(np.array([langmodel.BINS * langmodel.BINS * 3 + 5]), np.array([7.0]), vocabulary)
-    pair, count = {"a": 2, "b": 1}, {"a": 5, "b": 3, "c": 1, "d": 1}
-    for context, n in ((3, pair), (0, {})):
-        k = langmodel.context_of(np.array([context]))[0]
-        p = [w[k, 0] * n.get(x, 0) / max(context, 1) + w[k, 1] * count.get(x, 0) / total + w[k, 2] / (vocabulary + 1) for x in "abcd?"]
-        assert abs(sum(p) - (1 if context else 1 - w[k, 0])) < 1e-12
+    rng = np.random.default_rng(10)
+    cell = rng.integers(0, 2 * langmodel.CONTEXTS * langmodel.BINS**2 * langmodel.WORD_BINS, 400)
+    w = langmodel.learn(cell, rng.random(400) * 9, vocabulary)
+    triple, pair, count = {"a": 2}, {"a": 2, "b": 1}, {"a": 5, "b": 3, "c": 1, "d": 1}
+    for before, context, t, b in ((2, 3, triple, pair), (0, 3, {}, pair), (0, 0, {}, {})):
+        k = langmodel.bucket_of(np.array([before]), np.array([context]))[0]
+        p = [w[k, 0] * t.get(x, 0) / max(before, 1) + w[k, 1] * b.get(x, 0) / max(context, 1) + w[k, 2] * count.get(x, 0) / total + w[k, 3] / (vocabulary + 1) for x in "abcd?"]
+        assert abs(sum(p) - 1) < 1e-12
 
 
 def test_op10_equals_the_library(odd, docs):
