@@ -4,13 +4,15 @@ Each document gets the key -ln(u) / quality, u a hash of its id and of the seed;
 taken by ascending key until the source's budget of words is met. Whole epochs come first: a source whose target
 is 1.3 times its size takes all documents once and the first 0.3 of the key order again.
 
-The order is a prefix sum over (source, bin of the key), where bins split a source evenly by the hash, and inside
-one bin by the key. So a source that holds a third of all rows is spread over all its bins.
+The order is a prefix sum over (source, bin of the key), and inside one bin by the key. Bins rise with the key and are
+even on six scales at once, a power of two apart, so that keys spread over them whatever the qualities of a source are:
+of documents of one quality (1 / 32 to 1) no bin gets more than ten times its even share of 1 / BINS. So a source that
+holds a third of all rows is spread over hundreds of tasks.
 
 Defined results: sources order by code point with null last and weigh 3, 1, 2, repeating; a null text has size 0
 and is taken 0 times; a document at the edge of the budget is taken if that brings the source nearer its target;
-rows of the same id and text share a key and order among themselves by text; an empty table gives no rows; other
-columns are carried by mix() on request.
+rows of the same id and text share a key and order among themselves by text; rows of a null id are told apart by their
+texts; an empty table gives no rows; other columns are carried by mix() on request.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 WEIGHTS = (3, 1, 2)
 TOTAL, MOST, SEED = 1.5, 2.0, 20240607
-#: Bins of a source's key order. A bin holds a few thousandths of a source, so no task holds a hot source.
-BINS = 1024
+#: Bins of a source's key order, and the scales on which they are even.
+BINS, SCALES = 4096, (1.0, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,6 +38,20 @@ def quality_of(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.pow(plain / F.greatest(F.length(text), F.lit(1)), 2.0))
 
 
+def key_of(doc_id: Column, text: Column, quality: Column, seed: int = SEED) -> Column:
+    """-ln(u) / quality, u a double in (0, 1] of 53 hash bits of the id, and of the text where the id is null."""
+    own = F.xxhash64(doc_id, F.lit(seed), F.when(doc_id.isNull(), text))
+    u = (F.shiftrightunsigned(own, 11).cast("double") + 1.0) / F.lit(2.0**53)
+    return -F.log(u) / quality
+
+
+def bin_of(key: Column) -> Column:
+    spread = F.lit(0.0)
+    for scale in SCALES:
+        spread = spread + (1.0 - F.exp(-key * scale))
+    return F.least(F.floor(spread / len(SCALES) * BINS), F.lit(BINS - 1)).cast("int")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source_key, source_size, target from (source_key, null_last, source_size): weights share the total, capped.
 
@@ -59,19 +75,16 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), quality: Column | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, epochs (times taken) and the carried columns (as a struct, row), one row a document."""
     text, source = docs[text_col], docs[source_col].cast("string")
-    # a double in (0, 1] of 53 hash bits, and the key it gives
-    u = (F.shiftrightunsigned(F.xxhash64(docs[id_col], F.lit(seed)), 11).cast("double") + 1.0) / F.lit(2.0**53)
     base = docs.select(
         docs[id_col].alias("doc_id"),
         F.coalesce(source, F.lit("")).alias("source_key"),
         source.isNull().cast("int").alias("null_last"),
         size_of(text).alias("size"),
-        (-F.log(u) / (quality if quality is not None else quality_of(text))).alias("key"),
+        key_of(docs[id_col], text, quality if quality is not None else quality_of(text), seed).alias("key"),
         F.xxhash64(text).alias("tie"),
         (F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.lit(None).cast("struct<c0:int>")).alias("row"),
     )
-    # the key's bin: 1 - exp(-key) spreads unit-quality keys evenly, and rises with the key for any quality
-    base = base.withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * BINS).cast("int"))
+    base = base.withColumn("bin", bin_of(F.col("key")))
     named, binned = ["source_key", "null_last"], ["source_key", "null_last", "bin"]
     bins = base.groupBy(*binned).agg(F.sum("size").alias("bin_size"))
     by_source = bins.groupBy(*named).agg(F.sum("bin_size").alias("source_size"))
