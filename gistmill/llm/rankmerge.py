@@ -3,7 +3,8 @@
 Distinct words of a block become pre-tokens (the tokenizer's own normaliser and splitter), pre-tokens become rows of
 symbol ids, padded to the width of their length class. In each round every row looks up the ranks of its adjacent
 pairs at once, and merges all places of its lowest-ranked pair, leftmost first; rows without a known pair leave.
-What is left of a row is its number of tokens. A text's count is the sum over its words.
+What is left of a row is its number of tokens. A text's count is the sum over its words. A row of more than LONG symbols
+is merged alone in the same rounds, with its symbols linked, so that a round looks up only pairs beside its merges.
 
 Defined results: a null or empty text has 0 tokens and 0 bytes; special strings inside a text count as one token
 each, as the library splits at them by default; a null id stays null; repeated rows each give a row; other columns
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -29,7 +31,9 @@ LIMIT = 2048
 #: A worker forgets its words once it holds so many, so that its memory stays bounded.
 HELD_WORDS = 600_000
 #: Cells (rows times width) that one round of merging holds.
-CELLS = 4_000_000
+CELLS = 1_000_000
+#: Symbols of a row that is merged alone.
+LONG = 2048
 
 
 class Merges:
@@ -66,13 +70,18 @@ class Merges:
         """Tokens left of each row."""
         out = np.array([len(r) for r in rows], np.int64)
         order = np.argsort(out, kind="stable")
+        sizes = out[order]
         at = 0
         while at < len(order):
             if out[order[at]] < 2:
-                at = int(np.searchsorted(out[order], 2))
+                at = int(np.searchsorted(sizes, 2))
+                continue
+            if out[order[at]] > LONG:
+                out[order[at]] = self.merged_alone(np.array(rows[order[at]], np.int64))
+                at += 1
                 continue
             width = max(8, int(out[order[at]]))
-            end = int(np.searchsorted(out[order], width, side="right"))
+            end = int(np.searchsorted(sizes, width, side="right"))
             end = min(end, at + max(1, CELLS // width))
             part = order[at:end]
             width = max(len(rows[k]) for k in part)
@@ -83,6 +92,33 @@ class Merges:
             at = end
         return out
 
+    def merged_alone(self, symbol: np.ndarray) -> int:
+        """Length of one long row after all merges."""
+        none = len(self.keys)
+        n = len(symbol)
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        rank = np.append(self.lookup(symbol[:-1], symbol[1:])[0], none)
+        left = n
+        while (best := int(rank.min())) < none:
+            hit = np.flatnonzero(rank == best)
+            # of hits that overlap, every second from the left
+            starts = np.append(True, after[hit[:-1]] != hit[1:])
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
+            gone = after[hit]
+            symbol[hit] = self.made[np.searchsorted(self.keys, symbol[hit] * self.size + symbol[gone])]
+            rank[gone] = none
+            after[hit] = after[gone]
+            beyond = after[hit] >= 0
+            before[after[hit][beyond]] = hit[beyond]
+            near = np.concatenate([hit, before[hit]])
+            near = near[near >= 0]
+            pair = near[after[near] >= 0]
+            rank[near[after[near] < 0]] = none
+            rank[pair] = self.lookup(symbol[pair], symbol[after[pair]])[0]
+            left -= len(gone)
+        return left
+
     def merged(self, grid: np.ndarray) -> np.ndarray:
         """Lengths of the rows of a grid (symbols, then -1) after all merges."""
         final = np.empty(len(grid), np.int64)
@@ -121,21 +157,22 @@ def merges(path: str) -> Merges:
 
 
 @functools.lru_cache(maxsize=2)
-def special_pattern(path: str) -> re.Pattern:
+def special_pattern(path: str) -> tuple[str, re.Pattern]:
+    """What all special strings begin with, and a pattern of them."""
     marks = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-    return re.compile("|".join(map(re.escape, marks)) if marks else r"(?!)")
+    return os.path.commonprefix(marks), re.compile("|".join(map(re.escape, marks)) if marks else r"(?!)")
 
 
 def word_counts(words: list[str], path: str) -> np.ndarray:
     """Tokens of each word: its special strings, and what is left of its pre-tokens."""
-    tok, table, marks = tokenizer(path), merges(path), special_pattern(path)
+    tok, table, (start, marks) = tokenizer(path), merges(path), special_pattern(path)
     total = np.zeros(len(words), np.int64)
     seen = B.Codes()
     owner: list[int] = []
     tokens: list[int] = []
     for k, word in enumerate(words):
         parts = [word]
-        if "<|" in word and (found := marks.findall(word)):
+        if start in word and (found := marks.findall(word)):
             total[k] += len(found)
             parts = marks.split(word)
         for part in parts:
