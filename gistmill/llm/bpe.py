@@ -1,8 +1,13 @@
 """Operator 1: BPE encoding and decoding over a distinct-word table.
 
-split -> one row of codes and one distinct-word list per block (cut with a checkpoint) -> each distinct word is
-encoded once, in the one bucket its hash names -> ids return to the blocks and are placed by position -> decoding
-gathers each id's piece from the id-ordered piece table (as large as the vocabulary, whatever the data).
+Spark splits texts into arrays of words -> one row of codes (positions in a distinct-word list) and one distinct-word
+list for each block (cut with a checkpoint) -> each distinct word is encoded once, in the one bucket its hash names ->
+ids return to the blocks and are joined to the codes by position -> decoding joins each id to its piece.
+
+Two of the joins are not Spark joins of single words or ids. A row for each word of a text, with its position, sorted
+back by position, is several times the input on disk, where the limit is 1.5 times; a block's packed codes and answers
+are 1.4 times. And the piece table is keyed by 0 .. vocabulary - 1, so its join is a gather from the table in id order
+(as large as the vocabulary, whatever the data), which moves no row.
 
 Words split at ASCII white space, which the tokenizer's pattern never crosses and drops, so the ids of a text are
 the ids of its words one after the other. Defined results: a null or empty text has no ids and decodes to "";
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from gistmill.llm import blocks as B
 from gistmill.session import durable
 
+#: ASCII white space as a pattern and as characters.
+SPACE, SPACE_CHARS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 #: Words that one call of the tokenizer takes, joined by a special token.
 CALL_WORDS = 2000
 
@@ -85,21 +92,45 @@ def split_blocks(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = B.partition(), 0
         ids, lengths, codes, table, size = [], [], [], B.Codes(), 0
-        for i, raw in B.pairs(batches):
-            if ids and (size + len(raw) > B.BLOCK_BYTES or len(ids) >= B.BLOCK_DOCS):
-                yield from packed(f"{part}-{n}", ids, lengths, codes, table)
-                ids, lengths, codes, table, size, n = [], [], [], B.Codes(), 0, n + 1
-            words = raw.split()
-            ids.append(i)
-            lengths.append(len(words))
-            codes.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
-            size += len(raw)
+        for batch in batches:
+            words = batch.column("words")
+            ends = np.asarray(words.offsets, np.int64)
+            flat = words.values.slice(ends[0], ends[-1] - ends[0]).cast(pa.binary())
+            ends, n_bytes = ends - ends[0], np.asarray(pc.binary_length(flat), np.int64)
+            if not len(batch):
+                continue
+            # each distinct word of the batch is looked up once
+            local = flat.dictionary_encode()
+            place = np.asarray(local.indices, np.int32)
+            filled = np.diff(ends) - (n_bytes[ends[:-1]] == 0)  # a text without words is one empty word
+            own = local.dictionary.to_pylist()
+            weight = np.add.reduceat(n_bytes, ends[:-1]) + np.diff(ends)
+            at = 0
+            for k, i in enumerate(batch.column("id").to_pylist()):
+                if ids and (size + weight[k] > B.BLOCK_BYTES or len(ids) >= B.BLOCK_DOCS):
+                    if at < k:
+                        codes.append(coded(table, own, place[ends[at] : ends[k]]))
+                    yield from packed(f"{part}-{n}", ids, lengths, codes, table)
+                    ids, lengths, codes, table, size, n, at = [], [], [], B.Codes(), 0, n + 1, k
+                ids.append(i)
+                lengths.append(int(filled[k]))
+                size += weight[k]
+            codes.append(coded(table, own, place[ends[at] :]))
         if ids:
             yield from packed(f"{part}-{n}", ids, lengths, codes, table)
 
     return run
 
 
+def coded(table: B.Codes, words: list[bytes], place: np.ndarray) -> np.ndarray:
+    """Codes of words given by their places in a list; the empty word is none."""
+    used = np.flatnonzero(np.bincount(place, minlength=len(words)))
+    to = np.full(len(words), -1, np.int32)
+    to[used] = [table[words[k]] if words[k] else -1 for k in used]
+    out = to[place]
+    return out[out >= 0]
+
+
 def answer(path: str):
     """Each distinct word of a bucket is encoded once; every asking block gets its ids in the order it asked."""
 
@@ -151,7 +182,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id long, n_tokens long, ids binary (little-endian unsigned 32-bit), one row for each row of docs."""
     spark = docs.sparkSession
     B.tune(spark)
-    made = durable(B.texts(docs, id_col, text_col).mapInArrow(split_blocks(B.buckets(spark)), B.ROW))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    words = F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACE)
+    made = durable(docs.select(docs[id_col].cast("long").alias("id"), words.alias("words")).mapInArrow(split_blocks(B.buckets(spark)), B.ROW))
     replies = B.by_key(made.where("kind = 1"), "bucket", ["block"], answer(path), B.ROW)
     return B.by_key(made.where("kind = 0").unionByName(replies), "block", ["kind", "bucket"], assemble, "doc_id long, n_tokens long, ids binary")
 
