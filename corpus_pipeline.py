@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it to the shared folder and reads it
 back as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined results: a null text is scored, deduplicated and encoded as an empty one, and the mix takes it 0 times, as any
+text without words; rows of one id and text are one document after the near-duplicate stage, which keeps the row whose
+other columns are least; a null id is an id like any other there; columns beyond those of documents pass through all
+stages but the last, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the line CRF rejects go."""
     model = linecrf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return linecrf.with_scores(docs, model, name="_score").where("_score >= 0.5").drop("_score")
+    score = linecrf.free_name(docs, "_score")
+    return linecrf.with_scores(docs, model, name=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +41,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each group of near-duplicates stays, and one row of each document."""
     kept = jaccard.join(docs).where("kept").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, same, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.struct("text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]).alias("row"))
+    one = rows.groupBy("doc_id", "h").agg(F.min("row").alias("row"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("row.text")} | {c: F.col(f"row.c{k}") for k, c in enumerate(rest)}
+    return one.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: a document appears as often as the mix takes it."""
-    made = mixing.mix(docs, carry=tuple(docs.columns)).where("epochs > 0")
-    return made.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    made = mixing.mix(docs, carry=tuple(docs.columns)).where("epochs > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
+    return made.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

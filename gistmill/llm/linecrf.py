@@ -9,7 +9,9 @@ hash of their id, each with all its lines. Scoring reads every line of every tex
 
 Defined results: a null or empty text is one empty line and gets that line's marginal; lines of no bytes weigh as one
 byte; without training rows every score is 0.5; a null id is scored and never trained on; rows that repeat are scored
-alike; all columns of the input may be carried, whatever their names. No id, language or source is a feature.
+alike; all columns of the input may be carried, whatever their names (free_name() finds one for the score). A sampled
+id that labels or documents hold several times is one label (the larger) and all its texts. No id, language or source
+is a feature.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SAMPLE_DOCS = 4000
 ROUNDS, RATE, DECAY = 220, 0.15, 1e-3
 SYMBOLS, MARKS, STOPS, DIGITS, UPPER = b"#*$%&|<>{}[]=+~^\\@_", b"!?", b".,;:", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = 20
+#: Lines whose features are held at once while scoring; a longer text is a group of its own.
+HELD_LINES = 50_000
 
 
 def shape(line: bytes, seen: set[bytes], last: bytes | None) -> list[float]:
@@ -158,26 +162,44 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", name: str = "quality_score") -> DataFrame:
-    """All columns of docs, and the score as the last one. A clash of names is refused by Spark as ambiguous, so name is free."""
+    """All columns of docs, and the score as the last one; name must be free, see free_name()."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     B.tune(docs.sparkSession)
     at = docs.columns.index(text_col)
     w, pair = model
 
+    def scored(unary: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """Scores of some documents, from the log-odds and lengths of their lines."""
+        lengths = np.array([len(x) for x in sizes])
+        good, _ = Chains(lengths).marginals(np.concatenate(unary), pair)
+        size, starts = np.concatenate(sizes), np.cumsum(lengths) - lengths
+        return np.add.reduceat(good * size, starts) / np.add.reduceat(size, starts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [document((t or "").encode("utf-8", "replace")) for t in batch.column(at).to_pylist()]
-            out = np.empty(len(parts))
-            if parts:
-                lengths = np.array([len(p[1]) for p in parts])
-                good, _ = Chains(lengths).marginals(np.concatenate([p[0] for p in parts]) @ w, pair)
-                size = np.concatenate([p[1] for p in parts])
-                starts = np.cumsum(lengths) - lengths
-                out = np.add.reduceat(good * size, starts) / np.add.reduceat(size, starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(out, 0.0, 1.0))], names=[*batch.schema.names, name])
+            out, unary, sizes, held = [np.empty(0)], [], [], 0
+            for t in batch.column(at).to_pylist():
+                wide, size = document((t or "").encode("utf-8", "replace"))
+                if held and held + len(size) > HELD_LINES:
+                    out.append(scored(unary, sizes))
+                    unary, sizes, held = [], [], 0
+                unary.append(wide @ w)  # one number a line is kept, not its features
+                sizes.append(size)
+                held += len(size)
+            if held:
+                out.append(scored(unary, sizes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(np.concatenate(out), 0.0, 1.0))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or the first of name_1, name_2 ... that is no column of docs in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    return next(x for x in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if x.lower() not in taken)
+
+
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     scored = with_scores(docs.select("doc_id", "text"), model)

@@ -235,6 +235,29 @@ def test_op5_meets_targets(odd, docs):
     assert mixing.op5(odd.limit(0)).count() == 0
 
 
+def test_op5_takes_by_ascending_keys(spark):
+    rng = np.random.default_rng(12)
+    given = [(k if k % 9 else None, ("w " * int(rng.integers(0, 40))) + ("12 # " * int(rng.integers(0, 9))) + f"t{k}", "abc"[int(rng.integers(0, 3))]) for k in range(700)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    keyed = df.select("*", mixing.key_of(F.col("doc_id"), F.col("text"), mixing.quality_of(F.col("text"))).alias("key"), F.xxhash64("text").alias("tie")).collect()
+    got = {r.row.c0: r for r in mixing.mix(df, carry=("text",)).collect()}
+    for source in "abc":
+        own = sorted((r for r in keyed if r.source == source), key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0, r.tie))
+        sizes = [len(r.text.split()) for r in own]
+        whole, at = int(got[own[0].text].target // sum(sizes)), 0
+        rest = got[own[0].text].target - whole * sum(sizes)
+        for r, n in zip(own, sizes, strict=True):
+            assert got[r.text].taken == n * (whole + (n > 0 and at + n / 2 <= rest)) and got[r.text].size == n
+            at += n
+
+
+@pytest.mark.parametrize("quality", [1.0, 0.3, 0.05])
+def test_op5_bins_spread_any_quality(spark, quality):
+    keys = spark.range(200_000).select(mixing.bin_of(mixing.key_of(F.col("id"), F.lit("x"), F.lit(quality))).alias("bin"))
+    top = keys.groupBy("bin").count().agg(F.max("count")).first()[0]
+    assert top <= 12 * 200_000 / mixing.BINS + 40
+
+
 def test_op5_prefers_quality(spark):
     rng = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.lit("a").alias("source"), (F.col("id") % 2).alias("good"))
     one = rng.unionByName(spark.createDataFrame([(9999, "w " * 80_000, "b", 0)], rng.schema))
@@ -467,6 +490,62 @@ def test_op10_equals_the_library(odd, docs):
         assert rows(rankmerge.op10(df, WORD)) == sorted(want, key=repr)
 
 
+def test_op10_long_words_equal_the_library(monkeypatch):
+    tok = Tokenizer.from_file(WORD)
+    rng = np.random.default_rng(13)
+    words = ["a" * n for n in (2, 3, 7, 50, 51)] + ["".join(rng.choice(list("etaoinsh"), n)) for n in (5, 40, 300, 2500)] + ["hahaha" * 30 + "ha"]
+    want = [len(tok.encode(w, add_special_tokens=False).ids) for w in words]
+    assert rankmerge.word_counts(words, WORD).tolist() == want
+    monkeypatch.setattr(rankmerge, "LONG", 1)
+    assert rankmerge.word_counts(words, WORD).tolist() == want
+    huge = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300_000))
+    assert 60_000 < rankmerge.word_counts([huge], WORD)[0] < 300_000
+
+
+def stage_brute(spark, rows, path):
+    """What the stages after the classifier must keep of some rows, by plain Python: line dedup, then one of each near group."""
+    kept = kept_brute([(r[0], r[1]) for r in rows])
+    n, root = jaccard_brute([(i, t) for i, _, t in kept])
+    low = {}
+    for k, r in enumerate(root):
+        low[r] = min(low.get(r, 10**12), kept[k][0])
+    return {(i, t) for k, (i, _, t) in enumerate(kept) if low[root[k]] == i}
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    line = "This line of forty or more characters is in many documents"
+    rows = [(k, f"{t}\n{line}" if k % 2 else t, "en", "a", None, k) for k, t in near_texts()[:60]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra long")
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["line_dedup"](spark, docs, DATA)
+    assert {(r.doc_id, r.text, r.n_chars) for r in after.collect()} == {(i, t, len(t)) for i, _, t in kept_brute([(r[0], r[1]) for r in rows])}
+    near = stages["ngram_jaccard"](spark, after, DATA)
+    assert {(r.doc_id, r.text) for r in near.collect()} == stage_brute(spark, rows, DATA) and near.columns == docs.columns
+    mixed = stages["mixing"](spark, near, DATA)
+    taken = Counter(r.doc_id for r in mixed.collect())
+    want = {r.doc_id: r.epochs for r in mixing.mix(near).collect() if r.epochs}
+    assert taken == want and mixed.columns == docs.columns
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    names = {"ids": "_score", "id": "_h", "kept": "_copy"}
+    docs = odd.select(*[F.col(c).alias(names.get(c, c)) for c in odd.columns])
+    for df, n in ((docs, len(ODD)), (docs.limit(0), 0)):
+        out = df
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, out, DATA)
+            if name != "bpe":
+                assert out.columns == docs.columns and (out.count() > 0) == (n > 0)
+            if name == "ngram_jaccard" and n:
+                assert out.where("doc_id = 4 and text like '%12%'").count() == 1
+        assert {(r.doc_id is None, r.text is None) for r in out.collect()} <= {(False, False), (True, False)}
+        assert corpus_pipeline.STAGES[0][1](spark, df, DATA).columns == docs.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
