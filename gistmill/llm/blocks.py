@@ -8,7 +8,9 @@ and a task holds one bucket or one block. Ids, codes and answers are numpy array
 
 from __future__ import annotations
 
+import ctypes
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.session import shared_dir
+
 #: A block closes at so many bytes of text or documents; a single longer document is a block of its own.
 BLOCK_BYTES, BLOCK_DOCS = 32_000_000, 60_000
 ROW = "block string, kind int, bucket int, payload binary"
@@ -35,6 +39,14 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the system, as an idle worker lives on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays to bytes: a header of types and lengths, then each array's byte planes, zstd-compressed."""
     parts = [struct.pack("<H", len(arrays))]
@@ -167,6 +179,32 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield now, held
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df written once to the shared folder in n buckets of a key: later joins and cogroups on the key read it where it is.
+
+    A checkpoint forgets how its rows lie, a table of buckets does not. Its entry in the catalog goes at once, its files
+    stay for the plans that read them.
+    """
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def releasing(fn: Callable) -> Callable:
+    """fn over batches, with release() at the end of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def by_key(df: DataFrame, key: str, order: list[str], fn: Callable, schema: str) -> DataFrame:
     """fn over partitions in which rows of a key lie together, in the given order."""
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(fn, schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(releasing(fn), schema)

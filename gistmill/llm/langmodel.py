@@ -5,7 +5,7 @@ c(u, v) by powers of two, or that of c(v) where u v was not seen. The weights of
 expectation-maximisation on counts from which the token at hand is deleted: every training token is held out in turn,
 (c(u, v, w) - 1) / (c(u, v) - 1) and so on predict it. A part whose context was not seen has weight 0.
 
-Flow: documents become blocks of word codes, dealt by block once. Each block asks hash buckets for the counts of its
+Flow: documents become blocks of word codes, kept in buckets of the block. Each block asks hash buckets for the counts of its
 distinct words and bigrams and adds its own training counts; totals return to the blocks. Then it asks for trigrams,
 but only for those of which both bigrams occur outside the block: no trigram occurs more often than its bigrams, so
 the count of any other one is the block's own. Blocks then sum up the cells of the EM (their number is fixed by the
@@ -35,7 +35,7 @@ from gistmill.session import durable
 
 FOLDS, HELD_OUT = 7, 2
 #: A block closes at so many bytes of text or documents; a single longer document is a block of its own.
-BLOCK_BYTES, BLOCK_DOCS = 10_000_000, 40_000
+BLOCK_BYTES, BLOCK_DOCS = 14_000_000, 40_000
 #: Context buckets by powers of two; bins of a share: none, then half powers of two, for n-gram and for word shares.
 CONTEXTS, STEPS, BINS, WORD_BINS = 24, 2, 40, 96
 ROUNDS = 60
@@ -337,9 +337,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     spark = docs.sparkSession
     B.tune(spark)
     n = B.buckets(spark)
-    # dealt by block and cut: later steps bring answers to the blocks, which stay where they are
-    made = durable(B.texts(docs, id_col, text_col).mapInArrow(split_blocks(folds, remainder), B.ROW).repartition(n, "block"))
-    replies = durable(B.by_key(made.mapInArrow(requests(n), B.ROW), "bucket", ["kind", "block"], answers, B.ROW))
+    # in buckets of the block: later steps bring answers to the blocks, which stay where they are
+    made = B.bucketed(B.texts(docs, id_col, text_col).mapInArrow(B.releasing(split_blocks(folds, remainder)), B.ROW), "block", n)
+    replies = durable(B.by_key(made.mapInArrow(B.releasing(requests(n)), B.ROW), "bucket", ["kind", "block"], answers, B.ROW))
     totals = [B.unpack(r.payload)[0] for r in replies.where(f"kind = {TOTALS}").collect()]  # two numbers for each bucket
     total, vocabulary = (int(sum(x[j] for x in totals)) for j in (0, 1))
     first = replies.where(f"kind < {TOTALS}")
