@@ -58,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: ids of each document, and the text they decode to."""
     path = public_tokenizers.path(TOKENIZER)
-    return bpe.decode(bpe.encode(docs, path), path)
+    return bpe.encode(docs, path, decoded=True)
 
 
 STAGES = [

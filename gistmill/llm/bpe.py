@@ -178,15 +178,22 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([B.array_to_ids(ids[at : at + len(few)], valid[at : at + len(few)]), pa.array(np.diff(per), pa.int64()), raw], names=["doc_id", "n_tokens", "ids"])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id long, n_tokens long, ids binary (little-endian unsigned 32-bit), one row for each row of docs."""
+ENCODED = "doc_id long, n_tokens long, ids binary"
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id long, n_tokens long, ids binary (little-endian unsigned 32-bit), one row for each row of docs; if decoded,
+    with the text that decode() makes of the ids, by the same worker."""
     spark = docs.sparkSession
     B.tune(spark)
     text = F.coalesce(docs[text_col], F.lit(""))
     words = F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACE)
-    made = durable(docs.select(docs[id_col].cast("long").alias("id"), words.alias("words")).mapInArrow(split_blocks(B.buckets(spark)), B.ROW))
+    made = durable(docs.select(docs[id_col].cast("long").alias("id"), words.alias("words")).mapInArrow(B.releasing(split_blocks(B.buckets(spark))), B.ROW))
     replies = B.by_key(made.where("kind = 1"), "bucket", ["block"], answer(path), B.ROW)
-    return B.by_key(made.where("kind = 0").unionByName(replies), "block", ["kind", "bucket"], assemble, "doc_id long, n_tokens long, ids binary")
+    blocks = made.where("kind = 0").unionByName(replies)
+    if decoded:
+        return B.by_key(blocks, "block", ["kind", "bucket"], lambda batches: with_text(path)(assemble(batches)), f"{ENCODED}, text string")
+    return B.by_key(blocks, "block", ["kind", "bucket"], assemble, ENCODED)
 
 
 @functools.lru_cache(maxsize=2)
@@ -197,9 +204,8 @@ def pieces(path: str) -> pa.Array:
     return pa.array([found.get(i) for i in range(max(found) + 1)], pa.string())
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (from encode) with text: the pieces of its ids joined as the tokenizer without a decoder does, by a space."""
-    B.tune(encoded.sparkSession)
+def with_text(path: str):
+    """The pieces of each row's ids joined as the tokenizer without a decoder does, by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
@@ -210,10 +216,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), table.take(pa.array(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(lists, " ")], names=[*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+    return run
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded (from encode) with text."""
+    B.tune(encoded.sparkSession)
+    return encoded.mapInArrow(with_text(path), f"{ENCODED}, text string")
 
 
 def op1(docs: DataFrame, path: str) -> DataFrame:
     """The contract's digest of encode and decode."""
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -252,14 +252,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """doc_id, class_id (smallest id of its group of links), copy_id (smallest id of its shingle set), n_links, kept."""
     B.tune(docs.sparkSession)
     base = B.texts(docs, id_col, text_col).withColumn("k", F.coalesce("id", F.xxhash64("text")))
-    signed = durable(base.mapInArrow(signatures, "doc_id long, k long, c binary, n long, label binary"))
+    signed = durable(base.mapInArrow(B.releasing(signatures), "doc_id long, k long, c binary, n long, label binary"))
     classes = durable(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.count("*").alias("m"), F.max("n").alias("n"), F.first("label").alias("label")))
     # only classes that meet another at the shortest prefix take part; their sets are made once
     nodes = in_trees(classes, shortest_prefix(threshold), "c")
     met = durable(nodes.groupBy("tree", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tree", "key"))
     near = nodes.join(met, ["tree", "key"], "left_semi").select("c").distinct()
     wanted = base.join(classes.drop("least").join(near, "c"), "k").select("text", "c", "m", "n", "label")
-    sets = durable(wanted.mapInArrow(group_sets, "c binary, m long, n long, label binary, s binary").dropDuplicates(["c"]))
+    sets = durable(wanted.mapInArrow(B.releasing(group_sets), "c binary, m long, n long, label binary, s binary").dropDuplicates(["c"]))
     links, _ = forest_links(sets, threshold)
     roots = connected_components(links.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "c")
     joined = classes.select("c", "least").join(roots, "c")

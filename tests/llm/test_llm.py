@@ -70,6 +70,8 @@ def test_op1_equals_the_library(odd, docs):
             text = tok.decode(ids, skip_special_tokens=False)
             want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         assert rows(bpe.op1(df, WORD)) == sorted(want, key=repr)
+        apart = bpe.decode(bpe.encode(df, WORD), WORD)
+        assert rows(apart) == rows(bpe.encode(df, WORD, decoded=True))
 
 
 def test_op1_with_small_blocks(docs, monkeypatch):
