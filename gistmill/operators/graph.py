@@ -134,7 +134,9 @@ def tree_faults(messages: DataFrame) -> DataFrame:
     repeated = messages.groupBy("conversation_id", "id").count().where("count > 1").select("conversation_id", F.lit("repeated id").alias("fault"))
     ids = messages.select("conversation_id", F.col("id").alias("parent_id"))
     orphans = messages.where("parent_id is not null").join(ids, ["conversation_id", "parent_id"], "left_anti").select("conversation_id", F.lit("unknown parent").alias("fault"))
-    cycles = depths(messages.select(F.col("conversation_id").alias("scope"), "id", F.col("parent_id").alias("parent"))).where("depth is null").select(F.col("scope").alias("conversation_id"), F.lit("cycle").alias("fault"))
+    # an id that comes several times has one parent here: else every doubling would pair all its rows with all of its parent's
+    tree = messages.groupBy(F.col("conversation_id").alias("scope"), "id").agg(F.max("parent_id").alias("parent"))
+    cycles = depths(tree).where("depth is null").select(F.col("scope").alias("conversation_id"), F.lit("cycle").alias("fault"))
     return repeated.unionByName(orphans).unionByName(cycles).distinct()
 
 

@@ -35,9 +35,7 @@ CONV = "'conv_' || substr(sha256('table' || chr(31) || conv_id), 1, 24)"
 MSG = f"(SELECT 'msg_' || substr(sha256({CONV} || chr(31) || turn), 1, 24) AS id, {CONV} AS conversation_id, conv_id, turn, role, text FROM conversations)"
 MESSAGES = f"(SELECT *, lag(id) OVER (PARTITION BY conversation_id ORDER BY turn) AS parent_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) - 1 AS position FROM {MSG})"
 EDGES = f"(SELECT conversation_id AS src, 'HAS_MESSAGE' AS type, id AS dst FROM {MESSAGES} UNION ALL SELECT id, 'REPLIES_TO', parent_id FROM {MESSAGES} WHERE parent_id IS NOT NULL)"
-MENTIONS = "(SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, source, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) - 1 AS pos FROM documents WHERE lang = 'en')"
-#: What MENTIONS keeps of the documents; queries of that SQL keep the same.
-ENGLISH = "lang = 'en'"
+MENTIONS = "(SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, source, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) - 1 AS pos FROM documents)"
 KEY = "CASE WHEN length(lower({0})) > 3 AND lower({0}) LIKE '%s' AND NOT regexp_matches(lower({0}), '(ss|us|is)$') THEN substr(lower({0}), 1, length({0}) - 1) ELSE lower({0}) END"
 ENT = "'ent_' || substr(sha256({0}), 1, 24)"
 
@@ -326,9 +324,18 @@ def nearest_kept_ancestor(spark, sf_dir):
     return graph.nearest_kept(m).select("id", "anchor")
 
 
-@query(f"SELECT conversation_id, fault FROM (SELECT conversation_id, 'unknown parent' AS fault FROM {MESSAGES} WHERE turn = 1 AND parent_id IS NULL AND false)")
+@query(f"""WITH m AS (SELECT * FROM {MESSAGES}), f AS (
+SELECT conversation_id, 'unknown parent' AS fault FROM m WHERE conv_id % 5 = 1 AND position = 1
+UNION ALL SELECT conversation_id, 'repeated id' FROM m WHERE conv_id % 3 = 0 AND position = 0
+UNION ALL SELECT conversation_id, 'cycle' FROM m WHERE conv_id % 4 = 0 AND conv_id % 20 <> 16 AND position = 2) SELECT DISTINCT conversation_id, fault FROM f""")
 def tree_faults(spark, sf_dir):
-    return graph.tree_faults(messages(spark, sf_dir))
+    """Messages with faults put in: a parent that is not there, a first message twice, a first message hung below the third."""
+    m = messages(spark, sf_dir)
+    third = m.where("position = 2 and conv_id % 4 = 0").select("conversation_id", F.col("id").alias("third"))
+    m = m.join(third, "conversation_id", "left").withColumn("parent_id", F.when((F.col("position") == 0) & F.col("third").isNotNull(), F.col("third")).when((F.col("conv_id") % 5 == 1) & (F.col("position") == 1), "gone").otherwise(F.col("parent_id")))
+    # a cut chain cannot close a cycle
+    m = m.withColumn("parent_id", F.when((F.col("position") == 0) & (F.col("conv_id") % 20 == 16), F.lit(None)).otherwise(F.col("parent_id")))
+    return graph.tree_faults(m.unionByName(m.where("conv_id % 3 = 0 and position = 0")))
 
 
 @query(f"SELECT conversation_id, string_agg(role || ':' || length(text), '|' ORDER BY position) AS parts FROM {MESSAGES} GROUP BY conversation_id")
@@ -391,7 +398,11 @@ def rolling_hour_limit(spark, sf_dir):
     return sessions.rolling_count(table(spark, sf_dir, "events"), "user_id").select("event_id", "user_id", "recent")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, k, true AS admitted, [us] AS taken FROM e WHERE k = 1
+UNION ALL SELECT e.event_id, e.user_id, e.k, len(list_filter(r.taken, lambda x: x > e.us - 3600000000)) < 2,
+CASE WHEN len(list_filter(r.taken, lambda x: x > e.us - 3600000000)) < 2 THEN list_append(list_filter(r.taken, lambda x: x > e.us - 3600000000), e.us) ELSE list_filter(r.taken, lambda x: x > e.us - 3600000000) END
+FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT event_id, user_id, admitted FROM r""")
 def admitted_requests(spark, sf_dir):
     return sessions.admitted(table(spark, sf_dir, "events"), per_hour=2).select("event_id", "user_id", "admitted")
 
@@ -418,27 +429,32 @@ def interleave_turns(spark, sf_dir):
 
 
 @query(f"SELECT key, count(DISTINCT chunk_id)::BIGINT AS mentions FROM (SELECT chunk_id, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key")
-def entity_mentions(spark, sf_dir, where=ENGLISH):
-    return mention_items(spark, sf_dir, where).select(X.entity_key(F.col("name")).alias("key"), "chunk_id").groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
+def entity_mentions(spark, sf_dir):
+    return mention_items(spark, sf_dir).select(X.entity_key(F.col("name")).alias("key"), "chunk_id").groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
 
 
 @query(f"SELECT key, name FROM (SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(chunk_id || lpad(pos::VARCHAR, 9, '0'))) AS r FROM (SELECT chunk_id, pos, name, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key, name) WHERE r = 1")
-def entity_mode_name(spark, sf_dir, where=ENGLISH):
-    return knowledge.mode_first_seen(mention_items(spark, sf_dir, where).withColumn("key", X.entity_key(F.col("name"))), ["key"], "name", "name")
+def entity_mode_name(spark, sf_dir):
+    return knowledge.mode_first_seen(mention_items(spark, sf_dir).withColumn("key", X.entity_key(F.col("name"))), ["key"], "name", "name")
 
 
 @query(f"SELECT key, string_agg('seen in ' || source, '|' ORDER BY o) AS descriptions FROM (SELECT key, source, min(chunk_id || lpad(pos::VARCHAR, 9, '0')) AS o FROM (SELECT chunk_id, pos, source, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key, source) GROUP BY key")
-def entity_descriptions(spark, sf_dir, where=ENGLISH):
-    rows = mention_items(spark, sf_dir, where).withColumn("key", X.entity_key(F.col("name")))
+def entity_descriptions(spark, sf_dir):
+    rows = mention_items(spark, sf_dir).withColumn("key", X.entity_key(F.col("name")))
     return knowledge.ordered_distinct(rows, ["key"], "description", "d").select("key", F.array_join("d", "|").alias("descriptions"))
 
 
 @query(f"SELECT a, b, {ENT.format('a')} AS src, {ENT.format('b')} AS dst, sum(5)::BIGINT AS weight, count(*)::BIGINT AS count FROM (SELECT {KEY.format('name')} AS a, {KEY.format('nxt')} AS b FROM (SELECT name, lead(name) OVER (PARTITION BY chunk_id ORDER BY pos) AS nxt FROM {MENTIONS}) WHERE nxt IS NOT NULL) WHERE a <> b GROUP BY a, b")
-def relation_weights(spark, sf_dir, where=ENGLISH):
-    return knowledge.relationships(relation_items(spark, sf_dir, where)).select("a", "b", "src", "dst", "weight", "count")
+def relation_weights(spark, sf_dir):
+    return knowledge.relationships(relation_items(spark, sf_dir)).select("a", "b", "src", "dst", "weight", "count")
 
 
-@query()
+_ENTITIES = f"""(SELECT {ENT.format('key')} AS id, key, name, 'other' AS type, mentions, n_descriptions, CASE WHEN n_descriptions = 1 THEN name || ': ' || one ELSE name END AS text
+FROM (SELECT key, count(DISTINCT chunk_id)::BIGINT AS mentions, count(DISTINCT source)::INT AS n_descriptions, min('seen in ' || source) AS one FROM (SELECT chunk_id, source, {KEY.format('name')} AS key FROM {MENTIONS}) GROUP BY key)
+JOIN ({ORACLES['entity_mode_name']}) USING (key))"""
+
+
+@query(f"SELECT * FROM {_ENTITIES}")
 def entity_graph_build(spark, sf_dir):
     e = knowledge.entities(mention_items(spark, sf_dir))
     return e.select("id", "key", "name", "type", "mentions", F.size("descriptions").alias("n_descriptions"), "text")
@@ -473,39 +489,30 @@ def duplicate_candidates(spark, sf_dir):
     return knowledge.duplicate_candidates(_part_keys(spark, sf_dir))
 
 
-_LINKS = "(SELECT DISTINCT p.p_partkey % 500 AS a, 500 + (p.p_partkey * 7) % 300 AS b FROM part p WHERE p.p_partkey % 11 = 0)"
+_LINKS = "(SELECT DISTINCT p_partkey AS a, p_partkey * 7 + 1 AS b FROM part)"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_LINKS} UNION SELECT b, a FROM {_LINKS}), r AS (SELECT a AS id, a AS x FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.x) SELECT id, min(x) AS root FROM r GROUP BY id""")
 def connected_components(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 11 = 0").select((F.col("p_partkey") % 500).alias("a"), (500 + (F.col("p_partkey") * 7) % 300).alias("b"))
-    return graph.connected_components(p)
-
-
-_ALL_LINKS = "(SELECT DISTINCT p_partkey AS a, p_partkey * 7 + 1 AS b FROM part)"
+    return graph.connected_components(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 + 1).alias("b")))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_ALL_LINKS} UNION SELECT b, a FROM {_ALL_LINKS}), r AS (SELECT a AS id, a AS x FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.x) SELECT id, min(x) AS root FROM r GROUP BY id""")
-def connected_components_all(spark, sf_dir):
-    """Of every part, with keys that are not folded; the query above follows its SQL, which reads one part in eleven."""
-    return graph.connected_components(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 + 1).alias("b")))
+@query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lang) AS root FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) > 1)")
+def components_of_paths(spark, sf_dir):
+    """Paths of rising ids: each document linked to the next one of its language."""
+    d = table(spark, sf_dir, "documents").where("lang is not null").select("lang", "doc_id")
+    return graph.connected_components(d.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(W.partitionBy("lang").orderBy("doc_id")).alias("b")).where("b is not null"))
 
 
-def _co_orders(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def _co_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted links between parts of one order, as names."""
-    x = table(spark, sf_dir, "lineitem").where(where).select("l_orderkey", F.format_string("p%06d", "l_partkey").alias("p"))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", F.format_string("p%06d", "l_partkey").alias("p"))
     a, b = x.withColumnRenamed("p", "source"), x.withColumnRenamed("p", "target")
     return a.join(b, "l_orderkey").where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-@query("SELECT least(ra, rb) AS a, greatest(ra, rb) AS b, sum(w)::BIGINT AS weight FROM (SELECT 'p' || lpad((CASE WHEN x.l_partkey % 2 = 1 THEN x.l_partkey - 1 ELSE x.l_partkey END)::VARCHAR, 6, '0') AS ra, 'p' || lpad((CASE WHEN y.l_partkey % 2 = 1 THEN y.l_partkey - 1 ELSE y.l_partkey END)::VARCHAR, 6, '0') AS rb, 1 AS w FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey WHERE x.l_orderkey % 20 = 0) WHERE ra <> rb GROUP BY 1, 2")
+@query("SELECT least(ra, rb) AS a, greatest(ra, rb) AS b, sum(w)::BIGINT AS weight FROM (SELECT 'p' || lpad((CASE WHEN x.l_partkey % 2 = 1 THEN x.l_partkey - 1 ELSE x.l_partkey END)::VARCHAR, 6, '0') AS ra, 'p' || lpad((CASE WHEN y.l_partkey % 2 = 1 THEN y.l_partkey - 1 ELSE y.l_partkey END)::VARCHAR, 6, '0') AS rb, 1 AS w FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey) WHERE ra <> rb GROUP BY 1, 2")
 def graph_contraction(spark, sf_dir):
-    return _contracted(_co_orders(spark, sf_dir, "l_orderkey % 20 = 0"))
-
-
-@query(ORACLES["graph_contraction"].replace(" WHERE x.l_orderkey % 20 = 0", ""))
-def graph_contraction_all(spark, sf_dir):
-    """Of every order; the query above follows its SQL, which reads one order in twenty."""
     return _contracted(_co_orders(spark, sf_dir))
 
 
@@ -530,8 +537,8 @@ def topics_communities(spark, sf_dir):
 @query(f"""WITH m AS (SELECT {ENT.format(KEY.format('name'))} AS e, source AS c, count(DISTINCT chunk_id) AS n FROM {MENTIONS} GROUP BY 1, 2),
 mine AS (SELECT e, n FROM m WHERE c = 'src1' ORDER BY n DESC, e LIMIT 40)
 SELECT m.c AS conversation_id, sum(least(m.n, 3))::BIGINT AS score FROM m JOIN mine USING (e) WHERE m.c <> 'src1' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
-def explore_shared_capped(spark, sf_dir, where=ENGLISH):
-    m = mention_items(spark, sf_dir, where)
+def explore_shared_capped(spark, sf_dir):
+    m = mention_items(spark, sf_dir)
     counts = m.groupBy(ids.entity_id(X.entity_key(F.col("name"))).alias("entity_id"), F.col("source").alias("conversation_id")).agg(F.countDistinct("chunk_id").alias("n"))
     conv = m.select(F.col("source").alias("id")).distinct().select("id", "id", F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("updated_at")).toDF("id", "source", "created_at", "updated_at")
     none = spark.createDataFrame([], "src string, dst string, weight long")
@@ -540,46 +547,49 @@ def explore_shared_capped(spark, sf_dir, where=ENGLISH):
 
 
 @query(f"SELECT {ENT.format(KEY.format('name'))} AS id, count(DISTINCT chunk_id)::BIGINT AS mentions FROM {MENTIONS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-def most_mentioned_entities(spark, sf_dir, where=ENGLISH):
-    e = mention_items(spark, sf_dir, where).groupBy(ids.entity_id(X.entity_key(F.col("name"))).alias("id")).agg(F.countDistinct("chunk_id").alias("mentions"))
+def most_mentioned_entities(spark, sf_dir):
+    e = mention_items(spark, sf_dir).groupBy(ids.entity_id(X.entity_key(F.col("name"))).alias("id")).agg(F.countDistinct("chunk_id").alias("mentions"))
     return e.orderBy(F.col("mentions").desc(), "id").limit(50)
 
 
-@query()
+@query(f"""WITH r AS ({ORACLES['relation_weights']}), e AS (SELECT id, mentions FROM {_ENTITIES}),
+t AS (SELECT id FROM e WHERE id IN (SELECT src FROM r UNION SELECT dst FROM r) ORDER BY mentions DESC, id LIMIT 150)
+SELECT src, dst, weight FROM r WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)""")
 def entity_graph_view(spark, sf_dir):
     e = knowledge.entities(mention_items(spark, sf_dir))
     r = knowledge.relationships(relation_items(spark, sf_dir))
     return explore.entity_graph(e, r)[1].select("src", "dst", "weight")
 
 
-@query()
+@query(f"SELECT place::INT AS place, id, name FROM {_ENTITIES} JOIN (VALUES ('thethe', 23), ('reoush', 26), ('anan', 29)) n(asked, place) ON key = asked AND {KEY.format('name')} = asked")
 def question_entities(spark, sf_dir):
     e = knowledge.entities(mention_items(spark, sf_dir))
     return ask.mentioned_entities(spark, "What did Thethe and the Reoush say about Anan?", e).select("place", "id", "name")
 
 
-def _of_every_document(fn: Callable) -> None:
-    """Registers fn over the documents of all languages beside fn, whose SQL reads the English ones."""
-
-    def whole(spark, sf_dir):
-        return fn(spark, sf_dir, where="true")
-
-    whole.__name__ = f"{fn.__name__}_all"
-    query(ORACLES[fn.__name__].replace(f" WHERE {ENGLISH}", ""))(whole)
+# documents (S20-S23)
 
 
-for _fn in (entity_mentions, entity_mode_name, entity_descriptions, relation_weights, explore_shared_capped, most_mentioned_entities):
-    _of_every_document(_fn)
+def html_sql(column: str) -> str:
+    """The steps of markup.html_page() in DuckDB, with the character references that the pages hold."""
+    text, title = column, f"regexp_extract({column}, {_quoted('(?is)<title' + markup.REST + '(.*?)</title' + chr(92) + 's*>')}, 1)"
+    for pattern, plain in markup.markup_steps(True):
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(plain)}, 'g')"
 
+    def decoded(x: str) -> str:
+        for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+            x = f"replace({x}, '&{name};', {_quoted(c)})"
+        return x
 
-# documents (S20-S23)
+    tidy = "trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    lines = f"array_to_string(list_filter(list_transform(string_split({decoded(text)}, chr(10)), lambda x: {tidy.format('x')}), lambda x: x <> ''), chr(10))"
+    return f"nullif({tidy.format(decoded(title))}, '') AS title, {lines} AS text"
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def flatten_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query()
+@query(f"SELECT page_id, {html_sql('html')} FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.html_page("html").alias("page")).select("page_id", "page.title", "page.text")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gistmill.plans import derived, sourced  # noqa: F401  (they register their queries)
 from gistmill.plans.queries import ORACLES, QUERIES
 
 

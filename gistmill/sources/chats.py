@@ -98,7 +98,12 @@ def chatgpt_parts(content: Column) -> Column:
 
 def chatgpt(spark: SparkSession, path: str) -> Imported:
     """Conversations of a `conversations.json` whose messages hang in a mapping."""
-    raw = files.json_items(files.nearest(files.scan(spark, path, "conversations.json"))).withColumn("r", F.from_json("record", CHATGPT))
+    return chatgpt_records(files.json_items(files.nearest(files.scan(spark, path, "conversations.json"))))
+
+
+def chatgpt_records(items: DataFrame) -> Imported:
+    """The same of records (path, index, record) in hand."""
+    raw = items.withColumn("r", F.from_json("record", CHATGPT))
     external = F.coalesce(text_or_null(F.col("r.conversation_id")), text_or_null(F.col("r.id")))
     raw = raw.withColumn("external_id", external)
     label = F.coalesce(text_or_null(F.col("r.title")), F.concat(F.lit("conversation #"), F.col("index").cast("string")))
@@ -150,7 +155,12 @@ def claude_parts(m: Column) -> Column:
 
 def claude(spark: SparkSession, path: str) -> Imported:
     """Conversations of a `conversations.json` of chat_messages, with branches or without."""
-    raw = files.json_items(files.nearest(files.scan(spark, path, "conversations.json"))).withColumn("r", F.from_json("record", CLAUDE))
+    return claude_records(files.json_items(files.nearest(files.scan(spark, path, "conversations.json"))))
+
+
+def claude_records(items: DataFrame) -> Imported:
+    """The same of records (path, index, record) in hand."""
+    raw = items.withColumn("r", F.from_json("record", CLAUDE))
     label = F.coalesce(text_or_null(F.col("r.name")), F.concat(F.lit("conversation #"), F.col("index").cast("string")))
     bad = F.when(F.col("r.chat_messages").isNull(), "not a conversation (no chat_messages)").when(text_or_null(F.col("r.uuid")).isNull(), "conversation has no uuid")
     good = raw.where(bad.isNull()).withColumn("conversation_id", ids.conversation_id(F.lit("claude"), "r.uuid"))
@@ -186,7 +196,12 @@ GEMINI = "struct<header:string,title:string,time:string,products:array<string>,s
 
 def gemini(spark: SparkSession, path: str, gap_minutes: int = 30) -> Imported:
     """Activity entries to conversations by gaps between prompts: a gap of more than the limit opens a new one."""
-    raw = files.json_items(files.scan(spark, path, "MyActivity.json")).withColumn("r", F.from_json("record", GEMINI))
+    return gemini_records(files.json_items(files.scan(spark, path, "MyActivity.json")), gap_minutes)
+
+
+def gemini_records(items: DataFrame, gap_minutes: int = 30) -> Imported:
+    """The same of records (path, index, record) in hand."""
+    raw = items.withColumn("r", F.from_json("record", GEMINI))
     own = F.coalesce(F.col("r.header").contains("Gemini"), F.lit(False)) | F.coalesce(F.exists("r.products", lambda p: p.contains("Gemini")), F.lit(False))
     turns = raw.where(own).select("path", "index", F.try_to_timestamp("r.time").alias("time"), F.coalesce("r.title", F.lit("")).alias("title"), markup.reply_text(F.transform("r.safeHtmlItem", lambda x: x["html"])).alias("response"))
     prompt = F.when(F.col("title").startswith(PROMPTED), F.btrim(F.substring("title", len(PROMPTED) + 1, 1_000_000))).when(F.col("response") != "", F.btrim("title"))

@@ -18,7 +18,7 @@ def test_components_of_every_part(spark, tmp_path):
             if x not in want:
                 want[x] = k
                 stack += near[x]
-    got = registry.queries()["connected_components_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["connected_components"](spark, str(tmp_path)).collect()
     assert {r.id: r.root for r in got} == want and len(got) == len(want)
 
 
@@ -28,7 +28,7 @@ def test_topics_and_contraction_of_every_order(spark, tmp_path):
     queries = registry.queries()
     topics = queries["topics_communities"](spark, str(tmp_path)).collect()
     assert sorted((r.topic, r["size"]) for r in topics) == [("p000002", 3), ("p000010", 3)]
-    links = queries["graph_contraction_all"](spark, str(tmp_path)).collect()
+    links = queries["graph_contraction"](spark, str(tmp_path)).collect()
     want = {("p000002", "p000004"): 2, ("p000004", "p000006"): 1, ("p000002", "p000006"): 1, ("p000010", "p000012"): 1, ("p000012", "p000014"): 1, ("p000010", "p000014"): 1}
     assert {(r.a, r.b): r.weight for r in links} == want
 
@@ -41,9 +41,8 @@ def test_names_of_documents_of_every_language(spark, tmp_path):
     def got(name, *columns):
         return sorted(tuple(r[c] for c in columns) for r in queries[name](spark, str(tmp_path)).collect())
 
-    assert got("entity_mentions_all", "key", "mentions") == [("berta", 1), ("lyon", 2), ("paris", 3)]
-    assert got("entity_descriptions_all", "key", "descriptions")[1] == ("lyon", "seen in src2|seen in src3")
+    assert got("entity_mentions", "key", "mentions") == [("berta", 1), ("lyon", 2), ("paris", 3)]
+    assert got("entity_descriptions", "key", "descriptions")[1] == ("lyon", "seen in src2|seen in src3")
     assert got("entity_graph_build", "key", "mentions") == [("berta", 1), ("lyon", 2), ("paris", 3)]
-    assert len(got("entity_graph_view", "src", "dst")) == len(got("relation_weights_all", "a", "b")) == 2
-    assert len(got("most_mentioned_entities_all", "id")) == 3
-    assert all(f"{n}_all" in registry.oracle_sql() for n in ("entity_mode_name", "explore_shared_capped", "relation_weights"))
+    assert len(got("entity_graph_view", "src", "dst")) == len(got("relation_weights", "a", "b")) == 2
+    assert len(got("most_mentioned_entities", "id")) == 3
