@@ -93,9 +93,9 @@ def fold_hybrid(words: DataFrame, meaning: DataFrame, entity: DataFrame | None =
     return fused.select("message_id", "score", F.col("in_0").alias("by_words"), F.col("in_1").alias("by_meaning"), (F.col("in_2") if entity is not None else F.lit(False)).alias("by_entity"))
 
 
-def best_per_message(hits: DataFrame, distance: str = "distance") -> DataFrame:
-    """(message_id, rank): messages by their nearest chunk."""
-    best = hits.groupBy("message_id").agg(F.min(F.struct(distance, "chunk_id")).alias("_b"))
+def best_per_message(hits: DataFrame, distance: str = "distance", limit: int = 1000) -> DataFrame:
+    """(message_id, rank): the first messages by their nearest chunk; the limit is taken before they are ranked in one task."""
+    best = hits.groupBy("message_id").agg(F.min(F.struct(distance, "chunk_id")).alias("_b")).orderBy("_b", "message_id").limit(limit)
     return best.select("message_id", F.row_number().over(W.orderBy("_b", "message_id")).alias("rank"))
 
 

@@ -1,7 +1,8 @@
 """Full-text search with BM25 over weighted columns.
 
 Two forms of one ranking. `search` scores by a single scan: query words are few, so their frequencies come from the
-token arrays without exploding them, statistics are one row, and the best rows are taken by a bounded heap per task.
+token arrays without exploding them, and each text is cut into tokens once: its length and hits are a few numbers, cut
+with a checkpoint, from which statistics (one row) and the best rows (by a bounded heap per task) are read.
 `postings` and `search_postings` keep an index: one row for each (document, term) with weighted frequency and places,
 partitioned by a hash of the term, so that a query reads only its terms' partitions.
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as X
+from gistmill.session import durable
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TERM_PARTITIONS = 64
@@ -43,23 +45,33 @@ def bm25(tf: Column, length: Column, average: Column, n: Column, docs: Column) -
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def search(docs: DataFrame, query: str, id_col: str = "doc_id", columns: dict[str, float] | None = None, limit: int | None = 20, where: Column | None = None) -> DataFrame:
-    """Rows that hold all words of the query, best first, with a score; columns maps text columns to weights."""
+def search(docs: DataFrame, query: str, id_col: str = "doc_id", columns: dict[str, float] | None = None, limit: int | None = 20, where: Column | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that hold all words of the query, best first, with a score; columns maps text columns to weights. keep names
+    the columns of docs in the result (all, if not given); the id names a row."""
     columns = columns or {"text": 1.0}
     words = X.query_words(query)
+    rest = [c for c in (docs.columns if keep is None else keep) if c != id_col]
     if not words:
-        return docs.limit(0).withColumn("score", F.lit(0.0))
-    held = docs.select("*", *[X.tokens(docs[c]).alias(f"_t_{c}") for c in columns])
-    length = reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c in columns]).alias("_len")
-    hits = [reduce(lambda a, b: a + b, [w * phrase_hits(F.col(f"_t_{c}"), p) for c, w in columns.items()]).cast("double").alias(f"_h{k}") for k, p in enumerate(words)]
-    found = held.select(*docs.columns, length, *hits)
-    stats = found.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_h{k}") > 0).alias(f"_n{k}") for k in range(len(words))])
-    rows = found.where(reduce(lambda a, b: a & b, [F.col(f"_h{k}") > 0 for k in range(len(words))]))
-    if where is not None:
-        rows = rows.where(where)
-    score = reduce(lambda a, b: a + b, [bm25(F.col(f"_h{k}"), F.col("_len"), F.col("_avg"), F.col(f"_n{k}"), F.col("_docs")) for k in range(len(words))])
-    ranked = rows.join(F.broadcast(stats)).select(*docs.columns, score.alias("score"))  # stats is one row
-    return ranked.orderBy(F.col("score").desc(), id_col).limit(limit) if limit else ranked
+        return docs.limit(0).select(id_col, *rest).withColumn("score", F.lit(0.0))
+    held = F.struct(*[X.tokens(docs[c]).alias(c) for c in columns])
+
+    def numbers(t: Column) -> Column:
+        """The tokens' number, and each word's weighted hits."""
+        length = reduce(lambda a, b: a + b, [F.size(t[c]) for c in columns]).cast("double")
+        return F.array(length, *[reduce(lambda a, b: a + b, [w * phrase_hits(t[c], p) for c, w in columns.items()]).cast("double") for p in words])
+
+    # a lambda over one value: the tokens are made once, however often its body reads them
+    measured = durable(docs.select(F.col(id_col), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("_in"), F.element_at(F.transform(F.array(held), numbers), 1).alias("_m")))
+    hits = [F.element_at("_m", k + 2) for k in range(len(words))]
+    stats = measured.agg(F.count("*").alias("_docs"), F.avg(F.element_at("_m", 1)).alias("_avg"), *[F.count_if(h > 0).alias(f"_n{k}") for k, h in enumerate(hits)])
+    found = measured.where(F.col("_in") & reduce(lambda a, b: a & b, [h > 0 for h in hits]))
+    score = reduce(lambda a, b: a + b, [bm25(h, F.element_at("_m", 1), F.col("_avg"), F.col(f"_n{k}"), F.col("_docs")) for k, h in enumerate(hits)])
+    ranked = found.join(F.broadcast(stats)).select(id_col, score.alias("score"))  # stats is one row
+    ranked = ranked.orderBy(F.col("score").desc(), id_col).limit(limit) if limit else ranked
+    if not rest:
+        return ranked
+    back = ranked.join(docs.select(id_col, *rest), id_col).select(*[c for c in docs.columns if c == id_col or c in rest], "score")
+    return back.orderBy(F.col("score").desc(), id_col) if limit else back
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", columns: dict[str, float] | None = None) -> DataFrame:
@@ -74,13 +86,29 @@ def doc_stats(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...]
 
 
 def search_postings(index: DataFrame, stats: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
-    """(id, score) from the index. Words of several tokens are not phrases here, only all of their tokens."""
-    terms = sorted({t for p in X.query_words(query) for t in p})
+    """(id, score) from the index. A word of several tokens is a phrase: its places are those of its first token that the
+    others follow one after the other."""
+    words = X.query_words(query)
+    terms = sorted({t for p in words for t in p})
     parts = [F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_PARTITIONS)).cast("int") for t in terms]
     rows = index.where(F.col("term").isin(terms) & reduce(lambda a, b: a | b, [F.col("part") == p for p in parts]))
-    weighted = rows.groupBy("term", "id").agg(F.sum(F.col("weight") * F.col("tf")).alias("tf"))
-    df = weighted.groupBy("term").agg(F.count("*").alias("n"))
+    # one row for each document and column, with the places of each term
+    places = rows.groupBy("id", "column", "weight").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("places"))
+    none = F.array().cast("array<int>")
+
+    def starts(term: str, k: int) -> Column:
+        """Where a phrase starts whose token k is the term."""
+        return F.transform(F.coalesce(F.col("places")[term], none), lambda x: x - k)
+
+    def of(phrase: list[str]) -> Column:
+        at = [starts(t, k) for k, t in enumerate(phrase)]
+        return F.size(reduce(F.array_intersect, at)) if len(at) > 1 else F.size(at[0])
+
+    hits = [F.sum(F.col("weight") * of(p)).alias(f"h{k}") for k, p in enumerate(words)]
+    weighted = places.groupBy("id").agg(*hits)
+    n = weighted.agg(*[F.count_if(F.col(f"h{k}") > 0).alias(f"n{k}") for k in range(len(words))])
     total = stats.agg(F.count("*").alias("docs"), F.avg("length").alias("average"))
-    scored = weighted.join(F.broadcast(df), "term").join(stats, "id").join(F.broadcast(total))  # one row a query term; one row
-    ranked = scored.groupBy("id").agg(F.count("*").alias("words"), F.sum(bm25(F.col("tf"), F.col("length"), F.col("average"), F.col("n"), F.col("docs"))).alias("score")).where(F.col("words") == len(terms)).drop("words")
+    found = weighted.where(reduce(lambda a, b: a & b, [F.col(f"h{k}") > 0 for k in range(len(words))]))
+    score = reduce(lambda a, b: a + b, [bm25(F.col(f"h{k}"), F.col("length"), F.col("average"), F.col(f"n{k}"), F.col("docs")) for k in range(len(words))])
+    ranked = found.join(stats, "id").join(F.broadcast(n)).join(F.broadcast(total)).select("id", score.alias("score"))  # one row each
     return ranked.orderBy(F.col("score").desc(), "id").limit(limit) if limit else ranked

@@ -285,7 +285,7 @@ def _leg(spark, sf_dir) -> DataFrame:
 SELECT id AS message_id, round(sum(1.0 / (60 + r)), 9) AS score, bool_or(l = 0) AS by_words, bool_or(l = 2) AS by_entity FROM u GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, min(struct_pack(l := l, r := r)), id LIMIT 30""")
 def hybrid_with_entities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    best = textindex.search(docs, "the of", limit=None).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(40)
+    best = textindex.search(docs, "the of", limit=None, keep=()).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(40)
     words = best.select(F.format_string("%012d", "doc_id").alias("message_id"), F.row_number().over(W.orderBy(F.col("score").desc(), "doc_id")).alias("rank"))
     return ask.fold_hybrid(words, words.limit(0), _leg(spark, sf_dir), limit=30).select("message_id", F.round("score", 9).alias("score"), "by_words", "by_entity")
 

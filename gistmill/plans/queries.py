@@ -58,20 +58,20 @@ def _ranked(rows: DataFrame, limit: int = 10) -> DataFrame:
 
 @query(bm25_sql(["the", "and", "for"]))
 def fts_all_words_bm25(spark, sf_dir):
-    return _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "The, AND for!", limit=None))
+    return _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "The, AND for!", limit=None, keep=()))
 
 
 @query(bm25_sql(["the", "of"], "source IN ('src1', 'src2')"))
 def fts_source_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return _ranked(textindex.search(docs, "the of", limit=None, where=F.col("source").isin("src1", "src2")))
+    return _ranked(textindex.search(docs, "the of", limit=None, where=F.col("source").isin("src1", "src2"), keep=()))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), h AS (SELECT doc_id, len(t) AS l, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS h FROM d),
 s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (h > 0) AS n0 FROM h)
 SELECT doc_id, round(greatest(ln((s.n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * h * 2.2 / (h + 1.2 * (0.25 + 0.75 * l / s.a)), 6) AS score FROM h, s WHERE h > 0 ORDER BY 2 DESC, 1 LIMIT 10""")
 def fts_phrase(spark, sf_dir):
-    return _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "of_the", limit=None))
+    return _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "of_the", limit=None, keep=()))
 
 
 @query(bm25_sql(["la", "de"]))
@@ -80,6 +80,12 @@ def fts_postings_index(spark, sf_dir):
     return _ranked(textindex.search_postings(textindex.postings(docs), textindex.doc_stats(docs), "la de", limit=None).withColumnRenamed("id", "doc_id"))
 
 
+@query(ORACLES["fts_phrase"])
+def fts_postings_phrase(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _ranked(textindex.search_postings(textindex.postings(docs), textindex.doc_stats(docs), "of_the", limit=None).withColumnRenamed("id", "doc_id"))
+
+
 @query()
 def fts_snippets(spark, sf_dir):
     found = textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "idiot", limit=20)
@@ -142,7 +148,7 @@ v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY distance, vec_id) AS r FR
 u AS (SELECT id, r, 0 AS l FROM w UNION ALL SELECT id, r, 1 FROM v)
 SELECT id, round(sum(1.0 / (60 + r)), 9) AS score, bool_or(l = 0) AS by_words, bool_or(l = 1) AS by_meaning FROM u GROUP BY id""")
 def rrf_fusion(spark, sf_dir):
-    w = _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "the of", limit=None), 40)
+    w = _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "the of", limit=None, keep=()), 40)
     w = w.select(F.col("doc_id").alias("message_id"), F.row_number().over(W.orderBy(F.col("score").desc(), "doc_id")).alias("rank"))
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     v = _hits(vectorsearch.nearest(e, _query_vector(e), limit=80), 40)

@@ -29,12 +29,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where
+    none is set and all run on one machine, as in tests."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gistmill-')}"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='gistmill-')}"
     context.setCheckpointDir(path)
     return path
 
