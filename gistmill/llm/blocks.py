@@ -179,18 +179,26 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield now, held
 
 
-def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """df written once to the shared folder in n buckets of a key: later joins and cogroups on the key read it where it is.
-
-    A checkpoint forgets how its rows lie, a table of buckets does not. Its entry in the catalog goes at once, its files
-    stay for the plans that read them.
-    """
-    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # resolved before the entry goes
-    spark.sql(f"DROP TABLE {name}")
-    return table
+def new_table() -> str:
+    return f"blocks_{uuid.uuid4().hex}"
+
+
+def put_bucketed(df: DataFrame, name: str, key: str, n: int) -> None:
+    """Adds df to a table in the shared folder that is kept in n buckets of a key: groups of the key are read from it
+    without moving. A checkpoint forgets how its rows lie, such a table does not."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
+    df.write.mode("append").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
+def read_bucketed(spark: SparkSession, name: str) -> DataFrame:
+    """The table as it is now."""
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+def forget_table(spark: SparkSession, name: str) -> None:
+    """Takes the table's entry out of the catalog; its files stay for the plans that read them."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def releasing(fn: Callable) -> Callable:

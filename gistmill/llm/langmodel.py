@@ -5,13 +5,13 @@ c(u, v) by powers of two, or that of c(v) where u v was not seen. The weights of
 expectation-maximisation on counts from which the token at hand is deleted: every training token is held out in turn,
 (c(u, v, w) - 1) / (c(u, v) - 1) and so on predict it. A part whose context was not seen has weight 0.
 
-Flow: documents become blocks of word codes, kept in buckets of the block. Each block asks hash buckets for the counts of its
-distinct words and bigrams and adds its own training counts; totals return to the blocks. Then it asks for trigrams,
-but only for those of which both bigrams occur outside the block: no trigram occurs more often than its bigrams, so
-the count of any other one is the block's own. Blocks then sum up the cells of the EM (their number is fixed by the
-resolution, whatever the corpus) and score their documents. For the cells, shares are rounded to half powers of two;
-scores use exact counts. Words meet by a 64-bit hash, bigrams and trigrams by one of 54 bits: of n distinct ones, about
-n / 2**54 share a count with another (one in four million for four thousand million).
+Flow: documents become blocks of word codes in a table that is kept in buckets of the block. Each block asks hash
+buckets for the counts of its distinct words and bigrams and adds its own training counts; totals return to the block's
+bucket. Then it asks for trigrams, but only for those of which both bigrams occur outside the block: no trigram occurs
+more often than its bigrams, so the count of any other one is the block's own. Blocks then sum up the cells of the EM
+(their number is fixed by the resolution, whatever the corpus) and score their documents. For the cells, shares are
+rounded to half powers of two; scores use exact counts. Words meet by a 64-bit hash, bigrams and trigrams by one of 54
+bits: of n distinct ones, about n / 2**54 share a count with another (one in four million for four thousand million).
 
 Defined results: a null or empty text is its end token alone; the first token's context is the end token, and it has no
 trigram; rows whose crc32(id as text) mod folds is the held-out remainder give no counts (a null id counts as the empty
@@ -31,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm import blocks as B
-from gistmill.session import durable
 
 FOLDS, HELD_OUT = 7, 2
 #: A block closes at so many bytes of text or documents; a single longer document is a block of its own.
-BLOCK_BYTES, BLOCK_DOCS = 14_000_000, 40_000
+BLOCK_BYTES, BLOCK_DOCS = 12_000_000, 40_000
 #: Context buckets by powers of two; bins of a share: none, then half powers of two, for n-gram and for word shares.
 CONTEXTS, STEPS, BINS, WORD_BINS = 24, 2, 40, 96
 ROUNDS = 60
@@ -221,21 +220,23 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from B.rows("", TOTALS, [(bucket, B.pack(np.array([total.sum(), (total > 0).sum()], np.int64)))])
 
 
-def opened(left: pa.Table, right: pa.Table, n_buckets: int) -> tuple[str, Block]:
-    """A block and its answers, as cogroup gives them."""
-    if not left.num_rows:
+def opened(rows: pa.Table, n_buckets: int) -> tuple[str, Block]:
+    """A block and its answers."""
+    kinds = rows.column("kind").to_pylist()
+    if 0 not in kinds:
         raise ValueError("answers of a block that is not there")
-    replies = list(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
-    own = Block(left.column("payload")[0].as_py(), replies, n_buckets)
+    payloads = rows.column("payload").to_pylist()
+    replies = [(k, b, p) for k, b, p in zip(kinds, rows.column("bucket").to_pylist(), payloads, strict=True) if k]
+    own = Block(payloads[kinds.index(0)], replies, n_buckets)
     own.triples()
-    return left.column("block")[0].as_py(), own
+    return rows.column("block")[0].as_py(), own
 
 
 def more_requests(n_buckets: int):
     """Trigrams of a block that may occur outside it."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        name, own = opened(left, right, n_buckets)
+    def run(rows: pa.Table) -> pa.Table:
+        name, own = opened(rows, n_buckets)
         n = own.tri_own[own.asked]
         every = np.bincount(own.tri_at[own.tri_at >= 0], minlength=len(own.tri_own))[own.asked]
         return pa.Table.from_batches(request_rows(name, TRIPLES, own.triple_keys(), n, every - n, n_buckets), schema=B.ARROW)
@@ -266,8 +267,8 @@ def cell_of(bucket: np.ndarray, p3: np.ndarray, p2: np.ndarray, p1: np.ndarray)
 def cells(n_buckets: int, total: int):
     """Sums of the EM's cells over a block's training tokens, each deleted from the counts that predict it."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, own = opened(left, right, n_buckets)
+    def run(rows: pa.Table) -> pa.Table:
+        _, own = opened(rows, n_buckets)
         tri, pair, at = own.tokens()
         n = np.bincount(at[own.counted], minlength=len(tri))
         keep = np.flatnonzero(n)
@@ -306,8 +307,8 @@ def learn(cell: np.ndarray, n: np.ndarray, vocabulary: int) -> np.ndarray:
 
 
 def scores(n_buckets: int, total: int, vocabulary: int, weights: np.ndarray):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, own = opened(left, right, n_buckets)
+    def run(rows: pa.Table) -> pa.Table:
+        _, own = opened(rows, n_buckets)
         tri, pair, at = own.tokens()
         triple = np.where(tri >= 0, own.tri_counts()[tri] if len(own.tri_own) else 0, 0)
         before = np.where(tri >= 0, own.pair_count[own.context[tri]] if len(own.context) else 0, 0)
@@ -337,19 +338,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     spark = docs.sparkSession
     B.tune(spark)
     n = B.buckets(spark)
-    # in buckets of the block: later steps bring answers to the blocks, which stay where they are
-    made = B.bucketed(B.texts(docs, id_col, text_col).mapInArrow(B.releasing(split_blocks(folds, remainder)), B.ROW), "block", n)
-    replies = durable(B.by_key(made.mapInArrow(B.releasing(requests(n)), B.ROW), "bucket", ["kind", "block"], answers, B.ROW))
-    totals = [B.unpack(r.payload)[0] for r in replies.where(f"kind = {TOTALS}").collect()]  # two numbers for each bucket
-    total, vocabulary = (int(sum(x[j] for x in totals)) for j in (0, 1))
-    first = replies.where(f"kind < {TOTALS}")
+    # blocks and their answers lie in one table, in buckets of the block: answers come to it once, and no block moves
+    table = B.new_table()
+    B.put_bucketed(B.texts(docs, id_col, text_col).mapInArrow(B.releasing(split_blocks(folds, remainder)), B.ROW), table, "block", n)
+
+    def answered(asked: DataFrame) -> None:
+        B.put_bucketed(B.by_key(asked, "bucket", ["kind", "block"], answers, B.ROW).repartition(n, "block"), table, "block", n)
 
-    def at_blocks(answered: DataFrame, fn, schema: str) -> DataFrame:
-        return made.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(fn, schema)
+    def at_blocks(fn, schema: str) -> DataFrame:
+        return B.read_bucketed(spark, table).where(f"kind < {TOTALS}").groupBy("block").applyInArrow(fn, schema)
 
-    asked = at_blocks(first, more_requests(n), B.ROW)
-    both = first.unionByName(durable(B.by_key(asked, "bucket", ["kind", "block"], answers, B.ROW)))
-    gathered = at_blocks(both, cells(n, total), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # bounded by the bins
+    answered(B.read_bucketed(spark, table).mapInArrow(B.releasing(requests(n)), B.ROW))
+    totals = [B.unpack(r.payload)[0] for r in B.read_bucketed(spark, table).where(f"kind = {TOTALS}").collect()]  # two numbers for each bucket
+    total, vocabulary = (int(sum(x[j] for x in totals)) for j in (0, 1))
+    answered(at_blocks(more_requests(n), B.ROW))
+    gathered = at_blocks(cells(n, total), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # bounded by the bins
     weights = learn(np.array([r.cell for r in gathered], np.int64), np.array([r.n for r in gathered], np.float64), vocabulary)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return at_blocks(both, scores(n, total, vocabulary, weights), schema)
+    out = at_blocks(scores(n, total, vocabulary, weights), schema)
+    B.forget_table(spark, table)
+    return out
