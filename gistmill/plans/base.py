@@ -138,7 +138,8 @@ class KnowledgeBase:
         none = [F.lit(None).cast("string").alias(x) for x in ("source", "conversation_id")]
         e = self["entities"].select("id", F.lit("Entity").alias("label"), F.col("name").alias("title"), "text", *none)
         f = self["facts"].select("id", F.lit("Fact").alias("label"), F.col("subject_key").alias("title"), F.col("statement").alias("text"), *none)
-        return m.unionByName(c).unionByName(e).unionByName(f).where(~X.is_blank(F.col("text")))
+        t = self["topics"].select("id", F.lit("Topic").alias("label"), F.array_join(F.slice(F.array_sort("keys"), 1, 3), ", ").alias("title"), F.array_join("keys", " ").alias("text"), *none)
+        return m.unionByName(c).unionByName(e).unionByName(f).unionByName(t).where(~X.is_blank(F.col("text")))
 
     def search(self, query: str, limit: int = 20, sources: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
         where: Column = F.lit(True)
@@ -157,13 +158,13 @@ class KnowledgeBase:
     def nearest(self, text: str, limit: int = 20, sources: list[str] | None = None) -> DataFrame:
         return vectorsearch.nearest(store.in_sources(self.vectors(), sources), self.query_vector(text), "node_id", "vector", limit)
 
-    def hybrid_search(self, query: str, limit: int = 20, sources: list[str] | None = None) -> DataFrame:
-        """Messages by the fusion of words, meaning and entities."""
+    def hybrid_search(self, query: str, limit: int = 20, sources: list[str] | None = None, embeds: bool = True) -> DataFrame:
+        """Messages by the fusion of words, meaning and entities; by words and entities alone while no model embeds."""
         from pyspark.sql import Window as W
 
         order = W.orderBy(F.col("score").desc(), "id")
         words = self.search(query, 4 * limit, sources, ["Message"]).select(F.col("id").alias("message_id"), F.row_number().over(order).alias("rank"))
-        near = self.nearest(query, 4 * limit, sources).select("message_id", F.col("node_id").alias("chunk_id"), "distance")
+        near = (self.nearest(query, 4 * limit, sources) if embeds else self.vectors().limit(0).withColumn("distance", F.lit(0.0))).select("message_id", F.col("node_id").alias("chunk_id"), "distance")
         found = self.search(query, limit, None, ["Entity"]).select("id", F.row_number().over(order).alias("rank"))
         entity = ask.entity_leg(found, self["edges"], store.in_sources(self["chunks"], sources), limit)
         return ask.fold_hybrid(words, ask.best_per_message(near), entity, limit).join(self["messages"].withColumnRenamed("id", "message_id"), "message_id").orderBy(F.col("score").desc(), "message_id")
@@ -192,6 +193,12 @@ class KnowledgeBase:
         exact = F.col("key") == X.entity_key(F.lit(name))
         return self["entities"].join(hits, "id").orderBy(exact.desc(), F.col("score").desc(), "id").limit(1)
 
+    def find_topic(self, asked: str) -> DataFrame:
+        """The topic of that id, else the best hit by words of its members' names."""
+        hits = self.search(asked, 20, None, ["Topic"]).select("id", "score")
+        own = self["topics"].where(F.col("id") == asked).select("id", F.lit(float("inf")).alias("score"))
+        return self["topics"].join(own.unionByName(hits), "id").orderBy(F.col("score").desc(), "id").limit(1)
+
     def stats(self) -> DataFrame:
         counted = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in self.tables.items()]
         out = counted[0]

@@ -124,9 +124,14 @@ def json_items(files: DataFrame) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((path, line, record), issues) of JSON Lines files at any depth; a bad line is reported by its number."""
-    lines = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
-    rows = lines.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("at", "record")).where(F.length(F.btrim("record")) > 0)
-    rows = rows.withColumn("line", F.col("at") + 1).withColumn("ok", F.is_valid_json("record") if hasattr(F, "is_valid_json") else F.try_parse_json("record").isNotNull())
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
+    return lines_of(found.select("path", "content"))
+
+
+def lines_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of files (path, content) in hand."""
+    rows = found.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("at", "record")).where(F.length(F.btrim("record")) > 0)
+    rows = rows.withColumn("line", F.col("at") + 1).withColumn("ok", F.try_parse_json("record").isNotNull())
     issues = rows.where("not ok").select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), F.col("line").cast("string")).alias("label"), F.lit("not valid JSON").alias("reason"))
     return rows.where("ok").select("path", "line", "record"), issues
 
