@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import binary, bpe, jaccard, langmodel, linecrf, lines, mixing, quality, rankmerge, vectors
+from gistmill.llm import binary, bpe, infilling, jaccard, langmodel, licenses, linecrf, lines, merkle, mixing, quality, rankmerge, vectors
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -57,9 +57,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankmerge.op10(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op6_near_vectors, op7_line_dedup, op8_ngram_jaccard, op9_lm_scores, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op3_token_shards, op4_line_crf, op5_mix_sources, op6_near_vectors, op7_line_dedup, op8_ngram_jaccard, op9_lm_scores, op10_token_counts, op11_license_scan, op12_fill_in_middle, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.sql(), "op7_line_dedup": lines.SQL}
+    return {"op2_quality_rules": quality.sql(), "op7_line_dedup": lines.SQL, "op11_license_scan": licenses.sql(), "op12_fill_in_middle": infilling.SQL, "op13_merkle_manifest": merkle.SQL}
