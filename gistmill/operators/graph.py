@@ -1,13 +1,11 @@
-"""Trees, components and communities."""
+"""Trees, components and contraction; communities are in topics."""
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -17,7 +15,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gistmill.session import durable
 
-MAX_TOPIC, MIN_TOPIC, SEED = 40, 3, 7
 #: Edges that one task of connected_components settles: some ten MB.
 IN_TASK = 100_000
 
@@ -167,110 +164,3 @@ def contract(links: DataFrame, roots: DataFrame) -> DataFrame:
     a, b = roots.select(F.col("id").alias("source"), F.col("root").alias("_a")), roots.select(F.col("id").alias("target"), F.col("root").alias("_b"))
     rows = links.join(a, "source").join(b, "target").where("_a <> _b")
     return rows.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.sum("weight").alias("weight"))
-
-
-class Communities:
-    """Modularity communities of one small component: local moves, refinement into connected parts, aggregation."""
-
-    def __init__(self, edges: dict[tuple[str, str], float], seed: int = SEED) -> None:
-        self.seed = seed
-        self.near: dict[str, dict[str, float]] = {}
-        for (a, b), w in edges.items():
-            self.near.setdefault(a, {})[b] = self.near.get(a, {}).get(b, 0.0) + w
-            self.near.setdefault(b, {})[a] = self.near.get(b, {}).get(a, 0.0) + w
-
-    @staticmethod
-    def _moves(near: dict, degree: dict, total: float, group: dict, rng: random.Random) -> bool:
-        """Moves single nodes to the neighbouring group of the greatest gain until none gains."""
-        weight: dict = {}
-        for v, g in group.items():
-            weight[g] = weight.get(g, 0.0) + degree[v]
-        moved, again = False, True
-        order = sorted(near)
-        while again:
-            again = False
-            rng.shuffle(order)
-            for v in order:
-                links: dict = {}
-                for u, w in near[v].items():
-                    if u != v:
-                        links[group[u]] = links.get(group[u], 0.0) + w
-                home = group[v]
-                weight[home] -= degree[v]
-                best, gain = home, links.get(home, 0.0) - degree[v] * weight[home] / total
-                for g in sorted(links):
-                    more = links[g] - degree[v] * weight[g] / total
-                    if more > gain + 1e-12:
-                        best, gain = g, more
-                weight[best] = weight.get(best, 0.0) + degree[v]
-                if best != home:
-                    group[v], moved, again = best, True, True
-        return moved
-
-    def split(self, nodes: set[str]) -> list[set[str]]:
-        """Communities of the part that the nodes span."""
-        near = {v: {u: w for u, w in self.near.get(v, {}).items() if u in nodes} for v in nodes}
-        members = {v: {v} for v in nodes}
-        rng = random.Random(self.seed)
-        while True:
-            degree = {v: sum(n.values()) + n.get(v, 0.0) for v, n in near.items()}
-            total = sum(degree.values())
-            if not total:
-                break
-            group = {v: v for v in near}
-            if not self._moves(near, degree, total, group, rng):
-                break
-            # a community stays only as far as it hangs together
-            parts: dict[str, str] = {}
-            for v in sorted(near):
-                if v not in parts:
-                    stack = [v]
-                    while stack:
-                        x = stack.pop()
-                        if x not in parts:
-                            parts[x] = v
-                            stack += [u for u in near[x] if group[u] == group[x] and u not in parts]
-            if len(set(parts.values())) == len(near):
-                break
-            merged: dict[str, dict[str, float]] = {p: {} for p in parts.values()}
-            for v, n in near.items():
-                for u, w in n.items():
-                    a, b = parts[v], parts[u]
-                    # an inner link is seen from both ends, and a loop counts once here and twice in the degree
-                    merged[a][b] = merged[a].get(b, 0.0) + (w / 2 if a == b and u != v else w)
-            joined: dict[str, set[str]] = {}
-            for v, p in parts.items():
-                joined.setdefault(p, set()).update(members[v])
-            near, members = merged, joined
-        return sorted((set(m) for m in members.values()), key=lambda m: (-len(m), min(m)))
-
-    def topics(self, nodes: set[str], most: int) -> list[set[str]]:
-        """Communities, those larger than most split again as long as a split is found."""
-        groups = self.split(nodes)
-        if len(groups) <= 1:
-            return [nodes]
-        return [p for g in groups for p in ([g] if len(g) <= most else self.topics(g, most))]
-
-
-def find_topics(entities: DataFrame, links: DataFrame, same: DataFrame, max_size: int = MAX_TOPIC, min_size: int = MIN_TOPIC) -> DataFrame:
-    """(topic, size, members): groups of linked entities, largest first, each sorted by id.
-
-    Entities recorded as one thing are one node. Communities are found per connected component of the contracted graph,
-    so components run beside one another; a component is read by one task.
-    """
-    known = entities.select("id").distinct()
-    pairs = same.select(F.col("a"), F.col("b")).join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
-    merged = connected_components(pairs)
-    roots = known.join(merged, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    edges = durable(contract(links, roots))
-    parts = connected_components(edges).withColumnRenamed("root", "part")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = Communities({(a, b): float(w) for a, b, w in zip(rows.a, rows.b, rows.weight, strict=True)})
-        groups = found.topics(set(rows.a) | set(rows.b), max_size)
-        return pd.DataFrame([(min(g), root) for g in groups for root in sorted(g)], columns=["topic", "root"])
-
-    grouped = edges.join(parts.withColumnRenamed("id", "a"), "a").groupBy("part").applyInPandas(run, "topic string, root string")
-    members = grouped.join(roots, "root").groupBy("topic").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    return members.select(F.element_at("members", 1).alias("topic"), F.size("members").cast("long").alias("size"), "members").where(F.col("size") >= min_size).orderBy(F.col("size").desc(), "topic")
-

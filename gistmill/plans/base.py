@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import chunking, ids
 from gistmill.functions import text as X
 from gistmill.operators import ask, explore, graph, knowledge, store, textindex, vectorsearch
+from gistmill.operators.topics import find_topics
 from gistmill.session import durable
 
 TABLES = {
@@ -125,7 +126,7 @@ class KnowledgeBase:
         edges = self["edges"]
         links = edges.where("type = 'RELATED_TO'").select(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")
         same = edges.where("type = 'SAME_AS'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        topics, inside = knowledge.topic_nodes(durable(graph.find_topics(self["entities"].select("id"), links, same)), self["entities"])
+        topics, inside = knowledge.topic_nodes(durable(find_topics(self["entities"].select("id"), links, same)), self["entities"])
         self.put("topics", topics)
         self.put("edges", edges.where("type <> 'IN_TOPIC'").unionByName(inside, allowMissingColumns=True))
 

@@ -12,7 +12,9 @@ from gistmill.functions import chunking, ids, markup
 from gistmill.functions import text as X
 from gistmill.functions import vectors as V
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
+from gistmill.operators.topics import find_topics
 from gistmill.plans.adapt import edges, mention_items, messages, nodes, relation_items, table
+from gistmill.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -529,12 +531,30 @@ def _contracted(links: DataFrame) -> DataFrame:
     return graph.contract(links, every.select("id", even.alias("root")))
 
 
+def _topics(spark: SparkSession, links: DataFrame) -> DataFrame:
+    every = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
+    return find_topics(every, links, spark.createDataFrame([], "a string, b string"))
+
+
 @query()
 def topics_communities(spark, sf_dir):
-    links = _co_orders(spark, sf_dir)
-    every = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
-    none = spark.createDataFrame([], "a string, b string")
-    return graph.find_topics(every, links, none).select("topic", "size")
+    return _topics(spark, durable(_co_orders(spark, sf_dir))).select("topic", "size")
+
+
+@query("SELECT 0::BIGINT AS apart, 0::BIGINT AS small, 0::BIGINT AS shared, 0::BIGINT AS misnamed")
+def topics_hold(spark, sf_dir):
+    """What must hold of any topics: links inside one hang it together, it has 3 members, no member is in two, and it is
+    named by its least member."""
+    links = durable(_co_orders(spark, sf_dir))
+    found = durable(_topics(spark, links))
+    members = durable(found.select("topic", "size", F.explode("members").alias("id")))
+    own = members.select("id", "topic")
+    inside = links.join(own.withColumnRenamed("id", "source"), "source").join(own.select(F.col("id").alias("target"), F.col("topic").alias("other")), "target").where("topic = other").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    parts = members.join(graph.connected_components(inside), "id", "left").groupBy("topic").agg(F.countDistinct(F.coalesce("root", "id")).alias("n"))
+    apart = parts.agg(F.count_if(F.col("n") > 1).alias("apart"))
+    named = found.agg(F.count_if(F.col("size") < 3).alias("small"), F.count_if(F.col("topic") != F.array_min("members")).alias("misnamed"))
+    shared = members.groupBy("id").count().agg(F.count_if(F.col("count") > 1).alias("shared"))
+    return apart.join(named).join(shared)  # one row each
 
 
 # views (E*)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,11 @@ def durable(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder: later reads survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as Parquet files in the shared folder. For loops: a checkpoint keeps the estimates of its plan, which
+    multiply with every join of every round until planning takes longer than the work; files have their true size."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,13 @@
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
+from gistmill.operators import topics as T
+from gistmill.operators.topics import find_topics
 from gistmill.session import durable
 
 
@@ -97,7 +102,7 @@ def clique(names):
 def topics(spark, links, same=(), **more):
     rows = spark.createDataFrame(links, "source string, target string, weight long")
     every = rows.select(F.col("source").alias("id")).union(rows.select("target")).distinct()
-    return [r.members for r in graph.find_topics(every, rows, spark.createDataFrame(list(same), "a string, b string"), **more).collect()]
+    return [r.members for r in find_topics(every, rows, spark.createDataFrame(list(same), "a string, b string"), **more).collect()]
 
 
 def test_topics_of_cliques(spark):
@@ -113,6 +118,51 @@ def test_large_topics_split(spark):
     assert max(map(len, got)) <= 40 and sum(map(len, got)) == 120 and got == topics(spark, ring[::-1])
 
 
+def modularity(edges, group):
+    degree, inside, total = Counter(), 0, 2 * sum(w for _, _, w in edges)
+    for a, b, w in edges:
+        degree[group[a]] += w
+        degree[group[b]] += w
+        inside += 2 * w * (group[a] == group[b])
+    return inside / total - sum((d / total) ** 2 for d in degree.values())
+
+
+def planted(parts, size, inner, outer, seed):
+    rng = random.Random(seed)
+    return [(i, j, rng.randint(1, 5)) for i in range(parts * size) for j in range(i + 1, parts * size) if rng.random() < (inner if i // size == j // size else outer)]
+
+
+def test_communities_in_one_task_and_in_many(spark, seed=1):
+    """The same planted communities whichever form does the work; modularity near that of the plant."""
+    edges = planted(12, 30, 0.4, 0.01, seed)
+    want = modularity(edges, {v: v // 30 for v in range(360)})
+    frame = spark.createDataFrame([(a, b, float(w)) for a, b, w in edges], "a long, b long, w double")
+    for in_task in (T.IN_TASK, 3000):
+        topic = {r.node: r.topic for r in T.communities(frame, 40, in_task).collect()}
+        assert len(topic) == 360 and modularity(edges, topic) > 0.98 * want
+        assert all(topic[t] == t and min(v for v in topic if topic[v] == t) == t for t in topic.values())
+
+
+def test_communities_hang_together_and_split_while_they_can(spark):
+    edges = planted(3, 100, 0.06, 0.002, 4)
+    frame = spark.createDataFrame([(a, b, float(w)) for a, b, w in edges], "a long, b long, w double")
+    for in_task in (T.IN_TASK, 1200):
+        topic = {r.node: r.topic for r in T.communities(frame, 40, in_task).collect()}
+        near = defaultdict(set)
+        for a, b, _ in edges:
+            if topic[a] == topic[b]:
+                near[a].add(b)
+                near[b].add(a)
+        for t in set(topic.values()):
+            seen, todo = set(), [t]
+            while todo:
+                if (v := todo.pop()) not in seen:
+                    seen.add(v)
+                    todo += near[v]
+            assert seen == {v for v in topic if topic[v] == t}
+        assert max(Counter(topic.values()).values()) <= 40
+
+
 def test_entities_and_facts(spark):
     m = spark.createDataFrame([("c1", 0, "Rust", "language", "a"), ("c1", 1, "rust", "tool", "b"), ("c2", 0, "rust", "tool", "a"), ("c2", 1, "Go", "tool", "")], "chunk_id string, pos long, name string, type string, description string")
     got = {r.key: r for r in knowledge.entities(m).collect()}
