@@ -112,7 +112,7 @@ def snippet_of(text: str, words: set[str], size: int = SNIPPET_TOKENS) -> str:
     spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
     if not spans:
         return text
-    hit = [not words.isdisjoint(X.fold_text(text[a:b])) for a, b in spans]
+    hit = [not words.isdisjoint(X.tokens_of(text[a:b])) for a, b in spans]
     n = min(size, len(spans))
     running = [sum(hit[:n])]
     for k in range(1, len(spans) - n + 1):

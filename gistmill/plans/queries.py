@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from gistmill.functions import chunking, ids, markup
 from gistmill.functions import text as X
 from gistmill.functions import vectors as V
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
+from gistmill.operators.storedindex import StoredIndex
 from gistmill.operators.topics import find_topics
 from gistmill.plans.adapt import edges, mention_items, messages, nodes, relation_items, table
-from gistmill.session import durable
+from gistmill.session import durable, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +90,64 @@ def fts_postings_phrase(spark, sf_dir):
     return _ranked(textindex.search_postings(textindex.postings(docs), textindex.doc_stats(docs), "of_the", limit=None).withColumnRenamed("id", "doc_id"))
 
 
+@query(bm25_sql(["fur", "de"]))
+def fts_accented_words(spark, sf_dir):
+    return _ranked(textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "Für DE\u0301", limit=None, keep=()))
+
+
+INDEXES: dict[tuple[str, str], StoredIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The index of documents in the shared folder, in two segments; built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+        index = StoredIndex(spark, f"{shared_dir(spark).rstrip('/')}/index_{uuid.uuid4().hex}")
+        index.add(docs.where("source < 'src3'"))
+        index.add(docs.where("source >= 'src3' OR source IS NULL"))
+        INDEXES[key] = index
+    return INDEXES[key]
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(bm25_sql(["the", "and", "for"]))
+def fts_stored_words(spark, sf_dir):
+    return _found(stored_index(spark, sf_dir).search("The, AND for!", 10))
+
+
+@query(ORACLES["fts_phrase"])
+def fts_stored_phrase(spark, sf_dir):
+    return _found(stored_index(spark, sf_dir).search("of_the", 10))
+
+
+@query(ORACLES["fts_accented_words"])
+def fts_stored_accents(spark, sf_dir):
+    return _found(stored_index(spark, sf_dir).search("fu\u0308r Dé", 10))
+
+
+@query(bm25_sql(["the", "of"], "source IN ('src1', 'src2')"))
+def fts_stored_source_filter(spark, sf_dir):
+    keep = table(spark, sf_dir, "documents").where("source IN ('src1', 'src2')").select(F.col("doc_id").alias("id"))
+    return _found(stored_index(spark, sf_dir).search("the of", 10, keep))
+
+
+@query(bm25_sql(["the", "for"]).replace(" FROM documents)", " FROM (SELECT * FROM documents WHERE source <> 'src5' OR source IS NULL UNION ALL SELECT doc_id, 'the new text for ' || source, lang, source, n_chars FROM documents WHERE source = 'src5'))"))
+def fts_stored_changed(spark, sf_dir):
+    """The index after all documents of a source got other texts: tombstones, one more segment, then one segment of all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mine = docs.where("source = 'src5'")
+    index = StoredIndex(spark, f"{shared_dir(spark).rstrip('/')}/index_{uuid.uuid4().hex}")
+    index.add(docs)
+    index.delete(mine.select(F.col("doc_id").alias("id")))
+    index.add(mine.withColumn("text", F.concat(F.lit("the new text for "), "source")))
+    index.merge()
+    return _found(index.search("for the", 10))
+
+
 @query()
 def fts_snippets(spark, sf_dir):
     found = textindex.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "idiot", limit=20)

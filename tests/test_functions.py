@@ -1,11 +1,14 @@
 import hashlib
 import random
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from gistmill.functions import chunking, ids
 from gistmill.functions import text as X
 from gistmill.functions import vectors as V
+from gistmill.operators import textindex
 
 
 def one(spark, column, **values):
@@ -51,6 +54,20 @@ def test_text_helpers(spark):
     assert X.fold_text("Ἀθήνα straße") == ["αθηνα", "strasse"]
 
 
+def test_index_and_query_fold_alike(spark):
+    """Every character that the oldest of the libraries' Unicode versions knows, alone and inside a word."""
+    chars = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Co")]
+    texts = [t for c in chars for t in (c, f"a{c}b")]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.tokens(F.col("t")).alias("w")).collect()
+    assert [(texts[r.i], r.w, X.tokens_of(texts[r.i])) for r in got if r.w != X.tokens_of(texts[r.i])] == []
+
+
+@pytest.mark.parametrize("word", ["Straße", "мой", "Дом", "がく", "か\u3099く", "한국어", "日本語", "سلام", "ΟΔΟΣ", "οδός", "ﬁnd", "Café", "Cafe\u0301", "résumé", "re\u0301sume\u0301", "İstanbul", "x_y", "٣٤"])
+def test_words_of_any_script_are_found(spark, word):
+    docs = spark.createDataFrame([(1, f"one {word}, two"), (2, "other words")], "doc_id long, text string")
+    assert [r.doc_id for r in textindex.search(docs, word).collect()] == [1]
+
+
 def test_vectors(spark):
     assert one(spark, V.normalise(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8]
     assert one(spark, V.normalise(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
