@@ -107,8 +107,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t, table) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("k"), pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([label_of(s) if len(s) else None for s in sets], pa.binary())],
-            names=["doc_id", "k", "c", "n", "label"],
+            [batch.column("id"), batch.column("k"), batch.column("h"), pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([label_of(s) if len(s) else None for s in sets], pa.binary())],
+            names=["doc_id", "k", "h", "c", "n", "label"],
         )
 
 
@@ -248,28 +248,33 @@ def forest_links(sets: DataFrame, threshold: float, target: float = RECALL) -> t
         depth = shorter
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (smallest id of its group of links), copy_id (smallest id of its shingle set), n_links, kept."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: bool = False) -> DataFrame:
+    """doc_id, class_id (smallest id of its group of links), copy_id (smallest id of its shingle set), n_links, kept.
+
+    Where ids repeat or are null they do not name a row: with rows, text_hash (xxhash64 of the text's bytes) and kept_row
+    come, too: of each group the least (id, text_hash) stays, null ids last, and each row without a word."""
     B.tune(docs.sparkSession)
-    base = B.texts(docs, id_col, text_col).withColumn("k", F.coalesce("id", F.xxhash64("text")))
-    signed = durable(base.mapInArrow(B.releasing(signatures), "doc_id long, k long, c binary, n long, label binary"))
-    classes = durable(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.count("*").alias("m"), F.max("n").alias("n"), F.first("label").alias("label")))
+    base = B.texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).withColumn("k", F.coalesce("id", "h"))
+    signed = durable(base.mapInArrow(B.releasing(signatures), "doc_id long, k long, h long, c binary, n long, label binary"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = durable(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(own).alias("first"), F.min("k").alias("k"), F.count("*").alias("m"), F.max("n").alias("n"), F.first("label").alias("label")))
     # only classes that meet another at the shortest prefix take part; their sets are made once
     nodes = in_trees(classes, shortest_prefix(threshold), "c")
     met = durable(nodes.groupBy("tree", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tree", "key"))
     near = nodes.join(met, ["tree", "key"], "left_semi").select("c").distinct()
-    wanted = base.join(classes.drop("least").join(near, "c"), "k").select("text", "c", "m", "n", "label")
+    wanted = base.join(classes.drop("least", "first").join(near, "c"), "k").select("text", "c", "m", "n", "label")
     sets = durable(wanted.mapInArrow(B.releasing(group_sets), "c binary, m long, n long, label binary, s binary").dropDuplicates(["c"]))
     links, _ = forest_links(sets, threshold)
     roots = connected_components(links.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "c")
-    joined = classes.select("c", "least").join(roots, "c")
-    smallest = durable(joined.groupBy("root").agg(F.min("least").alias("class_id")))
+    joined = classes.select("c", "least", "first").join(roots, "c")
+    smallest = durable(joined.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("group_first")))
     counts = links.groupBy("c").agg(F.sum("links").alias("links"))
-    linked = joined.select("c", "root").join(smallest, "root").join(counts, "c").select("c", "class_id", "links")
+    linked = joined.select("c", "root").join(smallest, "root").join(counts, "c").select("c", "class_id", "group_first", "links")
     # cut here, so that the join of all rows, where one class may hold a third of them, can be split
-    of_class = durable(classes.select("c", "least", "m").join(linked, "c", "left"))
-    rows = signed.select("doc_id", "c", "n").join(of_class, "c", "left")
+    of_class = durable(classes.select("c", "least", "first", "m").join(linked, "c", "left"))
+    every = signed.select("doc_id", "h", "c", "n").join(of_class, "c", "left")
     alone = F.col("n") == 0
     class_id = F.when(alone, F.col("doc_id")).otherwise(F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("class_id")))
     n_links = F.when(alone, F.lit(0)).otherwise(F.col("m") - 1 + F.coalesce("links", F.lit(0))).cast("long")
-    return rows.select("doc_id", class_id.alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("copy_id"), n_links.alias("n_links"), F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"))
+    more = [F.col("h").alias("text_hash"), (alone | own.eqNullSafe(F.coalesce("group_first", "first"))).alias("kept_row")] if rows else []
+    return every.select("doc_id", class_id.alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("copy_id"), n_links.alias("n_links"), F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"), *more)

@@ -2,7 +2,8 @@
 
 Words are runs of anything but ASCII white space. Defined results: a null or empty text has no words, fails the
 base rule and is not kept; a null id stays null; repeated rows each give a row; other columns pass through
-rules() untouched when asked for, clashing names included, as results are selected by the names given.
+rules() untouched when asked for; one that is named like a result gets `kept_` before its name. A stop word counts in
+any case of its letters and with marks at its ends.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: What may stand at the ends of a word without being part of it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡–—"
 
 #: Frequent function words of the four languages, in lower case.
 STOP_WORDS = (
@@ -92,7 +95,7 @@ def measures(text: Column) -> Column:
     """A struct of counts and ratios of one text."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS.split()))])
+    stop = sorted(set(STOP_WORDS.split()))
 
     def of(words: Column) -> Column:
         chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
@@ -103,7 +106,7 @@ def measures(text: Column) -> Column:
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             F.size(lines).cast("long").alias("n_lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(words, lambda w: F.array_contains(stop, w))).cast("long").alias("n_stop"),
+            F.size(F.filter(words, lambda w: F.lower(F.btrim(w, F.lit(MARKS))).isin(stop))).cast("long").alias("n_stop"),
             (F.length(whole) - F.length(F.translate(whole, "!", ""))).cast("long").alias("n_marks"),
         )
 
@@ -134,7 +137,10 @@ def rules(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     for r in table:
         kept = kept & ~broken(r)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return docs.select(*[docs[k] for k in keep], measures(docs[text_col]).alias("_m")).select(*keep, *[m[c].alias(c) for c in counts], *failed, base.alias("base_failed"), kept.alias("kept"))
+    taken = {*counts, *(f"failed_{r.name}" for r in table), "base_failed", "kept"}
+    held = docs.select(*[docs[k].alias(f"c{i}") for i, k in enumerate(keep)], measures(docs[text_col]).alias("_m"))
+    own = [F.col(f"c{i}").alias(f"kept_{k}" if k in taken else k) for i, k in enumerate(keep)]
+    return held.select(*own, *[m[c].alias(c) for c in counts], *failed, base.alias("base_failed"), kept.alias("kept"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -144,6 +150,7 @@ def op2(docs: DataFrame) -> DataFrame:
 def sql() -> str:
     """The same counts in DuckDB, where words and windows are unnested and grouped."""
     stop = ", ".join("'" + w + "'" for w in sorted(set(STOP_WORDS.split())))
+    marks = MARKS.replace("'", "''")
     limits = {r.name: r for r in RULES}
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -156,7 +163,7 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, lambda x: x IN ({stop}))) AS n_stop, length(text) - length(replace(text, '!', '')) AS n_marks
+             len(list_filter(ws, lambda x: lower(trim(x, '{marks}')) IN ({stop}))) AS n_stop, length(text) - length(replace(text, '!', '')) AS n_marks
       FROM w LEFT JOIN c USING (doc_id)),
 v AS (SELECT *, greatest(n_words, 1)::DOUBLE AS n, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -107,6 +107,15 @@ def test_op2_on_odd_rows(odd):
     assert got[(1, 8)].n_symbols == 4 and quality.op2(odd.limit(0)).count() == 0
 
 
+def test_op2_counts_stop_words_in_any_form(spark, odd):
+    text = " ".join(["The,", "(AND)", "«dans»", "of", "wall", "theory", "x-the"] * 12)
+    got = quality.rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), table=(quality.Rule("stop_words", "stop_ratio", 48 / 84, 48 / 84),)).first()
+    assert not got.failed_stop_words and got.kept is False and got.base_failed
+    named = odd.withColumnRenamed("ids", "_m").withColumnRenamed("id", "n_words")
+    out = quality.rules(named, keep=("doc_id", "_m", "n_words", "kept"))
+    assert out.columns[:4] == ["doc_id", "_m", "kept_n_words", "kept_kept"] and out.where("_m = 'x'").count() == 7 and out.where("n_words = 8").count() == 1
+
+
 def repeated_brute(words):
     windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
     return len({k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)})
@@ -531,6 +540,19 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert taken == want and mixed.columns == docs.columns
 
 
+def test_pipeline_keeps_one_row_of_a_near_group(spark):
+    """Repeated and null ids do not name rows, and a map is no obstacle."""
+    import corpus_pipeline
+
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other, last = f"{base} end", " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(40))
+    given = [(3, base), (5, near), (5, other), (None, base), (None, last), (7, ""), (None, None), (9, other), (9, other)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, {"k": "v"}, n) for n, (i, t) in enumerate(given)], "doc_id long, text string, lang string, source string, n_chars long, m map<string,string>, h long")
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "", r.m["k"]) for r in got.collect()) == sorted([(3, base, "v"), (5, other, "v"), (-1, last, "v"), (7, "", "v"), (-1, "", "v")])
+
+
 def test_pipeline_on_odd_rows(spark, odd):
     import corpus_pipeline
 
