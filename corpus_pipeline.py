@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 back as the next stage's docs. All stages but the last return the columns of documents.
 
 Defined results: a null text is scored, deduplicated and encoded as an empty one, and the mix takes it 0 times, as any
-text without words; rows of one id and text are one document after the near-duplicate stage, which keeps the row whose
-other columns are least; a null id is an id like any other there; columns beyond those of documents pass through all
-stages but the last, whatever their names; an empty table gives no rows.
+text without words; the near-duplicate stage decides row by row, whether ids repeat or are null, and of rows of one id
+and text keeps one, chosen by a hash of its other columns; columns beyond those of documents pass through all stages
+but the last, whatever their names and types; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,14 +39,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each group of near-duplicates stays, and one row of each document."""
-    kept = jaccard.join(docs).where("kept").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.struct("text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]).alias("row"))
-    one = rows.groupBy("doc_id", "h").agg(F.min("row").alias("row"))
-    own = {"doc_id": F.col("doc_id"), "text": F.col("row.text")} | {c: F.col(f"row.c{k}") for k, c in enumerate(rest)}
-    return one.select(*[own[c].alias(c) for c in docs.columns])
+    """Operator 8: one row of each group of near-duplicates stays: the one of the least id, null ids last, and of rows of
+    one id the one of the least hash of its text."""
+    kept = jaccard.join(docs, rows=True).where("kept_row").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).distinct()
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    hashed = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
+    rows = docs.select(*[docs[c].alias(n) for c, n in names.items()], hashed.alias("h"))
+    same = rows[names["doc_id"]].cast("long").eqNullSafe(kept["id"]) & (rows["h"] == kept["h"])
+    rows = rows.join(kept, same, "left_semi")
+    # the hash of the rest as JSON tells rows of one text apart, whatever the types of their columns
+    rest = F.xxhash64(F.to_json(F.struct(*[n for c, n in names.items() if c != "text"])))
+    one = rows.groupBy(names["doc_id"], "h").agg(F.min_by(F.struct(*[n for c, n in names.items() if c != "doc_id"]), rest).alias("row"))
+    return one.select(*[(F.col(n) if c == "doc_id" else F.col(f"row.{n}")).alias(c) for c, n in names.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
