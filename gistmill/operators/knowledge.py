@@ -261,27 +261,25 @@ def topic_nodes(topics: DataFrame, entity_keys: DataFrame) -> tuple[DataFrame, D
 
 def message_window(messages: DataFrame, center: DataFrame, budget: int = 30_000) -> DataFrame:
     """Messages around a conversation's center (conversation_id, position) that fit a budget of characters, one side
-    after the other, right first; a neighbour that does not fit closes its side. A fold for each conversation."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position", ignore_index=True)
-        at = rows.index[rows.position == rows.center]
-        if not len(at):
-            return rows.iloc[:0]
-        low = high = int(at[0])
-        used, open_sides = len(rows.text[low] or ""), {1, -1}
-        side = 1
-        while open_sides:
-            if side in open_sides:
-                k = high + 1 if side == 1 else low - 1
-                size = len(rows.text[k] or "") if 0 <= k < len(rows) else budget + 1
-                if used + size > budget:
-                    open_sides.discard(side)
-                else:
-                    used += size
-                    low, high = min(low, k), max(high, k)
-            side = -side
-        return rows.iloc[low : high + 1]
-
-    joined = messages.select("conversation_id", "position", "role", "text").join(center.select("conversation_id", F.col("position").alias("center")), "conversation_id")
-    return joined.groupBy("conversation_id").applyInPandas(run, joined.schema).drop("center")
+    after the other, right first; a neighbour that does not fit closes its side.
+
+    While both sides are open, what is used up to a neighbour is a running sum in the order of turns. The first step
+    that does not fit, or at which a side has no more, closes that side; the other one goes on by its own running sum
+    beside all that the closed side has taken. So windows over one conversation do it, in one shuffle, and spill.
+    """
+    rows = messages.select("conversation_id", "position", "role", "text").join(center.select("conversation_id", F.col("position").alias("center")), "conversation_id")
+    whole = W.partitionBy("conversation_id")
+    rows = rows.withColumn("_i", F.row_number().over(whole.orderBy("position", "role", "text")))
+    rows = rows.withColumn("_o", F.col("_i") - F.min(F.when(F.col("position") == F.col("center"), F.col("_i"))).over(whole)).where("_o is not null")
+    off, size = F.col("_o"), F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    # steps: 0 the center, 2k the k-th message after it, 2k + 1 the k-th before it
+    rows = rows.withColumn("_step", F.abs(off) * 2 + (off < 0).cast("int")).withColumn("_side", F.signum(off.cast("double")).cast("int"))
+    rows = rows.withColumn("_both", F.sum(size).over(whole.orderBy("_step").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_own", F.sum(size).over(W.partitionBy("conversation_id", "_side").orderBy("_step").rowsBetween(W.unboundedPreceding, 0)))
+    ends = F.least(2 * (F.max(off).over(whole) + 1), 2 * (1 - F.min(off).over(whole)) + 1)
+    rows = rows.withColumn("_shut", F.least(ends, F.coalesce(F.min(F.when((F.col("_both") > budget) & (off != 0), F.col("_step"))).over(whole), ends)))
+    closed = F.when(F.col("_shut") % 2 == 0, 1).otherwise(-1)
+    taken = (F.col("_step") < F.col("_shut")) & (F.col("_side") == closed)
+    used = F.sum(F.when((off == 0) | taken, size).otherwise(0)).over(whole)
+    rows = rows.withColumn("_in", (off == 0) | taken | ((F.col("_side") == -closed) & (used + F.col("_own") <= budget)))
+    return rows.where("_in").select("conversation_id", "position", "role", "text")

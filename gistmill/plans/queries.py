@@ -254,17 +254,55 @@ def entity_key_norm(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", X.entity_key(F.col("p_name")).alias("entity_key"))
 
 
-@query()
+def chunks_sql(rows: str, most: int = 1600, overlap: int = 160) -> str:
+    """(id, ord, text) of the chunks of rows (id, text) without fences, by stepping over pieces and units one by one."""
+    return f"""u AS (SELECT id, pos, trim(t, {BLANKS}) AS t FROM (SELECT id, unnest(us) AS t, generate_subscripts(us, 1) AS pos FROM (SELECT id, string_split_regex(text, '\\n\\s*\\n') AS us FROM ({rows}) WHERE text IS NOT NULL)) WHERE trim(t, {BLANKS}) <> ''),
+pieces AS (SELECT id, pos, flatten(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: list_transform(range(greatest(1, (length(p) + {most - 1}) // {most})), lambda k: substr(p, 1 + {most} * k, {most})))) AS ps FROM u WHERE length(t) > {most}),
+cut(id, pos, k, now, done) AS (SELECT id, pos, 0, '', []::VARCHAR[] FROM pieces UNION ALL
+  SELECT c.id, c.pos, k + 1, CASE WHEN now = '' OR length(now) + 1 + length(ps[k + 1]) > {most} THEN ps[k + 1] ELSE now || ' ' || ps[k + 1] END,
+         CASE WHEN now <> '' AND length(now) + 1 + length(ps[k + 1]) > {most} THEN list_append(done, now) ELSE done END FROM cut c JOIN pieces p ON c.id = p.id AND c.pos = p.pos WHERE k < len(ps)),
+fitted AS (SELECT id, pos, 0 AS k, t FROM u WHERE length(t) <= {most} UNION ALL
+  SELECT id, pos, generate_subscripts(d, 1), unnest(d) FROM (SELECT c.id, c.pos, CASE WHEN trim(now, {BLANKS}) <> '' THEN list_append(done, now) ELSE done END AS d FROM cut c JOIN pieces p ON c.id = p.id AND c.pos = p.pos WHERE k = len(ps))),
+units AS (SELECT id, list(t ORDER BY pos, k) AS us FROM fitted GROUP BY id),
+packed(id, k, now, size, done) AS (SELECT id, 0, []::VARCHAR[], 0, []::VARCHAR[] FROM units UNION ALL
+  SELECT id, k + 1, CASE WHEN fits THEN list_append(now, t) WHEN again THEN [now[-1], t] ELSE [t] END, CASE WHEN fits THEN size + length(t) + 2 * (len(now) > 0)::INT WHEN again THEN length(now[-1]) + 2 + length(t) ELSE length(t) END,
+         CASE WHEN fits THEN done ELSE list_append(done, array_to_string(now, chr(10) || chr(10))) END
+  FROM (SELECT p.*, us[k + 1] AS t, len(now) = 0 OR size + 2 + length(us[k + 1]) <= {most} AS fits, length(now[-1]) <= {overlap} AND length(now[-1]) + 2 + length(us[k + 1]) <= {most} AS again FROM packed p JOIN units ON p.id = units.id WHERE k < len(us))),
+chunked AS (SELECT id, generate_subscripts(d, 1) - 1 AS ord, unnest(d) AS text FROM (SELECT p.id, list_append(done, array_to_string(now, chr(10) || chr(10))) AS d FROM packed p JOIN units ON p.id = units.id WHERE k = len(us)))"""
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+CHUNK_ID = "'chunk_' || substr(sha256(id || chr(31) || ord || chr(31) || text), 1, 24)"
+
+
+@query(f"""WITH RECURSIVE {chunks_sql(f"SELECT id, text FROM {MSG} WHERE role IN ('user', 'assistant')")}
+SELECT id AS message_id, ord::INT AS "order", {CHUNK_ID} AS chunk_id, sha256(text) AS text_hash, greatest(1, length(text) // 4)::BIGINT AS token_estimate FROM chunked""")
 def chunk_messages(spark, sf_dir):
     return chunking.chunks(messages(spark, sf_dir)).select(F.col("id").alias("message_id"), "order", "chunk_id", "text_hash", "token_estimate")
 
 
-@query()
+@query(f"""WITH RECURSIVE {chunks_sql("SELECT doc_id::VARCHAR AS id, text FROM documents")}
+SELECT id AS doc_id, ord::INT AS "order", {CHUNK_ID} AS chunk_id, length(text)::INT AS n_chars, greatest(1, length(text) // 4)::BIGINT AS token_estimate FROM chunked""")
 def chunk_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     return chunking.chunks(d).select(F.col("id").alias("doc_id"), "order", "chunk_id", F.length("chunk_text").alias("n_chars"), "token_estimate")
 
 
+@query(f"""WITH RECURSIVE m AS MATERIALIZED (SELECT conversation_id, position, coalesce(length(text), 0) AS size FROM {MESSAGES}),
+n AS (SELECT conversation_id, max(position) AS last, max(position) // 2 AS mid FROM m GROUP BY 1),
+s(conversation_id, low, high, used, side, r, l) AS (SELECT conversation_id, mid, mid, size, 1, true, true FROM n JOIN m USING (conversation_id) WHERE position = mid UNION ALL
+  SELECT s.conversation_id, CASE WHEN side = -1 AND fits THEN low - 1 ELSE low END, CASE WHEN side = 1 AND fits THEN high + 1 ELSE high END, CASE WHEN fits THEN used + size ELSE used END, -side,
+         CASE WHEN side = 1 THEN r AND fits ELSE r END, CASE WHEN side = -1 THEN l AND fits ELSE l END
+  FROM (SELECT s.*, coalesce(m.size, 0) AS size, m.size IS NOT NULL AND used + m.size <= 900 AND CASE side WHEN 1 THEN r ELSE l END AS fits FROM s LEFT JOIN m ON m.conversation_id = s.conversation_id AND m.position = CASE side WHEN 1 THEN high + 1 ELSE low - 1 END WHERE r OR l) s),
+w AS (SELECT conversation_id, min(low) AS low, max(high) AS high FROM s GROUP BY 1)
+SELECT conversation_id, position::BIGINT AS position, size::INT AS size FROM m JOIN w USING (conversation_id) WHERE position BETWEEN low AND high""")
+def message_window(spark, sf_dir):
+    """What fits beside the middle message of each conversation."""
+    m = messages(spark, sf_dir)
+    middle = m.groupBy("conversation_id").agg(F.floor(F.max("position") / 2).alias("position"))
+    return knowledge.message_window(m, middle, 900).select("conversation_id", "position", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN rtrim(substr(text, 1, 2000)) || chr(10) || '[' || format('{:,}', length(text) - 2000) || ' more characters]' ELSE text END AS shown FROM documents")
 def tool_text_shortened(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.shorten_tool_text(F.col("text")).alias("shown"))

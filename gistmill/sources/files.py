@@ -16,23 +16,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = "path string, member string, depth int, content binary"
-ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("depth", pa.int32()), ("content", pa.binary())])
+ROW = "path string, member string, depth int, content binary, issue string"
+ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("depth", pa.int32()), ("content", pa.binary()), ("issue", pa.string())])
 #: Limits of an unpacked archive: nesting, bytes and files.
 MAX_NESTED, MAX_BYTES, MAX_FILES = 4, 2_000_000_000, 100_000
 ISSUE = "label string, reason string"
 TARS = (".tar", ".tgz", ".tbz2", ".txz", ".tar.gz", ".tar.bz2", ".tar.xz")
+PACKED_DOCUMENTS = (".docx", ".pptx", ".xlsx", ".odt", ".odp", ".ods", ".epub", ".jar")
 BROKEN = (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError)
+TOO_MUCH, LOCKED, UNREADABLE = "the archive unpacks to more than is read", "the archive is locked with a password", "the archive could not be unpacked"
 
 
-def _spend(path: str, budget: list[int], size: int, count: int) -> None:
-    budget[0] -= size
-    budget[1] -= count
-    if budget[0] < 0 or budget[1] < 0:
-        raise ValueError(f"{path} unpacks to more than is read")
+class Fault(ValueError):
+    """Why an archive is left out."""
 
 
-def _untarred(path: str, data: bytes, budget: list[int]) -> list[tuple[str, bytes]] | None:
+class Budget:
+    """What may still come out of a file, in bytes and files."""
+
+    def __init__(self, size: int, count: int) -> None:
+        self.size, self.count = size, count
+
+    def spend(self, size: int, count: int) -> None:
+        self.size -= size
+        self.count -= count
+        if self.size < 0 or self.count < 0:
+            raise Fault(TOO_MUCH)
+
+
+def _untarred(data: bytes, budget: Budget) -> list[tuple[str, bytes]] | None:
     """(name, content) of the files of a tar, compressed or not; None if it cannot be read."""
     out = []
     try:
@@ -41,85 +53,122 @@ def _untarred(path: str, data: bytes, budget: list[int]) -> list[tuple[str, byte
                 name = entry.name.replace("\\", "/").removeprefix("./")
                 if not entry.isfile() or ".." in name.split("/") or name.startswith("/"):
                     continue
-                _spend(path, budget, entry.size, 1)
+                budget.spend(entry.size, 1)
                 out.append((name, bundle.extractfile(entry).read()))
     except BROKEN:
         return None
     return out
 
 
-def _gunzipped(path: str, data: bytes, budget: list[int]) -> list[tuple[str, bytes]] | None:
+def _gunzipped(path: str, data: bytes, budget: Budget) -> list[tuple[str, bytes]] | None:
     """(name, content) of a gzip's one file; None if it cannot be read."""
     parts = []
     try:
         with gzip.open(io.BytesIO(data)) as packed:
             while piece := packed.read(1 << 20):
-                _spend(path, budget, len(piece), 0)
+                budget.spend(len(piece), 0)
                 parts.append(piece)
     except BROKEN:
         return None
-    _spend(path, budget, 0, 1)
+    budget.spend(0, 1)
     return [(path[: -len(".gz")], b"".join(parts))]
 
 
-def _members(path: str, data: bytes, level: int, budget: list[int]) -> Iterator[tuple[str, str, bytes]]:
-    """(path, member, content) of a file: itself, or all files of a zip, tar or gzip, at any nesting up to the limit.
-    A tar or gzip that cannot be read is passed on as it is."""
-    lower = path.lower()
-    packed = None
-    if level < MAX_NESTED and lower.endswith(TARS):
-        packed = _untarred(path, data, budget)
-    elif level < MAX_NESTED and lower.endswith(".gz"):
-        packed = _gunzipped(path, data, budget)
-    if packed is not None:
-        for inner, content in packed:
-            yield from _members(inner, content, level + 1, budget)
-    elif level < MAX_NESTED and data[:4] == b"PK\x03\x04" and not lower.endswith((".docx", ".pptx", ".xlsx", ".odt", ".odp", ".ods", ".epub", ".jar")):
+def _unzipped(data: bytes, budget: Budget) -> list[tuple[str, bytes]]:
+    """(name, content) of the files of a zip. What a member says of its size is not believed: it is read to the limit."""
+    out = []
+    try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
-                parts = info.filename.replace("\\", "/").split("/")
-                if info.is_dir() or ".." in parts or info.filename.startswith("/"):
+                if info.is_dir() or ".." in info.filename.replace("\\", "/").split("/") or info.filename.startswith("/"):
                     continue
-                _spend(path, budget, info.file_size, 1)
-                yield from _members(info.filename, z.read(info), level + 1, budget)
-    else:
-        yield path, path, data
+                if info.flag_bits & 1:
+                    raise Fault(LOCKED)
+                budget.spend(0, 1)
+                with z.open(info) as member:
+                    content = member.read(budget.size + 1)
+                budget.spend(len(content), 0)
+                out.append((info.filename, content))
+    except (zipfile.BadZipFile, NotImplementedError, *BROKEN) as why:
+        raise Fault(f"{UNREADABLE}: {type(why).__name__}") from why
+    return out
 
 
-def scan(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """(path, member, depth, content): files below a path, archives opened, those of a base name only if one is given."""
+def _members(path: str, data: bytes, level: int, budget: Budget) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(member, content, issue) of a file: itself, or all files of a zip, tar or gzip, at any nesting up to the limit. An
+    archive that is locked, broken or too large gives one row with its issue, and the files beside it are read; a tar or
+    gzip that is none is passed on as it is."""
+    lower, packed = path.lower(), None
+    try:
+        if level < MAX_NESTED and lower.endswith(TARS):
+            packed = _untarred(data, budget)
+        elif level < MAX_NESTED and lower.endswith(".gz"):
+            packed = _gunzipped(path, data, budget)
+        elif level < MAX_NESTED and data[:4] == b"PK\x03\x04" and not lower.endswith(PACKED_DOCUMENTS):
+            packed = _unzipped(data, budget)
+    except Fault as why:
+        yield path, None, str(why)
+        return
+    if packed is None:
+        yield path, data, None
+        return
+    for inner, content in packed:
+        yield from _members(inner, content, level + 1, budget)
+
+
+def scan_all(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """(path, member, depth, content, issue): files below a path, archives opened, those of a base name only if one is
+    given; and a row with an issue for each archive that could not be opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if name:
         files = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).isin(name.lower()) | F.lower("path").rlike(r"\.(zip|tar|tgz|tbz2|txz|gz|tar\.bz2|tar\.xz)$"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.to_pylist():
-                for _, member, data in _members(file["path"], file["content"], 0, [MAX_BYTES, MAX_FILES]):
-                    if not name or member.rsplit("/", 1)[-1].lower() == name.lower():
-                        row = {"path": file["path"], "member": member, "depth": member.count("/"), "content": data}
+            for at, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for member, data, issue in _members(at, cell.as_py(), 0, Budget(MAX_BYTES, MAX_FILES)):
+                    if issue or not name or member.rsplit("/", 1)[-1].lower() == name.lower():
+                        row = {"path": at, "member": member, "depth": member.count("/"), "content": data, "issue": issue}
                         yield pa.RecordBatch.from_pylist([row], schema=ARROW)
 
     return files.select("path", "content").mapInArrow(run, ROW)
 
 
+def scan(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """(path, member, depth, content) of scan_all() without its issues."""
+    return scan_all(spark, path, name).where("issue is null").drop("issue")
+
+
 def nearest(files: DataFrame) -> DataFrame:
     """Of each scan, the file nearest to the root, by depth and name."""
     return files.orderBy("depth", "member").limit(1)
 
 
-def json_items(files: DataFrame) -> DataFrame:
-    """(path, index, record): each element of the files' top-level JSON arrays as JSON; a byte-order mark is skipped."""
+def json_rows(files: DataFrame) -> DataFrame:
+    """(path, index, record, issue): each element of the files' top-level JSON arrays as JSON, a byte-order mark skipped;
+    a file that holds no such array gives one row with an issue."""
+
+    def items(path: str, content: bytes) -> pd.DataFrame:
+        try:
+            data = json.loads(bytes(content).decode("utf-8-sig"))
+        except (UnicodeDecodeError, ValueError, RecursionError):
+            data = None
+        if not isinstance(data, list):
+            why = "not valid JSON" if data is None else "should hold a list"
+            return pd.DataFrame({"path": [path], "index": pd.array([None], "Int64"), "record": [None], "issue": [why]})
+        return pd.DataFrame({"path": path, "index": pd.array(range(len(data)), "Int64"), "record": [json.dumps(x, ensure_ascii=False) for x in data], "issue": None})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, content in zip(frame.path, frame.content, strict=True):
-                data = json.loads(bytes(content).decode("utf-8-sig"))
-                if not isinstance(data, list):
-                    raise ValueError(f"{p} should hold a list")
-                yield pd.DataFrame({"path": p, "index": range(len(data)), "record": [json.dumps(x, ensure_ascii=False) for x in data]})
+                yield items(p, content)
+
+    return files.select("path", "content").mapInPandas(run, "path string, index long, record string, issue string")
 
-    return files.select("path", "content").mapInPandas(run, "path string, index long, record string")
+
+def json_items(files: DataFrame) -> DataFrame:
+    """(path, index, record) of json_rows() without its issues."""
+    return json_rows(files).where("issue is null").drop("issue")
 
 
 def json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -129,10 +178,14 @@ def json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def lines_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same of files (path, content) in hand."""
-    rows = found.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("at", "record")).where(F.length(F.btrim("record")) > 0)
-    rows = rows.withColumn("line", F.col("at") + 1).withColumn("ok", F.try_parse_json("record").isNotNull())
-    issues = rows.where("not ok").select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), F.col("line").cast("string")).alias("label"), F.lit("not valid JSON").alias("reason"))
+    """The same of files (path, content) in hand; a line that is not UTF-8 is reported like a bad one."""
+    raw = F.col("content").cast("string")
+    rows = found.select("path", F.is_valid_utf8(raw).alias("whole"), F.posexplode(F.split(F.make_valid_utf8(raw), "\r?\n")).alias("at", "record")).where(F.length(F.btrim("record")) > 0)
+    # only in a text that had to be mended does this sign stand for what was no character
+    coded = F.col("whole") | ~F.contains("record", F.lit("\ufffd"))
+    rows = rows.withColumn("line", F.col("at") + 1).withColumn("ok", coded & F.try_parse_json("record").isNotNull())
+    reason = F.when(coded, "not valid JSON").otherwise("not valid UTF-8")
+    issues = rows.where("not ok").select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), F.col("line").cast("string")).alias("label"), reason.alias("reason"))
     return rows.where("ok").select("path", "line", "record"), issues
 
 

@@ -38,7 +38,7 @@ def sorted_out(found: DataFrame, root: str) -> DataFrame:
     rows = rows.withColumn("file", F.when(F.col("member") == F.col("path"), F.col("path")).otherwise(F.concat_ws("/", "path", "member"))).withColumn("folder", F.regexp_replace("file", "[^/]*$", ""))
     hidden = F.exists(F.slice(F.split("relative", "/"), 1, F.size(F.split("relative", "/")) - 1), lambda x: x.startswith(".") | x.isin(*documents.SKIPPED_FOLDERS))
     rows = rows.where(~hidden & ~F.col("name").isin(*SKIPPED_FILES) & ~F.col("name").startswith("._"))
-    first = F.to_json(F.try_variant_get(F.try_parse_json(F.when(F.col("name").isin(*EXPORT_FILES), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""))), "$[0]", "variant"))
+    first = F.to_json(F.try_variant_get(F.try_parse_json(F.when(F.col("name").isin(*EXPORT_FILES), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", ""))), "$[0]", "variant"))
     export = F.when(F.col("name").isin(*EXPORT_FILES), files.export_kind(first, F.lit("")))
     rows = durable(rows.withColumn("export", F.when((F.col("name") == "myactivity.json") & ~export.eqNullSafe("gemini"), "other").otherwise(export)))
     sessions = files.session_kind(files.lines_of(rows.where("name like '%.jsonl'").select(F.col("file").alias("path"), "content"))[0]).select(F.col("path").alias("file"), F.col("kind").alias("session"))
@@ -53,16 +53,20 @@ def sorted_out(found: DataFrame, root: str) -> DataFrame:
 
 def read_intake(spark: SparkSession, path: str) -> Intake:
     """Exports first, then documents, each by its reader."""
-    rows = durable(sorted_out(files.scan(spark, path), path.split("://", 1)[-1].removeprefix("file:").rstrip("/")))
+    root = path.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    found = durable(files.scan_all(spark, path))
+    closed = found.where("issue is not null").select(documents.below(F.col("member"), root).alias("relative"), F.col("issue").alias("reason"))
+    rows = durable(sorted_out(found.where("issue is null").drop("issue"), root))
     made, issues = [], []
 
     def keep(source: Column, messages: DataFrame) -> None:
         made.append(messages.withColumn("source", source).select(*MESSAGE))
 
     for kind, read in (("chatgpt", chats.chatgpt_records), ("claude", chats.claude_records), ("gemini", chats.gemini_records)):
-        got = read(files.json_items(rows.where(F.col("kind") == kind).select(F.col("file").alias("path"), "content")))
+        items = durable(files.json_rows(rows.where(F.col("kind") == kind).select(F.col("file").alias("path"), "content")))
+        got = read(items.where("issue is null").drop("issue"))
         keep(F.lit(kind), got.messages)
-        issues.append(got.issues)
+        issues += [got.issues, items.where("issue is not null").select(F.element_at(F.split("path", "/"), -1).alias("label"), F.col("issue").alias("reason"))]
     lines, bad = files.lines_of(rows.where("kind in ('claude_code', 'codex')").select(F.col("file").alias("path"), "content"))
     sessions, silent = agents.session_messages(lines, rows.where("kind in ('claude_code', 'codex')").select(F.col("file").alias("path"), "kind"))
     keep(F.col("source"), sessions.withColumn("text", F.array_join(F.transform("content", lambda p: p["text"]), "\n\n")))
@@ -75,4 +79,4 @@ def read_intake(spark: SparkSession, path: str) -> Intake:
         told = told.unionByName(i)
     every = durable(every)
     counts = every.groupBy("source").agg(F.countDistinct("conversation_id").alias("conversations"), F.count("*").alias("messages"))
-    return Intake(every, told, rows.where("reason is not null").select("relative", "reason").unionByName(skipped), counts)
+    return Intake(every, told, rows.where("reason is not null").select("relative", "reason").unionByName(skipped).unionByName(closed), counts)

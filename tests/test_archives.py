@@ -1,10 +1,11 @@
-"""Archives other than zip."""
+"""Archives, and files that cannot be read beside those that can."""
 
 import gzip
 import io
 import tarfile
+import zipfile
 
-from gistmill.sources import files
+from gistmill.sources import files, intake
 
 
 def tarred(mode, members):
@@ -30,9 +31,46 @@ def test_tar_and_gzip_members(spark, tmp_path, monkeypatch):
     named = files.scan(spark, str(tmp_path), "conversations.json").collect()
     assert sorted(r.path.rsplit("/", 1)[-1] for r in named) == ["a.tar", "a.tar", "conversations.json.gz"]
     for size, count in ((20, 9), (99, 1)):
-        try:
-            list(files._members("a.tar", tarred("w", {"a": b"x" * 15, "b": b"x" * 15}), 0, [size, count]))
-        except ValueError as why:
-            assert "more than is read" in str(why)
-        else:
-            raise AssertionError("the limit did not hold")
+        assert list(files._members("a.tar", tarred("w", {"a": b"x" * 15, "b": b"x" * 15}), 0, files.Budget(size, count))) == [("a.tar", None, files.TOO_MUCH)]
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_one_bad_file_stops_nothing(spark, tmp_path, monkeypatch):
+    good = zipped({"in/a.txt": b"inside", "b.zip": zipped({"deep.txt": b"deep"})})
+    locked = bytearray(zipped({"c.txt": b"secret"}))
+    locked[6] |= 1
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    bomb = zipped({"zeros.txt": bytes(3_000_000)})
+    (tmp_path / "good.zip").write_bytes(good)
+    (tmp_path / "broken.zip").write_bytes(good[:60])
+    (tmp_path / "torn.zip").write_bytes(good[:35] + b"\0\0\0" + good[38:])
+    (tmp_path / "locked.zip").write_bytes(bytes(locked))
+    (tmp_path / "bomb.zip").write_bytes(bomb)
+    (tmp_path / "holds.tar").write_bytes(tarred("w", {"x.txt": b"x", "bad.zip": good[:60]}))
+    (tmp_path / "plain.txt").write_bytes(b"plain words")
+    (tmp_path / "conversations.json").write_bytes(b'[{"mapping": {}}, {"mapping"')
+    (tmp_path / "s.jsonl").write_bytes(b'{"type": "user", "uuid": "1", "sessionId": "s1", "message": {"content": "hello"}}\n{"x": "\xff"}\n')
+    monkeypatch.setattr(files, "MAX_BYTES", 1_000_000)
+    found = files.scan_all(spark, str(tmp_path)).collect()
+    issues = {r.member.rsplit("/", 1)[-1]: r.issue for r in found if r.issue}
+    assert issues.pop("locked.zip") == files.LOCKED and issues.pop("bomb.zip") == files.TOO_MUCH
+    assert set(issues) == {"broken.zip", "torn.zip", "bad.zip"} and all(i.startswith(files.UNREADABLE) for i in issues.values())
+    assert {r.member.rsplit("/", 1)[-1] for r in found if not r.issue} == {"a.txt", "deep.txt", "x.txt", "plain.txt", "conversations.json", "s.jsonl"}
+    got = intake.read_intake(spark, str(tmp_path))
+    assert {"inside", "deep", "x", "plain words", "hello"} <= {r.text for r in got.messages.collect()}
+    assert {r.relative: r.reason for r in got.skipped.collect()}["locked.zip"] == files.LOCKED
+    assert ("s.jsonl:2", "not valid UTF-8") in {(r.label, r.reason) for r in got.issues.collect()}
+
+
+def test_bad_json_is_an_issue(spark):
+    rows = [("a", b'\xef\xbb\xbf[1, {"k": "\xc3\xa9"}]'), ("b", b"[1,"), ("c", b'{"k": 1}'), ("d", b'["\xff"]'), ("e", b"")]
+    got = files.json_rows(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert [(r.path, r["index"], r.record) for r in got if not r.issue] == [("a", 0, "1"), ("a", 1, '{"k": "é"}')]
+    assert {r.path: r.issue for r in got if r.issue} == {"b": "not valid JSON", "c": "should hold a list", "d": "not valid JSON", "e": "not valid JSON"}

@@ -95,3 +95,36 @@ def test_chunks_of_messages(spark):
     assert {r.id for r in got} == {"m1", "m4"} and len([r for r in got if r.id == "m4"]) == 4
     again = chunking.chunks(spark.createDataFrame(rows, "id string, role string, text string")).collect()
     assert sorted(r.chunk_id for r in got) == sorted(r.chunk_id for r in again)
+
+
+def packed_brute(units, most, overlap):
+    """Stepping over prose units one by one."""
+    done, now = [], []
+    for u in units:
+        if now and len("\n\n".join([*now, u])) > most:
+            done.append(now)
+            now = [now[-1]] if len(now[-1]) <= overlap and len(now[-1]) + 2 + len(u) <= most else []
+        now = [*now, u]
+    return ["\n\n".join(c) for c in [*done, now] if c]
+
+
+def test_packing_equals_stepping():
+    rng = random.Random(6)
+    for _ in range(3000):
+        units = ["u" * rng.choice((1, 2, 3, 8, 19, 20)) for _ in range(rng.randint(1, 30))]
+        for overlap in (0, 3, 9):
+            assert chunking.pack(units, [False] * len(units), 20, overlap) == packed_brute(units, 20, overlap)
+
+
+def test_fences_pair_with_the_next_of_their_kind():
+    units = chunking.markdown_units
+    assert units("a\n```\nb\n\nc\n```\nd") == (["a", "```\nb\n\nc\n```", "d"], [False, True, False])
+    assert units("~~~\nx\n```\ny\n```") == (["~~~\nx", "```\ny\n```"], [False, True])
+    assert units("```\nx\n~~~\n\ny") == (["```\nx\n~~~", "y"], [False, False])
+
+
+def test_a_text_of_many_units_is_linear():
+    for glue in ("\n\n", ". "):
+        text = glue.join(f"unit {k} of a text" for k in range(200_000))
+        got = chunking.chunk_text([("text", text)])
+        assert max(map(len, got)) <= 1600 and len(got) > 2000

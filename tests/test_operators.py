@@ -353,3 +353,30 @@ def test_components_of_shapes_take_few_rounds(spark, monkeypatch, shape, in_task
 def test_local_roots_of_a_long_path():
     i = np.arange(99_999)
     assert (graph.local_roots(100_000, i, i + 1) == 0).all() and (graph.local_roots(100_000, i[::-1] + 1, i[::-1]) == 0).all()
+
+
+def window_brute(sizes, at, budget):
+    low = high = at
+    used, open_, side = sizes[at], {1, -1}, 1
+    while open_:
+        if side in open_:
+            k = high + 1 if side == 1 else low - 1
+            if not 0 <= k < len(sizes) or used + sizes[k] > budget:
+                open_.discard(side)
+            else:
+                used, low, high = used + sizes[k], min(low, k), max(high, k)
+        side = -side
+    return list(range(low, high + 1))
+
+
+def test_message_windows_equal_brute_force(spark):
+    rng = random.Random(8)
+    sizes = {f"c{c}": [rng.choice((0, 1, 5, 9, 30)) for _ in range(rng.randint(1, 25))] for c in range(120)}
+    at = {c: rng.randrange(len(s)) for c, s in sizes.items()}
+    rows = spark.createDataFrame([(c, 3 * k, "user", "x" * n if n else None) for c, s in sizes.items() for k, n in enumerate(s)], "conversation_id string, position long, role string, text string")
+    centers = spark.createDataFrame([(c, 3 * k) for c, k in at.items()] + [("none", 1), ("c1", 1000)][:1], "conversation_id string, position long")
+    for budget in (0, 20, 60):
+        got = defaultdict(list)
+        for r in knowledge.message_window(rows, centers, budget).collect():
+            got[r.conversation_id].append(r.position // 3)
+        assert {c: sorted(p) for c, p in got.items()} == {c: window_brute(s, at[c], budget) for c, s in sizes.items()}
