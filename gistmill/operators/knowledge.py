@@ -17,8 +17,11 @@ from pyspark.sql.types import DoubleType
 
 from gistmill.functions import ids
 from gistmill.functions import text as X
+from gistmill.session import durable
 
 SOURCES_KEPT, SIMILAR, START_CHARS = 20, 0.85, 4
+#: Names of one key that one task compares with one another.
+TILE = 2000
 
 
 def mode_first_seen(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -232,17 +235,50 @@ def duplicate_blocks(keys: DataFrame) -> DataFrame:
     return pairs.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def letters(key: Column) -> Column:
+    """A name's letters as a set: each with how often it has come before."""
+    held = F.array_sort(F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0)))
+    return F.transform(held, lambda c, i: F.concat(c, (i + 1 - F.array_position(held, c)).cast("string")))
+
+
+def spelling_bounds(keys: DataFrame) -> DataFrame:
+    """(a, b): pairs of the same first letters that share enough letters for the spelling ratio, which no order of the
+    letters can exceed. An exact set join: in the order of all names' letters, rarest first, a pair that shares at least
+    `need` letters shares two of the first (length - need + 2) of each name. So a name is met under pairs of its rarest
+    letters instead of with its whole block, and a key of very many names is cut into tiles of TILE names."""
+    rows = keys.select("key").distinct().where(F.length("key") >= START_CHARS)
+    each = durable(rows.select("key", F.explode(letters(F.col("key"))).alias("t")))
+    common = each.groupBy("t").agg(F.count("*").alias("n"))
+    named = each.join(common, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "t")))["t"].alias("ts"))
+    size = F.size("ts")
+    need = F.ceil(SIMILAR * size / (2 - SIMILAR) - 1e-9)
+    named = durable(named.withColumn("first", F.slice("ts", 1, F.least(size, (size - need + 2).cast("int")))))
+    some = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    met = named.select("key", "ts", F.substring("key", 1, START_CHARS).alias("start"), F.explode(some).alias("p")).select("key", "ts", F.xxhash64("start", "p.x", "p.y").alias("h"))
+    # of a name, a key is met once
+    met = durable(met.dropDuplicates(["key", "h"]))
+    tiles = met.groupBy("h").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = met.join(tiles, "h").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    a = met.select("h", "tile", F.col("key").alias("a"), F.col("ts").alias("ta"))
+    b = met.select("h", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("key").alias("b"), F.col("ts").alias("tb"))
+    la, lb = F.size("ta"), F.size("tb")
+    same = F.substring("a", 1, START_CHARS) == F.substring("b", 1, START_CHARS)
+    near = a.join(b, ["h", "tile"]).where((F.col("a") < F.col("b")) & same & (2 * F.least(la, lb) >= SIMILAR * (la + lb)))
+    return near.where(2 * F.size(F.array_intersect("ta", "tb")) >= SIMILAR * (la + lb)).select("a", "b").distinct()
+
+
+def continued(keys: DataFrame) -> DataFrame:
+    """(a, b): names and longer ones that begin with them: the longer one offers all its beginnings."""
+    rows = keys.select("key").distinct().where(F.length("key") >= START_CHARS)
+    heads = F.transform(F.sequence(F.lit(START_CHARS), F.length("key") - 1), lambda n: F.substring("key", F.lit(1), n))
+    return rows.where(F.length("key") > START_CHARS).select(F.explode(heads).alias("a"), F.col("key").alias("b")).join(rows.withColumnRenamed("key", "a"), "a", "left_semi")
+
+
 def duplicate_candidates(keys: DataFrame) -> DataFrame:
-    """(a, b): pairs of entity keys that might name one thing. Spelling is compared inside blocks of the same first
-    letters; the length bound that the ratio implies is checked before it."""
-    rows = keys.select("key").distinct().where(F.length("key") >= START_CHARS).withColumn("start", F.substring("key", 1, START_CHARS))
-    a, b = rows.select("start", F.col("key").alias("a")), rows.select("start", F.col("key").alias("b"))
-    met = a.join(b, "start").where("a < b")
-    la, lb = F.length("a"), F.length("b")
-    prefix = F.col("b").startswith(F.col("a"))
-    possible = 2 * F.least(la, lb) >= SIMILAR * (la + lb)
-    close = met.where(prefix).select("a", "b").unionByName(met.where(~prefix & possible).where(spelled_alike("a", "b") >= SIMILAR).select("a", "b"))
-    return close.unionByName(duplicate_blocks(keys)).distinct()
+    """(a, b): pairs of entity keys that might name one thing. Spelling is compared by the matcher only where the shared
+    letters allow it."""
+    close = durable(spelling_bounds(keys)).where(spelled_alike("a", "b") >= SIMILAR)
+    return continued(keys).unionByName(close).unionByName(duplicate_blocks(keys)).distinct()
 
 
 def same_as_edges(verdicts: DataFrame) -> DataFrame:

@@ -590,6 +590,13 @@ def duplicate_blocks(spark, sf_dir):
     return knowledge.duplicate_blocks(_part_keys(spark, sf_dir))
 
 
+@query(f"""WITH k AS (SELECT DISTINCT key, length(key) AS l, substr(key, 1, 4) AS s FROM (SELECT {KEY.format('name')} AS key FROM {MENTIONS}) WHERE length(key) >= 4),
+c AS (SELECT key, l, s, c, count(*) AS n FROM (SELECT key, l, s, unnest(string_split(key, '')) AS c FROM k) GROUP BY ALL)
+SELECT a.key AS a, b.key AS b FROM c a JOIN c b ON a.s = b.s AND a.c = b.c AND a.key < b.key GROUP BY a.key, b.key, a.l, b.l HAVING 2 * sum(least(a.n, b.n)) >= 0.85 * (a.l + b.l)""")
+def duplicate_bounds(spark, sf_dir):
+    return knowledge.spelling_bounds(mention_items(spark, sf_dir).select(X.entity_key(F.col("name")).alias("key")))
+
+
 @query()
 def duplicate_candidates(spark, sf_dir):
     return knowledge.duplicate_candidates(_part_keys(spark, sf_dir))

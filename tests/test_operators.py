@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -202,6 +203,25 @@ def test_duplicate_candidates(spark):
     assert not {("database", "postgre database"), ("claude code", "react")} & got
 
 
+@pytest.mark.parametrize("tile", (3, 2000))
+def test_spelling_join_equals_all_pairs(spark, monkeypatch, tile):
+    """Names of one block, compared pair by pair in plain Python."""
+    monkeypatch.setattr(knowledge, "TILE", tile)
+    rng = random.Random(tile)
+    names = {"proj" + "".join(rng.choices("abcdeé ", [9, 7, 5, 3, 2, 1, 1], k=rng.randint(0, 14))).strip() for _ in range(160)} | {"abc", "", "post", "postgres", "postgras", "𝒳𝒳𝒳𝒳ab", "𝒳𝒳𝒳𝒳ba"}
+    for name in sorted(names)[:60]:
+        at = rng.randrange(4, len(name) + 1) if len(name) >= 4 else 0
+        names.add(name[:at] + rng.choice("abz") + name[at + rng.randint(0, 1) :])
+    frame = spark.createDataFrame([(n,) for n in names], "key string")
+    long = sorted(n for n in names if len(n) >= 4)
+    pairs = [(a, b) for k, a in enumerate(long) for b in long[k + 1 :] if a[:4] == b[:4]]
+    bound = {(a, b) for a, b in pairs if 2 * sum((Counter(a) & Counter(b)).values()) >= 0.85 * (len(a) + len(b))}
+    assert {(r.a, r.b) for r in knowledge.spelling_bounds(frame).collect()} == bound
+    want = {(a, b) for a, b in pairs if b.startswith(a) or SequenceMatcher(None, a, b).ratio() >= 0.85}
+    got = {(r.a, r.b) for r in knowledge.duplicate_candidates(frame).collect()}
+    assert want <= got and got - want <= {(r.a, r.b) for r in knowledge.duplicate_blocks(frame).collect()}
+
+
 def test_full_text(spark):
     docs = spark.createDataFrame([(1, "Postgres indexing", "how do I index customer_id"), (2, "Trip", "a trip to Lisbon, café"), (3, "x", "id customer"), (4, None, None)], "doc_id long, title string, text string")
     weights = {"title": 2.0, "text": 1.0}
