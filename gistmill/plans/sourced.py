@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.plans.adapt import table
 from gistmill.plans.queries import query
+from gistmill.session import shared_dir
 from gistmill.sources import agents, chats, documents, files
 
 
@@ -22,6 +25,30 @@ def _named(*parts: Column | str) -> Column:
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 
+# files (S2, S3, S31)
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars, source FROM documents")
+def json_array_in_splits(spark, sf_dir):
+    """All documents written as JSON arrays of one line, and read again split by split."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text", "source")).alias("r"))
+    folder = f"{shared_dir(spark).rstrip('/')}/arrays_{uuid.uuid4().hex}"
+    arrays = rows.groupBy((F.xxhash64("doc_id") % 64).alias("h")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ", "), F.lit("]")).alias("value"))
+    arrays.select("value", F.monotonically_increasing_id().alias("file")).write.partitionBy("file").text(folder)
+    record = F.from_json("record", "doc_id long, text string, source string")
+    return files.json_records(spark, folder)[0].select(record.alias("r")).select("r.doc_id", F.length("r.text").cast("long").alias("chars"), "r.source")
+
+
+@query("SELECT CASE p_partkey % 3 WHEN 0 THEN p_partkey || '.zip' WHEN 1 THEN p_partkey || '.txt' ELSE p_partkey || '.tar' END AS member, p_partkey % 3 = 0 AS left_out, CASE WHEN p_partkey % 3 <> 0 THEN length(p_name)::INT END AS n_bytes FROM part")
+def broken_archives(spark, sf_dir):
+    """Zips without a directory beside files that can be read."""
+    p, kind = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    name = F.concat(F.col("p_partkey").cast("string"), F.when(kind == 0, ".zip").when(kind == 1, ".txt").otherwise(".tar"))
+    content = F.concat(F.when(kind == 0, F.unhex(F.lit("504B0304"))).otherwise(F.unhex(F.lit(""))), F.col("p_name").cast("binary"))
+    found = files.opened(p.select(name.alias("path"), content.alias("content")))
+    return found.select("member", F.col("issue").isNotNull().alias("left_out"), F.octet_length("content").alias("n_bytes"))
+
+
 # documents (S15-S29)
 
 

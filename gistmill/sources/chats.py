@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import ids, markup
 from gistmill.functions.text import clip
 from gistmill.operators.graph import nearest_kept
+from gistmill.session import durable
 from gistmill.sources import files
 
 PART = "struct<type:string,text:string,language:string>"
@@ -96,9 +98,21 @@ def chatgpt_parts(content: Column) -> Column:
     )
 
 
+def _records(spark: SparkSession, path: str, name: str, nearest: bool, read: Callable[[DataFrame], Imported]) -> Imported:
+    """An export below a path or in archives there; a path that names a JSON file itself is read in splits."""
+    if path.lower().endswith(".json"):
+        items, bad = files.json_records(spark, path)
+    else:
+        found = files.scan(spark, path, name)
+        rows = durable(files.json_rows(files.nearest(found) if nearest else found))
+        items, bad = rows.where("issue is null").drop("issue"), rows.where("issue is not null").select(F.element_at(F.split("path", "/"), -1).alias("label"), F.col("issue").alias("reason"))
+    got = read(items)
+    return replace(got, issues=got.issues.unionByName(bad))
+
+
 def chatgpt(spark: SparkSession, path: str) -> Imported:
     """Conversations of a `conversations.json` whose messages hang in a mapping."""
-    return chatgpt_records(files.json_items(files.nearest(files.scan(spark, path, "conversations.json"))))
+    return _records(spark, path, "conversations.json", True, chatgpt_records)
 
 
 def chatgpt_records(items: DataFrame) -> Imported:
@@ -155,7 +169,7 @@ def claude_parts(m: Column) -> Column:
 
 def claude(spark: SparkSession, path: str) -> Imported:
     """Conversations of a `conversations.json` of chat_messages, with branches or without."""
-    return claude_records(files.json_items(files.nearest(files.scan(spark, path, "conversations.json"))))
+    return _records(spark, path, "conversations.json", True, claude_records)
 
 
 def claude_records(items: DataFrame) -> Imported:
@@ -196,7 +210,7 @@ GEMINI = "struct<header:string,title:string,time:string,products:array<string>,s
 
 def gemini(spark: SparkSession, path: str, gap_minutes: int = 30) -> Imported:
     """Activity entries to conversations by gaps between prompts: a gap of more than the limit opens a new one."""
-    return gemini_records(files.json_items(files.scan(spark, path, "MyActivity.json")), gap_minutes)
+    return _records(spark, path, "MyActivity.json", False, lambda items: gemini_records(items, gap_minutes))
 
 
 def gemini_records(items: DataFrame, gap_minutes: int = 30) -> Imported:

@@ -14,8 +14,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gistmill.session import durable
+
 ROW = "path string, member string, depth int, content binary, issue string"
 ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("depth", pa.int32()), ("content", pa.binary()), ("issue", pa.string())])
 #: Limits of an unpacked archive: nesting, bytes and files.
@@ -122,6 +125,11 @@ def scan_all(spark: SparkSession, path: str, name: str | None = None) -> DataFra
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if name:
         files = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).isin(name.lower()) | F.lower("path").rlike(r"\.(zip|tar|tgz|tbz2|txz|gz|tar\.bz2|tar\.xz)$"))
+    return opened(files, name)
+
+
+def opened(files: DataFrame, name: str | None = None) -> DataFrame:
+    """The same of files (path, content) in hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +179,53 @@ def json_items(files: DataFrame) -> DataFrame:
     return json_rows(files).where("issue is null").drop("issue")
 
 
+def json_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((path, index, record), issues) of files that hold one JSON array each, of any size: a file is read in splits.
+
+    Spark's text reader cuts a file at commas, split by split. Whether a comma ends a record depends on all before it: on
+    being inside a string, and on the depth of brackets. Of each piece the quotes' parity and the brackets outside of
+    strings are counted for both states in which it may begin; sums over a split, then over a file's splits, then back
+    inside the split say which state holds. So no task reads more than a split, and a record that lies across splits is
+    put together by its number. Backslashes stand inside strings alone, so an escaped quote is known without the state.
+    """
+    raw = spark.read.option("lineSep", ",").option("recursiveFileLookup", "true").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+
+    def brackets(odd: int) -> Column:
+        """Opened less closed ones in every other part."""
+        text = F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+        return (F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))).cast("long")
+
+    rows = durable(rows.withColumn("quotes", F.size(parts).cast("long") - 1).withColumn("even", brackets(0)).withColumn("odd", brackets(1)))
+    here, before = W.partitionBy("path", "block").orderBy("at"), W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = here.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("q", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    # what a piece adds to the depth if its split begins outside a string, and if inside one
+    rows = rows.withColumn("d0", F.when(F.col("q") == 0, F.col("even")).otherwise(F.col("odd"))).withColumn("d1", F.when(F.col("q") == 0, F.col("odd")).otherwise(F.col("even")))
+    blocks = rows.groupBy("path", "block").agg((F.sum("quotes") % 2).alias("quotes"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    blocks = blocks.select("path", "block", "inside", F.coalesce(F.sum(F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1"))).over(before), F.lit(0)).alias("deep"))
+    rows = rows.join(blocks, ["path", "block"])
+    deep = F.col("deep") + F.sum(F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1"))).over(here.rowsBetween(W.unboundedPreceding, 0))
+    rows = durable(rows.withColumn("ends", (((F.col("inside") + F.col("q") + F.col("quotes")) % 2 == 0) & (deep <= 1)).cast("long")).select("path", "block", "at", "value", "ends"))
+    whole = rows.groupBy("path", "block").agg(F.sum("ends").alias("n"))
+    whole = whole.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = rows.join(whole, ["path", "block"]).withColumn("index", F.col("first") + F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
+    made = rows.groupBy("path", "index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), ",").alias("text"), F.every(F.is_valid_utf8("value")).alias("coded"))
+    ends = made.groupBy("path").agg(F.max("index").alias("last"), F.min_by("text", "index").alias("head"), F.max_by("text", "index").alias("tail"))
+    ends = ends.select("path", "last", F.regexp_like("head", F.lit(r"^\ufeff?\s*\[")).alias("opens"), F.regexp_like("tail", F.lit(r"\]\s*$")).alias("closes"))
+    made = made.join(ends, "path")
+    text = F.when(F.col("index") == 0, F.regexp_replace("text", r"^\ufeff?\s*\[", "")).otherwise(F.col("text"))
+    text = F.when((F.col("index") == F.col("last")) & F.col("closes"), F.regexp_replace(text, r"\]\s*$", "")).otherwise(text)
+    made = durable(made.withColumn("record", F.regexp_replace(text, r"^\s+|\s+$", "")))
+    empty = (F.col("last") == 0) & (F.col("record") == "")
+    why = F.when(~F.col("opens"), "should hold a list").when(~F.col("coded"), "not valid UTF-8").when(~F.col("closes") & (F.col("index") == F.col("last")), "not valid JSON").when(F.try_parse_json("record").isNull(), "not valid JSON")
+    made = made.where(~(empty & F.col("opens") & F.col("closes"))).withColumn("why", why)
+    label = F.concat(F.element_at(F.split("path", "/"), -1), F.when(F.col("opens"), F.concat(F.lit("#"), F.col("index").cast("string"))).otherwise(F.lit("")))
+    return made.where("why is null").select("path", "index", "record"), made.where("why is not null").select(label.alias("label"), F.col("why").alias("reason")).distinct()
+
+
 def json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((path, line, record), issues) of JSON Lines files at any depth; a bad line is reported by its number."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)

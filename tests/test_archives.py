@@ -2,9 +2,13 @@
 
 import gzip
 import io
+import json
+import random
 import tarfile
 import zipfile
 
+import pytest
+
 from gistmill.sources import files, intake
 
 
@@ -74,3 +78,34 @@ def test_bad_json_is_an_issue(spark):
     got = files.json_rows(spark.createDataFrame(rows, "path string, content binary")).collect()
     assert [(r.path, r["index"], r.record) for r in got if not r.issue] == [("a", 0, "1"), ("a", 1, '{"k": "é"}')]
     assert {r.path: r.issue for r in got if r.issue} == {"b": "not valid JSON", "c": "should hold a list", "d": "not valid JSON", "e": "not valid JSON"}
+
+
+@pytest.mark.parametrize("split", (64, 1000, 1 << 20))
+def test_json_arrays_are_read_in_splits(spark, tmp_path, split):
+    """The same records wherever the splits lie: strings with commas, brackets, quotes and backslashes, deep records."""
+    rng = random.Random(split)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth < 4 else 3)
+        if kind < 2:
+            return "".join(rng.choices([",", "[", "]", "{", "}", '"', "\\", '\\"', "é", "日", " ", "a", "\n"], k=rng.randint(0, 12)))
+        if kind == 2:
+            return rng.choice([None, True, 1.5, -3, ""])
+        return [value(depth + 1) for _ in range(rng.randint(0, 4))] if kind < 5 else {f"k{k},": value(depth + 1) for k in range(rng.randint(0, 3))}
+
+    want = {}
+    for name in ("a", "b", "none"):
+        items = [] if name == "none" else [value(0) for _ in range(60)]
+        (tmp_path / f"{name}.json").write_text(("\ufeff" if name == "b" else "") + json.dumps(items, ensure_ascii=name == "a", indent=2 if name == "b" else None) + "\n", encoding="utf-8")
+        want |= {(f"{name}.json", k): x for k, x in enumerate(items)}
+    (tmp_path / "c.json").write_bytes(b'[{"a": 1}, {"b": "\xff"}, {"c": tru}, {"d": [1, 2')
+    (tmp_path / "d.json").write_text('{"k": [1, 2]}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        records, issues = files.json_records(spark, str(tmp_path))
+        got = {(r.path.rsplit("/", 1)[-1], r["index"]): json.loads(r.record) for r in records.collect()}
+        told = {(r.label, r.reason) for r in issues.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want | {("c.json", 0): {"a": 1}}
+    assert told == {("c.json#1", "not valid UTF-8"), ("c.json#2", "not valid JSON"), ("c.json#3", "not valid JSON"), ("d.json", "should hold a list")}
