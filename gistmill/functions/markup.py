@@ -97,3 +97,14 @@ def labelled(cells: Column) -> Column:
     names = F.get(rows, F.lit(0))
     filled = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.array_join(F.zip_with(names, r, lambda n, c: F.when(c != "", F.concat(n, F.lit(": "), c))), " | "))
     return F.when(F.size(rows) < 1, "").when(F.size(rows) < 2, F.array_join(names, " | ")).otherwise(F.array_join(filled, "\n"))
+
+
+def sheet_text(cells: Column, name: Column) -> Column:
+    """A sheet's name over its rows as labelled() has them, but a cell of a column without a name stands alone; nothing
+    for a sheet without cells."""
+    full = lambda c: F.coalesce(c != "", F.lit(False))
+    rows = F.filter(cells, lambda r: F.exists(r, full))
+    heads = F.get(rows, F.lit(0))
+    shown = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.array_join(F.zip_with(heads, r, lambda n, c: F.when(n.isNotNull() & full(c), F.when(n == "", c).otherwise(F.concat(n, F.lit(": "), c)))), " | "))
+    body = F.when(F.size(rows) < 2, F.array_join(F.filter(heads, full), " | ")).otherwise(F.array_join(shown, "\n"))
+    return F.when(F.size(rows) < 1, "").otherwise(F.concat(F.when(name != "", F.concat(name, F.lit("\n"))).otherwise(""), body))

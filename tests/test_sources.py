@@ -103,7 +103,7 @@ def zipped(**members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, text in members.items():
-            z.writestr(name.replace("__", "/").replace("_", "."), text)
+            z.writestr(name.replace("__", "/").replace("_", ".").replace("RELS", "_rels"), text)
     return out.getvalue()
 
 
@@ -132,7 +132,7 @@ def test_documents(spark):
     assert text["p.html"] == "one\ntwo three x\n<y>\ns" and text["q.htm"] == "no title"
     assert [text[x] for x in ("x.log", "y.log", "z.log", "bom.log")] == ["caf\xe9", "hi", "\x81\xe9", "x"]
     assert text["r.rtf"] == "Bold\nnext" and text["d.xml"] == "x y\nz" and text["n/a.md"] == "# H\nbody [[x]]"
-    assert text["a.docx"] == "Hello you" and text["a.pptx"] == "Slide 2\ntwo\n\nSlide 10\nten" and text["a.xlsx"] == "name: Maya | n: 7\n\nonly" and text["a.epub"] == "first\n\nchapter"
+    assert text["a.docx"] == "Hello you" and text["a.pptx"] == "Slide 1\ntwo\n\nSlide 2\nten" and text["a.xlsx"] == "name: Maya | n: 7\n\nonly" and text["a.epub"] == "first\n\nchapter"
     title = {r.relative: r.title for r in rows}
     assert [title[x] for x in ("p.html", "q.htm", "n/a.md", "b.md", "a.docx", "a.epub", "a.csv", "m.eml")] == ["A & b", "q", "T", "Head", "Doc", "Book", "a", "S"]
     first = next(r for r in rows if r.relative == "m.eml")
@@ -176,3 +176,30 @@ def test_archive_round_trip(spark, tmp_path):
     assert set(out) == {"2026-01-01 A- b.md", "2026-01-01 A- b w.md"} and out["2026-01-01 A- b.md"].endswith("# A: b\n\n## You\n\nhi\n\n## Assistant\n\nyo\n")
     kept = archive.merge_cache(spark.createDataFrame([("k", 1)], "k string, v int"), spark.createDataFrame([("k", 2), ("j", 3)], "k string, v int"), ["k"])
     assert {tuple(r) for r in kept.collect()} == {("k", 1), ("j", 3)}
+
+
+def test_office_files(spark):
+    rel = 'xmlns:r="http://r"'
+    book = dict(  # the folder _rels has its name from a mark that zipped() would change
+        xl__workbook_xml=f'<w {rel}><sheets><sheet name="Second" r:id="b"/><sheet name="First" r:id="a"/><sheet name="Empty" r:id="c"/><sheet name="Chart" r:id="d"/></sheets></w>',
+        xl__RELS__workbook_xml_rels='<r><R Id="a" Target="worksheets/one.xml"/><R Id="b" Target="/xl/worksheets/two.xml"/><R Id="c" Target="worksheets/three.xml"/><R Id="d" Target="charts/x.xml"/></r>',
+        xl__worksheets__one_xml='<w><row><c r="A1" t="inlineStr"><is><t>name</t></is></c><c r="B1"><v> </v></c></row><row><c r="A2" t="inlineStr"><is><t> Maya </t></is></c><c r="B2"><v>7</v></c></row></w>',
+        xl__worksheets__two_xml='<w><row><c r="A1"><v>only</v></c><c r="C1"><v>row</v></c></row></w>',
+        xl__worksheets__three_xml="<w><row/></w>",
+    )
+    odt = '<d xmlns:t="t"><t:h>Head</t:h><t:p>one  two</t:p><t:table><t:table-row><t:table-cell><t:p>a</t:p></t:table-cell><t:table-cell><t:p>b</t:p></t:table-cell><t:table-cell/></t:table-row></t:table><t:p>one  two</t:p></d>'
+    given = {
+        "b.xlsx": zipped(**book),
+        "o.odt": zipped(content_xml=odt, meta_xml='<m xmlns:d="d"><d:title> The title </d:title></m>'),
+        "d.docx": zipped(word__document_xml='<w:d xmlns:w="w"><w:p><w:r><w:t>a</w:t><w:tab/><w:t> b   c </w:t></w:r></w:p></w:d>'),
+        "s.pptx": zipped(ppt__slides__slide3_xml='<a xmlns:a="a"><a:p/></a>', ppt__slides__slide12_xml='<a xmlns:a="a"><a:p><a:t>last</a:t></a:p></a>'),
+    }
+    notes, skipped = documents.read_documents(spark.createDataFrame([(n, n, d) for n, d in given.items()], "path string, relative string, content binary"))
+    got = {r.relative: (r.title, r.text) for r in notes.collect()}
+    assert got == {
+        "b.xlsx": ("b", "Second\nonly | row\n\nFirst\nname: Maya | 7"),
+        "o.odt": ("The title", "Head\none two\na | b\na\nb"),
+        "d.docx": ("d", "a b c"),
+        "s.pptx": ("s", "Slide 2\nlast"),
+    }
+    assert skipped.count() == 0
