@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as X
 from gistmill.operators.textindex import K1, IDF_FLOOR, B
+from gistmill.operators.versions import Versions
 from gistmill.session import durable
 
 RANGE_BITS = 12
@@ -37,7 +38,7 @@ COLUMN = 1 << COLUMN_BITS
 #: Ranges that are scored before the others are ruled out, and at most so many named in a filter of the scan.
 FIRST, NAMED = 32, 2000
 PARTS = 32
-MANIFEST = "v long, kind string, name string, docs long, tokens long"
+MANIFEST = "kind string, name string, docs long, tokens long"
 BLOCKS = "segment string, part int, term string, range long, offs array<int>, tfs array<double>, lens array<int>, places array<array<long>>, n long, max_tf double, min_len int"
 
 
@@ -65,6 +66,7 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, root: str, weights: dict[str, float] | None = None, parts: int = PARTS) -> None:
         self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
         self.weights = weights or {"text": 1.0}
+        self.versions = Versions(spark, root, MANIFEST)
         self.manifest: list = []
         self.version = 0
 
@@ -72,14 +74,11 @@ class StoredIndex:
 
     def refresh(self) -> StoredIndex:
         """The last whole version."""
-        found = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
-        self.manifest = found.join(F.broadcast(found.agg(F.max("v").alias("v"))), "v").collect()  # a row for each segment
-        self.version = self.manifest[0].v
+        self.version, self.manifest = self.versions.rows()
         return self
 
     def _commit(self, rows: Sequence[tuple[str, str, int, int]]) -> None:
-        v = self.version + 1
-        self.spark.createDataFrame([(v, *r) for r in rows], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self.versions.commit(self.version, rows)
         self.refresh()
 
     def _held(self, kind: str) -> list[str]:

@@ -13,6 +13,7 @@ from gistmill.functions import chunking, ids, markup
 from gistmill.functions import text as X
 from gistmill.functions import vectors as V
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
+from gistmill.operators.snapshots import VersionedStore
 from gistmill.operators.storedindex import StoredIndex
 from gistmill.operators.topics import find_topics
 from gistmill.plans.adapt import edges, mention_items, messages, nodes, relation_items, table
@@ -308,6 +309,35 @@ def tool_text_shortened(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.shorten_tool_text(F.col("text")).alias("shown"))
 
 
+# versions of the store (K1-K6, K18)
+
+
+_KEPT = f"(SELECT id, role FROM {MSG} WHERE role <> 'assistant')"
+
+
+@query(f"""WITH e AS {EDGES}, k AS {_KEPT}, c AS (SELECT DISTINCT {CONV} AS id FROM conversations), after AS (SELECT id FROM k UNION ALL SELECT id FROM c),
+kept AS (SELECT e.* FROM e JOIN after a ON e.src = a.id JOIN after b ON e.dst = b.id)
+SELECT 1::BIGINT AS version, 'Message' AS name, count(*)::BIGINT AS n FROM {MSG} UNION ALL SELECT 1, 'Conversation', count(*) FROM c UNION ALL SELECT 1, type, count(*) FROM e GROUP BY type
+UNION ALL SELECT v, CASE role WHEN 'user' THEN 'Asked' ELSE 'Message' END, count(*) FROM k, (VALUES (2), (3)) AS t(v) GROUP BY 1, 2 UNION ALL SELECT v, 'Conversation', count(*) FROM c, (VALUES (2), (3)) AS t(v) GROUP BY 1 UNION ALL SELECT v, type, count(*) FROM kept, (VALUES (2), (3)) AS t(v) GROUP BY 1, 2""")
+def store_versions(spark, sf_dir):
+    """A reader's version before a change, after it, and after compaction. The change deletes the assistant's messages
+    with their links and relabels the user's; one more change fails and leaves nothing."""
+    base = VersionedStore(spark, f"{shared_dir(spark).rstrip('/')}/store_{uuid.uuid4().hex}", {"nodes": "id string, label string, text string, conversation_id string", "edges": "src string, type string, dst string", "embeddings": "node_id string, vector array<double>"})
+    every, m = nodes(spark, sf_dir), messages(spark, sf_dir)
+    first = base.change().upsert("nodes", every).upsert("edges", edges(spark, sf_dir)).commit()
+    asked = m.where("role = 'user'").select("id", F.lit("Asked").alias("label"), "text", "conversation_id")
+    second = base.change().delete_nodes(m.where("role = 'assistant'").select("id")).upsert("nodes", asked).commit()
+    try:
+        base.change().upsert("nodes", asked.limit(0)).upsert_edges(m.select(F.col("id").alias("src"), F.lit("LOST").alias("type"), F.lit("nowhere").alias("dst"))).commit()
+    except ValueError:
+        pass
+    out = None
+    for at in (first, second, base.compact()):
+        counted = at["nodes"].select(F.col("label").alias("name")).unionByName(at["edges"].select(F.col("type").alias("name"))).groupBy("name").agg(F.count("*").alias("n")).withColumn("version", F.lit(at.version).cast("long"))
+        out = counted if out is None else out.unionByName(counted)
+    return out.select("version", "name", "n")
+
+
 # sets and caches (U*, J8, W3, K16)
 
 
