@@ -16,6 +16,7 @@ from gistmill.operators import ask, explore, graph, knowledge, sessions, store,
 from gistmill.operators.snapshots import VersionedStore
 from gistmill.operators.storedindex import StoredIndex
 from gistmill.operators.topics import find_topics
+from gistmill.operators.vectorindex import VectorIndex
 from gistmill.plans.adapt import edges, mention_items, messages, nodes, relation_items, table
 from gistmill.session import durable, shared_dir
 
@@ -181,6 +182,15 @@ def knn_exact_l2(spark, sf_dir):
     return _hits(vectorsearch.nearest(e, _query_vector(e), limit=40), 20)
 
 
+@query(ORACLES["knn_exact_l2"])
+def knn_stored_cells(spark, sf_dir):
+    """The same from cells kept in files."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = _query_vector(e)
+    index = VectorIndex(spark, f"{shared_dir(spark).rstrip('/')}/vectors_{uuid.uuid4().hex}").build(e, len(q))
+    return _hits(index.nearest(q, 40), 20)
+
+
 @query(f"SELECT vec_id, {_DIST} AS distance FROM embeddings, {_Q} WHERE label = 3 ORDER BY 2, 1 LIMIT 10")
 def knn_by_label(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
