@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from gistmill.functions import ids
 from gistmill.functions import text as X
 from gistmill.operators import vectorsearch as V
+from gistmill.operators.ranks import numbered
 
 MAX_SOURCES, MAX_ENTITIES, MAX_TOPICS, MAX_FACTS, CHUNKS_PER_ENTITY, NEAR_CANDIDATES, NAME_WORDS, RRF_K = 8, 6, 2, 8, 3, 25, 4, 60
 QUESTION_WORD = r"(?U)[\w][\w.+#'-]*"
@@ -39,7 +40,7 @@ def mentioned_entities(spark: SparkSession, question: str, entities: DataFrame)
 def interleave(rows: DataFrame, group: str, turn: str, key: str, most_turns: int) -> DataFrame:
     """(key, rank): groups take turns (turn 1 of each group in group order, then turn 2 ...); a key counts where it is first."""
     first = rows.where(F.col(turn) <= most_turns).groupBy(key).agg(F.min(F.struct(turn, group)).alias("_o"))
-    return first.select(key, F.row_number().over(W.orderBy("_o", key)).alias("rank"))
+    return numbered(first, ["_o", key]).select(key, "rank")
 
 
 def chunks_of(named: DataFrame, mentions: DataFrame, chunks: DataFrame, nearness: DataFrame | None) -> DataFrame:
@@ -93,10 +94,11 @@ def fold_hybrid(words: DataFrame, meaning: DataFrame, entity: DataFrame | None =
     return fused.select("message_id", "score", F.col("in_0").alias("by_words"), F.col("in_1").alias("by_meaning"), (F.col("in_2") if entity is not None else F.lit(False)).alias("by_entity"))
 
 
-def best_per_message(hits: DataFrame, distance: str = "distance", limit: int = 1000) -> DataFrame:
-    """(message_id, rank): the first messages by their nearest chunk; the limit is taken before they are ranked in one task."""
-    best = hits.groupBy("message_id").agg(F.min(F.struct(distance, "chunk_id")).alias("_b")).orderBy("_b", "message_id").limit(limit)
-    return best.select("message_id", F.row_number().over(W.orderBy("_b", "message_id")).alias("rank"))
+def best_per_message(hits: DataFrame, distance: str = "distance", limit: int | None = None) -> DataFrame:
+    """(message_id, rank): messages by their nearest chunk, all of them or the first ones."""
+    best = hits.groupBy("message_id").agg(F.min(F.struct(distance, "chunk_id")).alias("_b"))
+    best = best.orderBy("_b", "message_id").limit(limit) if limit else best
+    return numbered(best, ["_b", "message_id"]).select("message_id", "rank")
 
 
 def entity_leg(found: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gistmill.operators.ranks import numbered
+
 ENTITIES, CONVERSATIONS, CANDIDATES, SHARED_CAP = 40, 16, 150, 3
 
 
@@ -35,13 +37,13 @@ def candidates(entities: DataFrame, related: DataFrame, counts: DataFrame, in_to
         far = related.where((F.col("src") == entity) | (F.col("dst") == entity)).select(F.when(F.col("src") == entity, F.col("dst")).otherwise(F.col("src")).alias("entity_id"), "weight", "src", "dst")
         best = far.groupBy("entity_id").agg(F.min(F.struct(-F.col("weight"), F.col("dst"), F.col("src"))).alias("o"))
         me = entities.where(F.col("id") == entity).select(F.col("id").alias("entity_id"), F.lit(0).cast("long").alias("place"))
-        return me.unionByName(best.where(F.col("entity_id") != entity).select("entity_id", F.row_number().over(W.orderBy("o", "entity_id")).cast("long").alias("place")))
+        return me.unionByName(numbered(best.where(F.col("entity_id") != entity), ["o", "entity_id"], "place").select("entity_id", "place"))
     if conversation:
         own = counts.where(F.col("conversation_id") == conversation)
-        return own.select("entity_id", F.row_number().over(W.orderBy(F.col("n").desc(), "entity_id")).cast("long").alias("place"))
+        return numbered(own.select("entity_id", "n"), [F.col("n").desc(), "entity_id"], "place").drop("n")
     if topic:
         members = in_topic.where(F.col("dst") == topic).select(F.col("src").alias("id")).join(entities, "id")
-        return members.select(F.col("id").alias("entity_id"), F.row_number().over(W.orderBy(F.col("mentions").desc(), "id")).cast("long").alias("place"))
+        return numbered(members.select(F.col("id").alias("entity_id"), "mentions"), [F.col("mentions").desc(), "entity_id"], "place").drop("mentions")
     top = entities.orderBy(F.col("mentions").desc(), "id").limit(CANDIDATES)
     return top.select(F.col("id").alias("entity_id"), F.row_number().over(W.orderBy(F.col("mentions").desc(), "id")).cast("long").alias("place"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gistmill.operators import ask, explore, graph, knowledge, sessions, store, textindex, vectorsearch
 from gistmill.operators import topics as T
+from gistmill.operators.ranks import numbered
 from gistmill.operators.topics import find_topics
 from gistmill.session import durable
 
@@ -400,3 +401,11 @@ def test_message_windows_equal_brute_force(spark):
         for r in knowledge.message_window(rows, centers, budget).collect():
             got[r.conversation_id].append(r.position // 3)
         assert {c: sorted(p) for c, p in got.items()} == {c: window_brute(s, at[c], budget) for c, s in sizes.items()}
+
+
+def test_rows_are_numbered_over_all_partitions(spark):
+    rows = spark.range(5000).select((F.col("id") % 700).alias("a"), F.col("id").alias("b")).repartition(7)
+    got = [(r.a, r.b, r.place) for r in numbered(rows, [F.col("a").desc(), "b"], "place").collect()]
+    want = sorted(((i % 700, i) for i in range(5000)), key=lambda x: (-x[0], x[1]))
+    assert sorted(got, key=lambda r: r[2]) == [(a, b, k) for k, (a, b) in enumerate(want, 1)]
+    assert numbered(rows.limit(0), ["a", "b"]).count() == 0
