@@ -39,6 +39,7 @@ COLUMN = 1 << COLUMN_BITS
 FIRST, NAMED = 32, 2000
 PARTS = 32
 MANIFEST = "kind string, name string, docs long, tokens long"
+LISTED = ("segment", "range", "offs", "tfs", "lens", "n", "max_tf", "min_len")
 BLOCKS = "segment string, part int, term string, range long, offs array<int>, tfs array<double>, lens array<int>, places array<array<long>>, n long, max_tf double, min_len int"
 
 
@@ -69,12 +70,14 @@ class StoredIndex:
         self.versions = Versions(spark, root, MANIFEST)
         self.manifest: list = []
         self.version = 0
+        self._opened: DataFrame | None = None
 
     # versions
 
     def refresh(self) -> StoredIndex:
         """The last whole version."""
         self.version, self.manifest = self.versions.rows()
+        self._opened = None
         return self
 
     def _commit(self, rows: Sequence[tuple[str, str, int, int]]) -> None:
@@ -90,8 +93,11 @@ class StoredIndex:
     # tables
 
     def blocks(self) -> DataFrame:
-        paths = [f"{self.root}/postings/segment={s}" for s in self._held("segment")]
-        return self.spark.read.schema(BLOCKS).option("basePath", f"{self.root}/postings").parquet(*paths)
+        """All postings of the version; its folders are listed once."""
+        if self._opened is None:
+            paths = [f"{self.root}/postings/segment={s}" for s in self._held("segment")]
+            self._opened = self.spark.read.schema(BLOCKS).option("basePath", f"{self.root}/postings").parquet(*paths)
+        return self._opened
 
     def docs(self) -> DataFrame:
         """(segment, doc, id, length) of all documents, deleted ones too."""
@@ -147,11 +153,21 @@ class StoredIndex:
     def _of(self, terms: Sequence[str]) -> DataFrame:
         return self.blocks().where(F.col("part").isin([_part(F.lit(t), self.parts) for t in terms]) & F.col("term").isin(list(terms)))
 
-    def _word(self, k: int, phrase: list[str]) -> DataFrame:
-        """The blocks of a word, or those of a phrase, made of its terms' places."""
-        columns = ("segment", "range", "offs", "tfs", "lens", "n", "max_tf", "min_len")
-        if len(phrase) == 1:
-            return self._of(phrase).select(F.lit(k).alias("k"), *columns)
+    def _words(self, words: list[list[str]]) -> DataFrame:
+        """The blocks of all words, k their word: single terms from one scan, each phrase by itself."""
+        terms: dict[str, list[int]] = {}
+        for k, phrase in enumerate(words):
+            if len(phrase) == 1:
+                terms.setdefault(phrase[0], []).append(k)
+        made = [self._phrase(k, p) for k, p in enumerate(words) if len(p) > 1]
+        if terms:
+            # a term that is asked for twice counts twice
+            of = F.create_map(*[x for t, ks in terms.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))])
+            made.append(self._of(sorted(terms)).select(F.explode(of[F.col("term")]).alias("k"), *LISTED))
+        return reduce(DataFrame.unionByName, made)
+
+    def _phrase(self, k: int, phrase: list[str]) -> DataFrame:
+        """Blocks of a phrase, made of its terms' places."""
         x = F.explode(F.arrays_zip("offs", "lens", "places")).alias("x")
         rows = self._of(sorted(set(phrase))).select("segment", "range", "term", x).select("segment", "range", "term", "x.*")
         met = rows.groupBy("segment", "range", "offs", "lens").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("places"))
@@ -180,7 +196,7 @@ class StoredIndex:
         if not words or not total:
             return self.docs().limit(0).select("id", F.lit(0.0).alias("score")) if self.manifest else self.spark.createDataFrame([], "id long, score double")
         average = max(sum(r.tokens for r in self.manifest), 1) / total
-        lists = reduce(DataFrame.unionByName, [self._word(k, p) for k, p in enumerate(words)])
+        lists = self._words(words)
         dead = self.dead()
         live = F.col("n")
         counted = lists
