@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,6 +48,19 @@ def decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else html.unescape(t) for t in row])
 
 
+CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def decoded_closed(texts: pd.Series) -> pd.Series:
+    """The same for references that end with a semicolon; others stay, where decoded() reads the old names without one."""
+    return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else CLOSED.sub(_closed, t) for t in row])
+
+
 def tidy(line: Column) -> Column:
     return F.btrim(F.regexp_replace(line, r"(?U)[\s\x1c-\x1f]+", " "))
 
@@ -71,10 +86,10 @@ def page_texts(pages: Column) -> Column:
     return F.transform(decoded(F.transform(pages, lambda p: replaced(p, markup_steps(True)))), tight_lines)
 
 
-def html_page(page: Column | str) -> Column:
-    """struct(title, text) of a page."""
+def html_page(page: Column | str, closed: bool = False) -> Column:
+    """struct(title, text) of a page; closed: decode only character references that end with a semicolon."""
     raw = F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit(""))
-    both = decoded(F.array(title_of(raw), replaced(raw, markup_steps(True))))
+    both = (decoded_closed if closed else decoded)(F.array(title_of(raw), replaced(raw, markup_steps(True))))
     title = tidy(F.element_at(both, 1))
     return F.struct(F.when(title != "", title).alias("title"), tight_lines(F.element_at(both, 2)).alias("text"))
 

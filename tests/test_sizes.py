@@ -1,9 +1,11 @@
-"""Queries on tables that the smallest ones do not have, such as keys of seven digits."""
+"""Queries on tables that the smallest ones do not have: keys of seven digits, references without an end."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gistmill import registry
+from gistmill.functions import markup
 
 
 @pytest.fixture
@@ -24,3 +26,10 @@ def same(spark, tmp_path):
 
 def test_keys_of_seven_digits_are_contracted_as_in_sql(same):
     assert same("graph_contraction", lineitem="select i // 7 as l_orderkey, 999950 + i * 37 % 149 as l_partkey from range(700) t(i)")
+
+
+def test_references_without_an_end_stay_where_asked(spark, same):
+    page = "<title>a &amp b &copy; &amp</title><p>x &amp; &middot; &amp"
+    assert same("html_to_text", pages=f"select 1::BIGINT as page_id, '{page}' as html")
+    got = spark.range(1).select(markup.html_page(F.lit("<p>&#65; &#65 &nosuch; &lt;&lt")).alias("p"), markup.html_page(F.lit("<p>&#65; &#65 &nosuch; &lt;&lt"), closed=True).alias("c")).first()
+    assert got.p.text == "A A &nosuch; <<" and got.c.text == "A &#65 &nosuch; <&lt"
