@@ -1,11 +1,13 @@
 """Queries on tables that the smallest ones do not have: keys of seven digits, references without an end."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gistmill import registry
 from gistmill.functions import markup
+from gistmill.operators.topics import find_topics, topics_small
 
 
 @pytest.fixture
@@ -33,3 +35,24 @@ def test_references_without_an_end_stay_where_asked(spark, same):
     assert same("html_to_text", pages=f"select 1::BIGINT as page_id, '{page}' as html")
     got = spark.range(1).select(markup.html_page(F.lit("<p>&#65; &#65 &nosuch; &lt;&lt")).alias("p"), markup.html_page(F.lit("<p>&#65; &#65 &nosuch; &lt;&lt"), closed=True).alias("c")).first()
     assert got.p.text == "A A &nosuch; <<" and got.c.text == "A &#65 &nosuch; <&lt"
+
+
+def test_parts_of_a_large_graph_are_scopes(spark):
+    """Forty rings of cliques: the parts are settled one by one, and one that stays whole by the weight of all is split by its own."""
+    clique = [(5 * k + i, 5 * k + j) for k in range(12) for i in range(5) for j in range(i)]
+    ring = clique + [(5 * k, (5 * k + 5) % 60) for k in range(12)]
+    links = spark.createDataFrame([(f"p{1000 * c + a}", f"p{1000 * c + b}", 1) for c in range(40) for a, b in ring], "source string, target string, weight long")
+    every = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
+    none = spark.createDataFrame([], "a string, b string")
+    groups = [{tuple(r.members) for r in find_topics(every, links, none, max_size=10, in_task=n).collect()} for n in (10_000_000, 300)]
+    for found in groups:
+        assert sorted(x for m in found for x in m) == sorted(r.id for r in every.collect()) and max(map(len, found)) <= 10
+        assert all(len({int(x[1:]) // 1000 for x in m}) == 1 for m in found)
+    assert groups[0] == groups[1]
+
+
+def test_a_part_that_stays_whole_is_split_by_its_own_weight():
+    a, b = (np.array(x) for x in zip(*[(5 * k + i, 5 * k + j) for k in range(12) for i in range(5) for j in range(5) if i != j], *[(5 * k, 5 * k + 5) for k in range(11)], *[(5 * k + 5, 5 * k) for k in range(11)], strict=True))
+    order = np.lexsort((b, a))
+    found = topics_small(60, a[order], b[order], np.ones(len(a)), 1e6, 10)
+    assert np.unique(found, return_counts=True)[1].max() <= 10
