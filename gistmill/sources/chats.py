@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import ids, markup
 from gistmill.functions.text import clip
 from gistmill.operators.graph import nearest_kept
+from gistmill.operators.sessions import span, stretches
 from gistmill.session import durable
 from gistmill.sources import files
 
@@ -223,18 +224,24 @@ def gemini_records(items: DataFrame, gap_minutes: int = 30) -> Imported:
     label = F.concat(F.lit("activity #"), F.col("index").cast("string"))
     reason = F.when(F.col("time").isNull(), "entry has no usable time").when(F.col("prompt") == "", "prompt is empty")
     issues = turns.where(reason.isNotNull()).select(label.alias("label"), reason.alias("reason"))
-    turns = turns.where(reason.isNull() & F.col("prompt").isNotNull())
-    # an export is one person's activity, so its sessions run over the whole file
-    w = W.partitionBy("path").orderBy("time", "index")
-    opened = (F.coalesce(F.unix_micros("time") - F.unix_micros(F.lag("time").over(w)), F.lit(1 << 60)) > gap_minutes * 60_000_000).cast("int")
-    turns = turns.withColumn("_o", opened).withColumn("session", F.sum("_o").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    s = W.partitionBy("path", "session").orderBy("time", "index")
-    turns = turns.withColumn("first", F.first("time").over(s)).withColumn("stamp", iso("time")).withColumn("external_id", iso("first")).withColumn("conversation_id", ids.conversation_id(F.lit("gemini"), "external_id"))
+    gap, micros = gap_minutes * 60_000_000, F.unix_micros("time")
+    turns = durable(turns.where(reason.isNull() & F.col("prompt").isNotNull()).withColumn("k", span(micros, gap)))
+    # an export is one person's activity, so its sessions run over the whole file; no task has a whole session
+    spans = stretches(turns.groupBy("path", "k").agg(F.min(micros).alias("low"), F.max(micros).alias("high")), ["path"], gap)
+    opens = spans.groupBy("path", "first").agg(F.timestamp_micros(F.min("low")).alias("opened"))
+    turns = turns.join(spans.select("path", "k", "first").join(opens, ["path", "first"]).select("path", "k", F.col("opened").alias("first")), ["path", "k"]).withColumn("stamp", iso("time")).withColumn("external_id", iso("first")).withColumn("conversation_id", ids.conversation_id(F.lit("gemini"), "external_id"))
     both = turns.select("*", F.posexplode(F.when(F.col("response") != "", F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text")), F.struct(F.lit("assistant").alias("role"), F.col("response").alias("text")))).otherwise(F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text"))))).alias("half", "said"))
-    order = W.partitionBy("conversation_id").orderBy("time", "index", "half")
-    rows = both.select("conversation_id", ids.message_id("conversation_id", F.concat("stamp", F.lit(":"), F.col("said.role"))).alias("id"), F.col("said.role").alias("role"), F.col("time").alias("created_at"), F.array(part("text", F.col("said.text"))).alias("content"), F.col("said.text").alias("text"), "time", "index", "half", "external_id")
-    rows = rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).withColumn("parent_id", F.lag("id").over(order))
-    convs = rows.groupBy("conversation_id", "external_id").agg(F.min("time").alias("created_at"), F.max("time").alias("updated_at"), F.count("*").alias("message_count"), F.min_by("text", "position").alias("_t"))
+    rows = both.select("conversation_id", "k", ids.message_id("conversation_id", F.concat("stamp", F.lit(":"), F.col("said.role"))).alias("id"), F.col("said.role").alias("role"), F.col("time").alias("created_at"), F.array(part("text", F.col("said.text"))).alias("content"), F.col("said.text").alias("text"), "time", "index", "half", "external_id")
+    # places inside a span of time, and after the spans before it
+    place = F.struct("time", "index", "half")
+    order, later = W.partitionBy("conversation_id", "k").orderBy("time", "index", "half"), W.partitionBy("conversation_id").orderBy("k")
+    held = rows.groupBy("conversation_id", "k").agg(F.count("*").alias("n"), F.max_by("id", place).alias("end"))
+    held = held.select("conversation_id", "k", F.coalesce(F.sum("n").over(later.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("end").over(later).alias("end"))
+    convs = rows.groupBy("conversation_id", "external_id").agg(F.min("time").alias("created_at"), F.max("time").alias("updated_at"), F.count("*").alias("message_count"))
+    # texts are compared among the turns that open a session alone: an aggregate of texts sorts its rows
+    convs = convs.join(turns.where(F.col("time") == F.col("first")).groupBy("conversation_id").agg(F.min_by("prompt", "index").alias("_t")), "conversation_id")
+    rows = rows.withColumn("_r", F.row_number().over(order) - 1).withColumn("_p", F.lag("id").over(order)).join(held, ["conversation_id", "k"])
+    rows = rows.withColumn("position", (F.col("before") + F.col("_r")).cast("long")).withColumn("parent_id", F.coalesce("_p", "end")).drop("k", "_r", "_p", "before", "end")
     line = F.element_at(F.split("_t", "\r?\n"), 1)
     out = convs.select(F.col("conversation_id").alias("id"), F.lit("gemini").alias("source"), "external_id", clip_line(line).alias("title"), "created_at", "updated_at", F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("current_leaf_id"), "message_count")
     return Imported(out, rows.drop("time", "index", "half", "external_id"), issues)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gistmill import registry
 from gistmill.functions import markup
+from gistmill.operators import sessions
 from gistmill.operators.topics import find_topics, topics_small
+from gistmill.sources import chats
 
 
 @pytest.fixture
@@ -56,3 +58,28 @@ def test_a_part_that_stays_whole_is_split_by_its_own_weight():
     order = np.lexsort((b, a))
     found = topics_small(60, a[order], b[order], np.ones(len(a)), 1e6, 10)
     assert np.unique(found, return_counts=True)[1].max() <= 10
+
+
+def test_no_window_over_all_events(spark, monkeypatch):
+    """Sessions that run over many spans and blocks of time, by key and over all, with each task's sort no larger than a block."""
+    monkeypatch.setattr(sessions, "BLOCK", 3)
+    steps = [0, 5, 30, 31, 30, 30, 29, 30, 30, 30, 30, 1, 400, 30, 30, 45, 10, 2000, 30, 30, 30, 30, 30]
+    at = [1_767_225_600 + 60 * sum(steps[: k + 1]) for k in range(len(steps))]
+    events = spark.createDataFrame([(u, t) for u in (1, None) for t in at], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    wanted, low, n = [], at[0], 0
+    for t, after in zip(at, [*at[1:], None], strict=True):
+        n += 1
+        if after is None or after - t > 1800:
+            wanted.append((low, t, n))
+            low, n = after, 0
+    cut = [F.unix_seconds("started").alias("a"), F.unix_seconds("ended").alias("b"), "n"]
+    assert sorted(tuple(r) for r in sessions.sessions(events).select(*cut).collect()) == [(a, b, 2 * n) for a, b, n in wanted]
+    assert sorted(tuple(r) for r in sessions.sessions(events, by=("user_id",)).where("user_id is null").select(*cut).collect()) == wanted
+    plan = sessions.sessions(events)._jdf.queryExecution().optimizedPlan().toString()
+    assert "session_window" not in plan and "MergingSessions" not in plan
+    record = F.to_json(F.struct(F.lit("Gemini Apps").alias("header"), F.concat(F.lit("Prompted q"), F.unix_seconds("ts").cast("string")).alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time")))
+    found = chats.gemini_records(events.where("user_id = 1").select(F.lit("f").alias("path"), F.unix_seconds("ts").alias("index"), record.alias("record")))
+    told = [r for r in found.messages.orderBy("created_at").collect()]
+    assert [r.position for r in told] == [k for _, _, n in wanted for k in range(n)]
+    assert [r.parent_id for r in told] == [None if r.position == 0 else p.id for r, p in zip(told, [None, *told], strict=False)]
+    assert sorted(r.message_count for r in found.conversations.collect()) == sorted(n for _, _, n in wanted)
