@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from gistmill import registry
 from gistmill.functions import markup
 from gistmill.operators import sessions
 from gistmill.operators.topics import find_topics, topics_small
-from gistmill.sources import chats
+from gistmill.sources import chats, documents
 
 
 @pytest.fixture
@@ -83,3 +84,12 @@ def test_no_window_over_all_events(spark, monkeypatch):
     assert [r.position for r in told] == [k for _, _, n in wanted for k in range(n)]
     assert [r.parent_id for r in told] == [None if r.position == 0 else p.id for r, p in zip(told, [None, *told], strict=False)]
     assert sorted(r.message_count for r in found.conversations.collect()) == sorted(n for _, _, n in wanted)
+
+
+def test_small_documents_leave_python_in_groups():
+    names = [f"{k}.json" for k in range(1300)]
+    files = pa.RecordBatch.from_pydict({"path": names, "relative": names, "content": [b"{" if k == 7 else b'{"a": %d}' % k for k in range(1300)]})
+    got = list(documents.raw_batches(iter([files])))
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(got) == 3 and [r["relative"] for r in rows] == names
+    assert rows[7]["reason"].startswith("it could not be read") and [r["raw"] for r in rows if not r["reason"]] == [[f"a: {k}"] for k in range(1300) if k != 7]
