@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,11 +157,16 @@ def linked_mentions(texts: DataFrame, names: list[str], text_col: str = "text")
     return texts.withColumn("found", find(text_col))
 
 
+@lru_cache(100_000)
+def _slot(word: str, size: int) -> int:
+    return int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % size
+
+
 def embed_text(text: str | None, size: int = 32) -> list[float]:
     """The offline default embedder: words counted in slots by their SHA-256, unit length."""
     v = [0.0] * size
-    for word in X.fold_text(text or ""):
-        v[int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % size] += 1.0
+    for word, times in Counter(X.fold_text(text or "")).items():
+        v[_slot(word, size)] += times
     n = math.sqrt(sum(x * x for x in v))
     return [x / n for x in v] if n else v
 
@@ -171,5 +178,6 @@ def embedded(texts: pd.Series) -> pd.Series:
 
 def embed(rows: DataFrame, cache: DataFrame, model: str = "hash", text_col: str = "text") -> DataFrame:
     """The cache (model, text_hash, vector) with vectors of the texts it lacked, each distinct text embedded once."""
-    new = rows.select(ids.text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")).dropDuplicates(["text_hash"]).join(cache.where(F.col("model") == model).select("text_hash"), "text_hash", "left_anti")
+    # known texts go before the distinct ones are told, so that they are not carried there
+    new = rows.select(ids.text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(cache.where(F.col("model") == model).select("text_hash"), "text_hash", "left_anti").dropDuplicates(["text_hash"])
     return cache.unionByName(new.select(F.lit(model).alias("model"), "text_hash", embedded("text").alias("vector")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gistmill import registry
 from gistmill.functions import markup, text
-from gistmill.operators import sessions
+from gistmill.operators import ask, sessions
 from gistmill.operators.topics import find_topics, topics_small
 from gistmill.sources import chats, documents
 
@@ -107,3 +107,8 @@ def test_folded_words_are_not_held_as_lists(spark):
     assert peak < 4 * texts.str.len().sum()
     rows = spark.createDataFrame([(" Ὀδός  straße_x ",), (None,), ("_",), ("A b",)], "t string").select(text.fold_words(F.col("t")).alias("w")).collect()
     assert [r.w for r in rows] == [["οδοσ", "strasse", "x"], [], [], ["a", "b"]]
+
+
+def test_each_word_is_hashed_once():
+    ask._slot.cache_clear()
+    assert ask.embed_text("one two one one") == ask.embed_text("one one two one") and ask._slot.cache_info().misses == 2
