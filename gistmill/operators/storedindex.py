@@ -13,25 +13,35 @@ own from the places of its terms.
 New documents become a new segment, deleted ones a table of tombstones, and `merge` makes one segment of all. The
 manifest is a table of versions, each written as one file at once; readers take the last whole version and keep it.
 
-A document that a third of all documents share a term with is no hot key: blocks are grouped by (term, range).
+A document that a third of all documents share a term with is no hot key: blocks are made for each (term, range). A task
+numbers the documents it reads and makes the blocks of a range from its tokens at once, so postings are never rows of a
+shuffle; only whole blocks are dealt out. A range ends at RANGE documents or RANGE_TOKENS tokens. `merge` moves whole
+blocks, too: a large range gets a new number, several small ones become one.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as X
 from gistmill.operators.textindex import K1, IDF_FLOOR, B
 from gistmill.operators.versions import Versions
-from gistmill.session import durable
+from gistmill.session import durable, stored
 
 RANGE_BITS = 12
 RANGE = 1 << RANGE_BITS
+#: Tokens at which a range ends, some 100 MB of a task, and bits of the number of a task's range.
+RANGE_TOKENS, SEQ_BITS = 1 << 21, 20
+#: The part of the rows that hold documents instead of a term.
+DOCS_PART = -1
 #: Places of one column end before those of the next begin.
 COLUMN_BITS = 30
 COLUMN = 1 << COLUMN_BITS
@@ -40,7 +50,8 @@ FIRST, NAMED = 32, 2000
 PARTS = 32
 MANIFEST = "kind string, name string, docs long, tokens long"
 LISTED = ("segment", "range", "offs", "tfs", "lens", "n", "max_tf", "min_len")
-BLOCKS = "segment string, part int, term string, range long, offs array<int>, tfs array<double>, lens array<int>, places array<array<long>>, n long, max_tf double, min_len int"
+ROWS = "term string, range long, offs array<int>, tfs array<double>, lens array<int>, places array<array<long>>, n long, max_tf double, min_len int"
+BLOCKS = f"segment string, part int, {ROWS}"
 
 
 def _part(term: Column, parts: int) -> Column:
@@ -52,13 +63,87 @@ def _name() -> str:
     return f"s{uuid.uuid4().hex}"
 
 
-def _blocks(postings: DataFrame, parts: int) -> DataFrame:
-    """Rows (term, doc, tf, len, places) as blocks."""
-    item = F.struct((F.col("doc") % RANGE).cast("int").alias("off"), "tf", F.col("len").cast("int").alias("len"), "places")
-    made = postings.groupBy("term", F.shiftright("doc", RANGE_BITS).alias("range")).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    x = F.col("x")
-    made = made.select(_part(F.col("term"), parts).alias("part"), "term", "range", x["off"].alias("offs"), x["tf"].alias("tfs"), x["len"].alias("lens"), x["places"].alias("places"), F.size(x).cast("long").alias("n"), F.array_max(x["tf"]).alias("max_tf"), F.array_min(x["len"]).alias("min_len"))
-    return made.repartition("part", F.pmod(F.col("range"), F.lit(4))).sortWithinPartitions("part", "term", "range")
+def _range_blocks(number: int, ids: pa.Array, cut: list[pa.Array], weights: list[float]) -> pa.RecordBatch:
+    """The blocks of one range: ids are its documents, cut the lists of tokens of each column. The first row holds the
+    documents themselves."""
+    sizes = [np.diff(c.offsets.to_numpy()) for c in cut]
+    lens = np.sum(sizes, axis=0, dtype=np.int64)
+    words = pa.chunked_array([c.flatten() for c in cut]).combine_chunks().dictionary_encode()
+    off = np.concatenate([np.repeat(np.arange(len(ids)), s) for s in sizes])
+    at = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + k * COLUMN for k, s in enumerate(sizes)])
+    weight = np.repeat(weights, [s.sum() for s in sizes])
+    key = words.indices.to_numpy().astype(np.int64) * len(ids) + off
+    order = np.argsort(key, kind="stable")
+    key, at, weight = key[order], at[order], weight[order]
+    post = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    term, off = key[post] // len(ids), key[post] % len(ids)
+    block = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
+    tf = np.add.reduceat(weight, post) if len(post) else np.empty(0)
+    most, least = (np.maximum.reduceat(tf, block), np.minimum.reduceat(lens[off], block)) if len(block) else (tf, lens[:0])
+
+    # the row of the documents comes first: its offsets and lengths, nothing else
+    n = len(ids)
+    bounds = np.r_[0, n, n + block[1:], n + len(post)] if len(block) else np.array([0, n])
+    blank = np.r_[0, 0, block[1:], len(post)] if len(block) else np.array([0, 0])
+
+    def lists(values: np.ndarray, kind: pa.DataType, at: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+
+    places = pa.ListArray.from_arrays(pa.array(np.r_[post, len(at)], pa.int32()), pa.array(at, pa.int64()))
+    made = {
+        "term": pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.take(pa.array(term[block])).cast(pa.string())]),
+        "range": pa.array(np.full(len(block) + 1, number), pa.int64()),
+        "offs": lists(np.r_[np.arange(n), off], pa.int32(), bounds),
+        "tfs": lists(tf, pa.float64(), blank),
+        "lens": lists(np.r_[lens, lens[off]], pa.int32(), bounds),
+        "places": pa.ListArray.from_arrays(pa.array(blank, pa.int32()), places),
+        "n": pa.array(np.diff(bounds), pa.int64()),
+        "max_tf": pa.array(np.r_[0.0, most], pa.float64()),
+        "min_len": pa.array(np.r_[lens.min(), least], pa.int32()),
+        "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(len(block) + 1, n)], pa.int32()), ids),
+    }
+    return pa.RecordBatch.from_pydict(made)
+
+
+def _cut_ranges(weights: list[float], most_docs: int, most_tokens: int):
+    """Rows (id, t0, t1, ...) of tokens to blocks, for mapInArrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << SEQ_BITS
+        held: list[pa.RecordBatch] = []
+        docs = tokens = 0
+
+        def made() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            columns = [c.combine_chunks() for c in rows.columns]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            return _range_blocks(number, columns[0], columns[1:], weights)
+
+        for batch in batches:
+            sums = np.cumsum(np.sum([np.diff(c.offsets.to_numpy()) for c in batch.columns[1:]], axis=0, dtype=np.int64))
+            at = 0
+            while at < len(sums):
+                before = sums[at - 1] if at else 0
+                # as many rows as there is room for, one at least if the range is empty
+                end = min(int(np.searchsorted(sums, before + most_tokens - tokens, "right")), at + most_docs - docs)
+                end = max(end, at + 1) if not docs else end
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+                    docs, tokens = docs + end - at, tokens + int(sums[end - 1] - before)
+                    at = end
+                if at < len(sums):
+                    yield made()
+                    number, held, docs, tokens = number + 1, [], 0, 0
+        if held:
+            yield made()
+
+    return run
+
+
+def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks by their part, in the order of terms."""
+    part = F.when(F.col("term").isNull(), DOCS_PART).otherwise(_part(F.col("term"), parts))
+    return blocks.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("range"), F.lit(4))).sortWithinPartitions("part", "term", "range")
 
 
 class StoredIndex:
@@ -118,13 +203,16 @@ class StoredIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id") -> None:
         """One more segment. An id that the index has already is added beside it: delete it first."""
         name = _name()
-        cut = [X.tokens(docs[c]).alias(f"t{k}") for k, c in enumerate(self.weights)]
-        rows = durable(docs.select(docs[id_col].alias("id"), *cut).withColumn("doc", F.monotonically_increasing_id()))
-        length = reduce(lambda a, b: a + b, [F.size(f"t{k}") for k in range(len(cut))]).cast("long")
-        rows.select("doc", "id", length.alias("length")).write.parquet(f"{self.root}/docs/segment={name}")
-        each = [rows.select("doc", length.alias("len"), F.lit(float(w)).alias("w"), F.posexplode(f"t{k}").alias("at", "term")).withColumn("at", F.col("at") + F.lit(k * COLUMN).cast("long")) for k, w in enumerate(self.weights.values())]
-        postings = reduce(DataFrame.unionByName, each).groupBy("term", "doc").agg(F.first("len").alias("len"), F.sum("w").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))
-        _blocks(postings, self.parts).write.partitionBy("part").parquet(f"{self.root}/postings/segment={name}")
+        path = f"{self.root}/postings/segment={name}"
+        # files are read again in the same order, so a task that is lost numbers its documents as before
+        texts = stored(docs.select(docs[id_col].alias("id"), *[docs[c].cast("string").alias(f"c{k}") for k, c in enumerate(self.weights)]))
+        cut = texts.select("id", *[X.tokens(F.col(f"c{k}")).alias(f"t{k}") for k in range(len(self.weights))])
+        kind = f"ids array<{texts.schema['id'].dataType.simpleString()}>"
+        made = cut.mapInArrow(_cut_ranges([float(w) for w in self.weights.values()], RANGE, RANGE_TOKENS), f"{ROWS}, {kind}")
+        _dealt(made, self.parts).write.partitionBy("part").parquet(path)
+        listed = self.spark.read.schema(f"part int, {ROWS}, {kind}").parquet(path).where(F.col("part") == DOCS_PART)
+        x = F.explode(F.arrays_zip("offs", "ids", "lens")).alias("x")
+        listed.select("range", x).select((F.col("range") * RANGE + F.col("x.offs")).alias("doc"), F.col("x.ids").alias("id"), F.col("x.lens").cast("long").alias("length")).write.parquet(f"{self.root}/docs/segment={name}")
         n, tokens = self.spark.read.parquet(f"{self.root}/docs/segment={name}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         self._commit([*self._kept(), ("segment", name, n, tokens)])
 
@@ -137,17 +225,49 @@ class StoredIndex:
             self._commit([*self._kept(), ("dead", name, -n, -tokens)])
 
     def merge(self) -> None:
-        """One segment of all live documents, made from the segments without their texts."""
+        """One segment of all live documents, made of the segments' blocks without their texts."""
         name = _name()
-        docs = durable(self.live().withColumn("new", F.monotonically_increasing_id()))
-        docs.select(F.col("new").alias("doc"), "id", "length").write.parquet(f"{self.root}/docs/segment={name}")
-        x = F.explode(F.arrays_zip("offs", "tfs", "lens", "places")).alias("x")
-        rows = self.blocks().select("segment", "term", "range", x).select("segment", "term", (F.col("range") * RANGE + F.col("x.offs")).alias("doc"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("len"), F.col("x.places").alias("places"))
-        moved = rows.join(docs.select("segment", "doc", "new"), ["segment", "doc"]).drop("doc").withColumnRenamed("new", "doc")
-        _blocks(moved, self.parts).write.partitionBy("part").parquet(f"{self.root}/postings/segment={name}")
-        n, tokens = docs.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        moves = stored(self._moves())  # a row for each range
+        to = ["segment", "range"]
+        live = self.live().withColumn("range", F.shiftright("doc", RANGE_BITS)).join(F.broadcast(moves.select(*to, "new", "base")), to)
+        live.select((F.col("new") * RANGE + F.col("base") + F.col("doc") % RANGE).alias("doc"), "id", "length").write.parquet(f"{self.root}/docs/segment={name}")
+
+        rows = self.blocks().where(F.col("part") != DOCS_PART).join(F.broadcast(moves), to)
+        whole = rows.where("gone is null")
+        # of a range with deleted documents, what is left: a mark for each of its documents
+        x = F.filter(F.arrays_zip("offs", "tfs", "lens", "places"), lambda x: ~F.get("gone", x["offs"]))
+        cut = rows.where("gone is not null").withColumn("x", x).where(F.size("x") > 0).withColumns({c: F.col("x")[c] for c in ("offs", "tfs", "lens", "places")})
+        cut = cut.withColumns({"n": F.size("offs").cast("long"), "max_tf": F.array_max("tfs"), "min_len": F.array_min("lens")}).drop("x")
+        base = F.col("base").cast("int")
+        rows = whole.unionByName(cut).withColumn("offs", F.when(base == 0, F.col("offs")).otherwise(F.transform("offs", lambda o: o + base)))
+        held = ["offs", "tfs", "lens", "places"]
+        alone = rows.where("alone").select("term", F.col("new").alias("range"), *held, "n", "max_tf", "min_len")
+        near = rows.where("not alone").groupBy("term", F.col("new").alias("range")).agg(F.array_sort(F.collect_list(F.struct("base", *held))).alias("x"), F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+        near = near.select("term", "range", *[F.flatten(F.col("x")[c]).alias(c) for c in held], "n", "max_tf", "min_len")
+        _dealt(alone.unionByName(near), self.parts).write.partitionBy("part").parquet(f"{self.root}/postings/segment={name}")
+        n, tokens = self.spark.read.parquet(f"{self.root}/docs/segment={name}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         self._commit([("segment", name, n, tokens)])
 
+    def _moves(self) -> DataFrame:
+        """(segment, range, new, base, alone, gone): where each range with live documents goes in a merge. Its documents
+        keep their order and gaps, from base on in the new range; alone: none else goes there. gone: for each of
+        its offsets, if the document there is deleted; null if none is."""
+        by, off = ["segment", F.shiftright("doc", RANGE_BITS).alias("range")], (F.col("doc") % RANGE).cast("int")
+        ranges = self.live().groupBy(*by).agg((F.max(off) + 1).alias("span"), F.sum("length").alias("tokens"))
+        dead = self.dead()
+        gone = F.lit(None).cast("array<boolean>")
+        if dead is not None:
+            ranges = ranges.join(dead.groupBy(*by).agg(F.collect_set(off).alias("_dead")), ["segment", "range"], "left")
+            gone = F.when(F.col("_dead").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(RANGE - 1)), lambda o: F.array_contains("_dead", o)))
+        # ranges of at most half the size go together until the half is passed, so none gets over the size
+        size = F.greatest(F.col("span").cast("long"), F.ceil(F.col("tokens") * RANGE / RANGE_TOKENS))
+        ranges = ranges.select("segment", "range", "span", gone.alias("gone"), size.alias("size")).withColumn("alone", F.col("size") > RANGE // 2)
+        order = Window.partitionBy("alone").orderBy("segment", "range")  # a row for each range
+        before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranges = ranges.withColumn("bin", F.when(F.col("alone"), 2 * (F.row_number().over(order) - 1)).otherwise(2 * F.floor(before / (RANGE // 2)) + 1).cast("long"))
+        into = Window.partitionBy("bin").orderBy("segment", "range").rowsBetween(Window.unboundedPreceding, -1)
+        return ranges.select("segment", "range", F.col("bin").alias("new"), F.coalesce(F.sum("span").over(into), F.lit(0)).cast("long").alias("base"), "alone", "gone")
+
     # search
 
     def _of(self, terms: Sequence[str]) -> DataFrame:

@@ -71,3 +71,31 @@ def test_a_query_opens_its_terms_partitions(spark, docs, tmp_path):
     index.add(docs)
     plan = index._of(["alpha"])._jdf.queryExecution().executedPlan().toString()
     assert "part" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,alpha)" in plan.split("PushedFilters: [")[1]
+
+
+def test_ranges_end_at_documents_and_tokens_and_small_ones_merge(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(storedindex, "RANGE_BITS", 6)
+    monkeypatch.setattr(storedindex, "RANGE", 64)
+    monkeypatch.setattr(storedindex, "RANGE_TOKENS", 300)
+    index = StoredIndex(spark, str(tmp_path), parts=4)
+    for k in range(4):
+        index.add(docs.where(F.col("doc_id") % 4 == k).repartition(3))
+    ranges = index.docs().groupBy("segment", (F.col("doc") / 64).cast("long").alias("range")).agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
+    assert ranges.count() > 12 and not ranges.where("n > 64 or tokens > 300").count()
+    dead = spark.range(0, 400, 7)
+    index.delete(dead)
+    index.merge()
+    assert ranges.count() > index.docs().select(F.shiftright("doc", 6)).distinct().count()
+    assert index.docs().select("doc").distinct().count() == index.docs().count() == 342
+    now = docs.where("doc_id % 7 <> 0")
+    for query in ("alpha the", "of_the", "мой"):
+        assert stored(index, query) == scan(now, query)
+
+
+def test_small_segments_become_one_range(spark, docs, tmp_path):
+    index = StoredIndex(spark, str(tmp_path), parts=4)
+    index.add(docs.where("doc_id < 20").repartition(3))
+    index.add(docs.where("doc_id >= 380").repartition(3))
+    index.merge()
+    assert index.docs().select(F.shiftright("doc", storedindex.RANGE_BITS)).distinct().count() == 1
+    assert stored(index, "of the") == scan(docs.where("doc_id < 20 or doc_id >= 380"), "of the")
