@@ -24,24 +24,41 @@ SOURCES_KEPT, SIMILAR, START_CHARS = 20, 0.85, 4
 TILE = 2000
 
 
-def mode_first_seen(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The most frequent value of each key; of equals, the one seen first."""
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(F.struct("chunk_id", "pos")).alias("_first"))
+def seen(rows: DataFrame, *by: str) -> DataFrame:
+    """How often each combination of values is in the rows, and where first: what the outputs below are counted from."""
+    return rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(F.struct("chunk_id", "pos")).alias("_first"))
+
+
+def _mode(found: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """mode_first_seen() from seen() rows."""
+    counted = found.groupBy(*keys, value).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     # max over (count, -first) has no negation for strings: the least (-count, first) is the same
     return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_first")).alias(name))
 
 
+def _ordered(found: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """ordered_distinct() from seen() rows."""
+    first = found.where(F.col(value) != "").groupBy(*keys, value).agg(F.min("_first").alias("_first"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def mode_first_seen(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The most frequent value of each key; of equals, the one seen first."""
+    return _mode(seen(rows, *keys, value), keys, value, name)
+
+
 def ordered_distinct(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Distinct non-empty values of each key in order of first appearance."""
-    first = rows.where(F.col(value) != "").groupBy(*keys, value).agg(F.min(F.struct("chunk_id", "pos")).alias("_first"))
-    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+    return _ordered(seen(rows.where(F.col(value) != ""), *keys, value), keys, value, name)
 
 
 def entities(mentions: DataFrame) -> DataFrame:
     """mentions (chunk_id, pos, name, type, description) to entities: key, id, name, type, descriptions, mentions, text."""
-    rows = mentions.withColumn("key", X.entity_key(F.col("name"))).where("key <> ''").withColumn("type", X.canonical_type(F.col("type")))
-    base = rows.groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
-    out = base.join(mode_first_seen(rows, ["key"], "name", "name"), "key").join(mode_first_seen(rows, ["key"], "type", "type"), "key").join(ordered_distinct(rows, ["key"], "description", "descriptions"), "key", "left")
+    key = X.entity_key(F.col("name"))
+    base = mentions.select(key.alias("key"), "chunk_id").where("key <> ''").groupBy("key").agg(F.countDistinct("chunk_id").alias("mentions"))
+    # names are few beside their mentions: keys and types are made after the count
+    found = durable(seen(mentions, "name", "type", "description")).withColumn("key", key).where("key <> ''").withColumn("type", X.canonical_type(F.col("type")))
+    out = base.join(_mode(found, ["key"], "name", "name"), "key").join(_mode(found, ["key"], "type", "type"), "key").join(_ordered(found, ["key"], "description", "descriptions"), "key", "left")
     out = out.withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>")))
     summary = F.when(F.size("descriptions") == 1, F.element_at("descriptions", 1)).otherwise("")
     return out.select(ids.entity_id("key").alias("id"), "key", "name", "type", "descriptions", "mentions", summary.alias("summary"), F.concat("name", F.when(summary != "", F.concat(F.lit(": "), summary)).otherwise("")).alias("text"))
@@ -55,9 +72,13 @@ def mention_edges(mentions: DataFrame) -> DataFrame:
 def relationships(items: DataFrame) -> DataFrame:
     """items (chunk_id, pos, source, target, description, strength) to RELATED_TO pairs: weight, count, descriptions. A
     pair is directed; one whose ends share a key is dropped."""
-    rows = items.withColumn("a", X.entity_key(F.col("source"))).withColumn("b", X.entity_key(F.col("target"))).where("a <> b")
-    sums = rows.groupBy("a", "b").agg(F.sum(X.strength(F.col("strength"))).alias("weight"), F.count("*").alias("count"))
-    return sums.join(ordered_distinct(rows, ["a", "b"], "description", "descriptions"), ["a", "b"], "left").select("a", "b", ids.entity_id("a").alias("src"), F.lit("RELATED_TO").alias("type"), ids.entity_id("b").alias("dst"), "weight", "count", F.coalesce("descriptions", F.array().cast("array<string>")).alias("descriptions"))
+    strength = X.strength(F.col("strength"))
+    pairs = items.groupBy("source", "target", "description").agg(F.sum(strength).alias("_w"), F.count("*").alias("_n"), F.min(F.struct("chunk_id", "pos")).alias("_first"))
+    pairs = pairs.withColumn("a", X.entity_key(F.col("source"))).withColumn("b", X.entity_key(F.col("target"))).where("a <> b")
+    by_text = pairs.groupBy("a", "b", "description").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    told = F.collect_list(F.when(F.col("description") != "", F.struct("_first", F.col("description").alias("v"))))
+    made = by_text.groupBy("a", "b").agg(F.sum("_w").alias("weight"), F.sum("_n").alias("count"), F.transform(F.array_sort(told), lambda x: x["v"]).alias("descriptions"))
+    return made.select("a", "b", ids.entity_id("a").alias("src"), F.lit("RELATED_TO").alias("type"), ids.entity_id("b").alias("dst"), "weight", "count", "descriptions")
 
 
 def facts(items: DataFrame) -> DataFrame:
