@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions.text import squeeze
 from gistmill.operators import store
+from gistmill.session import stored
 
 VERSION = 1
 DERIVED = ("Chunk", "Entity", "Topic", "Fact")
@@ -42,7 +43,9 @@ def read(spark: SparkSession, target: str, schemas: dict[str, str]) -> dict[str,
 def restore(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A graph with the archive's; archived edges with an end in neither are dropped."""
     every = store.upsert(nodes, new_nodes, ["id"])
-    return every, store.upsert(edges, store.with_both_ends(new_edges, every.select("id")), ["src", "type", "dst"])
+    # ids and edges lie in files before they meet: no task holds the buffers of what made them and of the joins at once
+    ids, new_edges = stored(every.select("id")), stored(new_edges)
+    return every, store.upsert(edges, store.with_both_ends(new_edges, ids), ["src", "type", "dst"])
 
 
 def merge_cache(cache: DataFrame, archived: DataFrame, keys: list[str]) -> DataFrame:
