@@ -105,7 +105,8 @@ def search_postings(index: DataFrame, stats: DataFrame, query: str, limit: int |
         return F.size(reduce(F.array_intersect, at)) if len(at) > 1 else F.size(at[0])
 
     hits = [F.sum(F.col("weight") * of(p)).alias(f"h{k}") for k, p in enumerate(words)]
-    weighted = places.groupBy("id").agg(*hits)
+    # read twice below, and few numbers beside the index
+    weighted, stats = durable(places.groupBy("id").agg(*hits)), durable(stats.select("id", "length"))
     n = weighted.agg(*[F.count_if(F.col(f"h{k}") > 0).alias(f"n{k}") for k in range(len(words))])
     total = stats.agg(F.count("*").alias("docs"), F.avg("length").alias("average"))
     found = weighted.where(reduce(lambda a, b: a & b, [F.col(f"h{k}") > 0 for k in range(len(words))]))
