@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gistmill import registry
 from gistmill.functions import markup, text
-from gistmill.operators import ask, sessions
+from gistmill.operators import ask, sessions, topics
 from gistmill.operators.topics import find_topics, topics_small
 from gistmill.sources import chats, documents
 
@@ -64,6 +64,31 @@ def test_a_part_that_stays_whole_is_split_by_its_own_weight():
     assert np.unique(found, return_counts=True)[1].max() <= 10
 
 
+def test_links_to_few_communities_are_added_up_without_a_sort(monkeypatch):
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 400, 6000), rng.integers(0, 400, 6000)
+    a, b = np.r_[a, b][np.r_[a != b, a != b]], np.r_[b, a][np.r_[a != b, a != b]]
+    group, w, movers = np.arange(400) % 9 * 11, rng.integers(1, 5, len(a)).astype(float), rng.random(400) < 0.5
+    monkeypatch.setattr(topics, "CELLS", 0)
+    sorted_ones, settled = topics._near(movers, group, a, b, w), topics.settle(group, a, b, w, np.bincount(a, w, 400), w.sum())
+    monkeypatch.setattr(topics, "CELLS", 4)
+    monkeypatch.setattr(topics, "_links", None)
+    assert (settled == topics.settle(group, a, b, w, np.bincount(a, w, 400), w.sum())).all() and len(np.unique(settled)) > 1
+    assert all((x == y).all() for x, y in zip(sorted_ones, topics._near(movers, group, a, b, w), strict=True))
+
+
+def test_large_scopes_are_dealt_to_many_tasks(spark):
+    sizes = spark.createDataFrame([(s, 1000 if s < 60 else 3) for s in range(500)], "scope long, n long")
+    assert topics.settle_tasks(sizes, 3000) == 480 and topics.settle_tasks(sizes, 30_000) == 4
+    assert sizes.repartition(480, "scope").where("n = 1000").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_lines_without_a_part_link_nothing(spark, tmp_path):
+    lines = [(o, p) for o in range(3) for p in (10, 12, 14, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in registry.queries()["topics_communities"](spark, str(tmp_path)).collect()] == [("p000010", 3)]
+
+
 def test_no_window_over_all_events(spark, monkeypatch):
     """Sessions that run over many spans and blocks of time, by key and over all, with each task's sort no larger than a block."""
     monkeypatch.setattr(sessions, "BLOCK", 3)
