@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import itertools
 import json
 import lzma
 import tarfile
@@ -11,16 +13,21 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gistmill.session import durable
+from gistmill.session import durable, stored
 
 ROW = "path string, member string, depth int, content binary, issue string"
 ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("depth", pa.int32()), ("content", pa.binary()), ("issue", pa.string())])
+#: What _split_sums and _split_records give.
+SUMS = pa.schema([("path", pa.string()), *((name, pa.int64()) for name in ("block", "quotes", "d0", "d1"))])
+PARTS = pa.schema([("split", pa.int64()), ("k", pa.int64()), ("closed", pa.bool_()), ("text", pa.binary())])
 #: Limits of an unpacked archive: nesting, bytes and files.
 MAX_NESTED, MAX_BYTES, MAX_FILES = 4, 2_000_000_000, 100_000
 ISSUE = "label string, reason string"
@@ -179,48 +186,150 @@ def json_items(files: DataFrame) -> DataFrame:
     return json_rows(files).where("issue is null").drop("issue")
 
 
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b'"[]{}' + b"\\")] = True
+DEPTH = np.zeros(256, np.int64)
+DEPTH[list(b"[{")], DEPTH[list(b"]}")] = 1, -1
+
+
+def _signs(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, quote, depth) of the quotes and brackets in pieces of JSON, without those behind a backslash."""
+    cells = values.cast(pa.large_binary())
+    _, ends, data = cells.buffers()
+    ends = np.frombuffer(ends, np.int64)[cells.offset : cells.offset + len(cells) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    at = np.flatnonzero(SIGNS[data])
+    sign, piece = data[at], np.searchsorted(ends - ends[0], at, "right") - 1
+    slash, place = sign == ord("\\"), np.arange(len(at))
+    beside = np.zeros(len(at), bool)  # directly behind a backslash of the same piece
+    beside[1:] = slash[:-1] & (at[1:] == at[:-1] + 1) & (piece[1:] == piece[:-1])
+    # the place in its row of backslashes; behind an odd number of them a sign is escaped
+    row = place - np.maximum.accumulate(np.where(slash & ~beside, place, -1)) + 1 if len(at) else place
+    free = ~slash
+    free[1:] &= ~(beside[1:] & (row[:-1] % 2 == 1))
+    return piece[free], sign[free] == ord('"'), DEPTH[sign[free]]
+
+
+def _runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch cut where a column changes."""
+    key = batch.column(column).to_numpy(zero_copy_only=False)
+    cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else []
+    for start, end in itertools.pairwise(cuts):
+        yield batch.slice(start, end - start)
+
+
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, block, value) to (path, block, quotes, d0, d1): a split's quotes, and what it adds to the depth if it begins
+    outside of a string and if inside one."""
+    at, sums = None, [0, 0, 0]
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": [at[0]], "block": [at[1]], "quotes": [sums[0]], "d0": [sums[1]], "d1": [sums[2]]}, schema=SUMS)
+
+    for batch in batches:
+        for of_path in _runs(batch, "path"):
+            for run in _runs(of_path, "block"):
+                here = (run.column("path")[0].as_py(), run.column("block")[0].as_py())
+                if at not in (None, here):
+                    yield told()
+                    sums = [0, 0, 0]
+                at = here
+                _, quote, depth = _signs(run.column("value"))
+                odd = (sums[0] + np.cumsum(quote)) % 2 == 1
+                sums = [sums[0] + int(quote.sum()), sums[1] + int(depth[~odd].sum()), sums[2] + int(depth[odd].sum())]
+    if at:
+        yield told()
+
+
+def _split_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(split, inside, deep, value) to (split, k, closed, text): what a split holds of records, in order; the last of them
+    may not be closed in it."""
+    at, k, odd, deep, rest = None, 0, 0, 0, []
+
+    def left() -> Iterator[pa.RecordBatch]:
+        if rest:
+            yield pa.RecordBatch.from_pydict({"split": [at], "k": [k], "closed": [False], "text": [b",".join(rest)]}, schema=PARTS)
+
+    for batch in batches:
+        for run in _runs(batch, "split"):
+            here = run.column("split")[0].as_py()
+            if here is None:
+                raise RuntimeError("a file was cut otherwise in the first reading")
+            if here != at:
+                yield from left()
+                at, k, rest = here, 0, []
+                odd, deep = run.column("inside")[0].as_py(), run.column("deep")[0].as_py()
+            values = run.column("value").cast(pa.binary())
+            piece, quote, depth = _signs(values)
+            inside = (odd + np.cumsum(quote)) % 2 == 1
+            odds = (odd + np.cumsum(np.bincount(piece[quote], minlength=len(values)))) % 2
+            deeps = deep + np.cumsum(np.bincount(piece, depth * ~inside, len(values)).astype(np.int64))
+            odd, deep = int(odds[-1]), int(deeps[-1])
+            stops = np.flatnonzero((odds == 0) & (deeps <= 1)) + 1
+            if len(stops):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), values)
+                text = pc.binary_join(lists, b",")
+                if rest:
+                    text = pa.concat_arrays([pa.array([b",".join([*rest, text[0].as_py()])], pa.binary()), text[1:]])
+                n, rest = len(stops), []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at), pa.int64()), pa.array(np.arange(k, k + n), pa.int64()), pa.array(np.ones(n, bool)), text], schema=PARTS)
+                k += n
+            rest += values[stops[-1] if len(stops) else 0 :].to_pylist()
+    yield from left()
+
+
 def json_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((path, index, record), issues) of files that hold one JSON array each, of any size: a file is read in splits.
 
     Spark's text reader cuts a file at commas, split by split. Whether a comma ends a record depends on all before it: on
-    being inside a string, and on the depth of brackets. Of each piece the quotes' parity and the brackets outside of
-    strings are counted for both states in which it may begin; sums over a split, then over a file's splits, then back
-    inside the split say which state holds. So no task reads more than a split, and a record that lies across splits is
-    put together by its number. Backslashes stand inside strings alone, so an escaped quote is known without the state.
+    being inside a string, and on the depth of brackets. A first reading counts the quotes of each split and the brackets
+    outside of strings for both states in which it may begin; sums over a file's splits say which state holds. A second
+    reading puts the records together; only what a split begins and ends with is shuffled, to be joined by the record's
+    number. So no task reads more than a split, and what is broadcast is a row a split. Backslashes stand inside strings
+    alone, so an escaped quote is known without the state.
     """
+    with _same_splits(spark):
+        return _json_records(spark, path)
+
+
+@contextlib.contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are cut alike in every reading, though executors come and go."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None):
+        yield
+        return
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
+def _json_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.option("lineSep", ",").option("recursiveFileLookup", "true").text(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
-
-    def brackets(odd: int) -> Column:
-        """Opened less closed ones in every other part."""
-        text = F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
-        return (F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))).cast("long")
-
-    rows = durable(rows.withColumn("quotes", F.size(parts).cast("long") - 1).withColumn("even", brackets(0)).withColumn("odd", brackets(1)))
-    here, before = W.partitionBy("path", "block").orderBy("at"), W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    earlier = here.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("q", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
-    # what a piece adds to the depth if its split begins outside a string, and if inside one
-    rows = rows.withColumn("d0", F.when(F.col("q") == 0, F.col("even")).otherwise(F.col("odd"))).withColumn("d1", F.when(F.col("q") == 0, F.col("odd")).otherwise(F.col("even")))
-    blocks = rows.groupBy("path", "block").agg((F.sum("quotes") % 2).alias("quotes"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    blocks = blocks.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
-    blocks = blocks.select("path", "block", "inside", F.coalesce(F.sum(F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1"))).over(before), F.lit(0)).alias("deep"))
-    rows = rows.join(blocks, ["path", "block"])
-    deep = F.col("deep") + F.sum(F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1"))).over(here.rowsBetween(W.unboundedPreceding, 0))
-    rows = durable(rows.withColumn("ends", (((F.col("inside") + F.col("q") + F.col("quotes")) % 2 == 0) & (deep <= 1)).cast("long")).select("path", "block", "at", "value", "ends"))
-    whole = rows.groupBy("path", "block").agg(F.sum("ends").alias("n"))
-    whole = whole.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rows = rows.join(whole, ["path", "block"]).withColumn("index", F.col("first") + F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
-    made = rows.groupBy("path", "index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), ",").alias("text"), F.every(F.is_valid_utf8("value")).alias("coded"))
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.mapInArrow(_split_sums, "path string, block long, quotes long, d0 long, d1 long")
+    states = sums.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    deep = F.coalesce(F.sum(F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1"))).over(before), F.lit(0))
+    states = stored(states.select("path", "block", "inside", deep.alias("deep"), F.monotonically_increasing_id().alias("split")))
+    known = rows.join(F.broadcast(states), ["path", "block"], "left").select("split", "inside", "deep", "value")
+    parts = stored(known.mapInArrow(_split_records, "split long, k long, closed boolean, text binary"))
+    counted = parts.groupBy("split").agg(F.count_if("closed").alias("n"), F.max("k").alias("end")).join(states, "split")
+    splits = durable(counted.select("split", "path", "block", "end", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    placed = parts.join(F.broadcast(splits), "split").withColumn("index", F.col("first") + F.col("k"))
+    outer = (F.col("k") == 0) | (F.col("k") == F.col("end"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.col("text").cast("string").alias("text")))), lambda x: x["text"]), ",")
+    made = durable(placed.where(outer).groupBy("path", "index").agg(joined.alias("text")))
     ends = made.groupBy("path").agg(F.max("index").alias("last"), F.min_by("text", "index").alias("head"), F.max_by("text", "index").alias("tail"))
-    ends = ends.select("path", "last", F.regexp_like("head", F.lit(r"^\ufeff?\s*\[")).alias("opens"), F.regexp_like("tail", F.lit(r"\]\s*$")).alias("closes"))
-    made = made.join(ends, "path")
+    ends = durable(ends.select("path", "last", F.regexp_like("head", F.lit(r"^\ufeff?\s*\[")).alias("opens"), F.regexp_like("tail", F.lit(r"\]\s*$")).alias("closes")))
+    made = made.unionByName(placed.where(~outer).select("path", "index", F.col("text").cast("string").alias("text"))).join(F.broadcast(ends), "path")
     text = F.when(F.col("index") == 0, F.regexp_replace("text", r"^\ufeff?\s*\[", "")).otherwise(F.col("text"))
     text = F.when((F.col("index") == F.col("last")) & F.col("closes"), F.regexp_replace(text, r"\]\s*$", "")).otherwise(text)
-    made = durable(made.withColumn("record", F.regexp_replace(text, r"^\s+|\s+$", "")))
+    made = made.withColumn("record", F.btrim(text, F.lit(" \t\n\x0b\f\r")))
     empty = (F.col("last") == 0) & (F.col("record") == "")
-    why = F.when(~F.col("opens"), "should hold a list").when(~F.col("coded"), "not valid UTF-8").when(~F.col("closes") & (F.col("index") == F.col("last")), "not valid JSON").when(F.try_parse_json("record").isNull(), "not valid JSON")
+    why = F.when(~F.col("opens"), "should hold a list").when(~F.is_valid_utf8("text"), "not valid UTF-8").when(~F.col("closes") & (F.col("index") == F.col("last")), "not valid JSON").when(F.try_parse_json("record").isNull(), "not valid JSON")
     made = made.where(~(empty & F.col("opens") & F.col("closes"))).withColumn("why", why)
     label = F.concat(F.element_at(F.split("path", "/"), -1), F.when(F.col("opens"), F.concat(F.lit("#"), F.col("index").cast("string"))).otherwise(F.lit("")))
     return made.where("why is null").select("path", "index", "record"), made.where("why is not null").select(label.alias("label"), F.col("why").alias("reason")).distinct()

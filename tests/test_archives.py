@@ -7,8 +7,10 @@ import random
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 
+from gistmill import session
 from gistmill.sources import files, intake
 
 
@@ -109,3 +111,20 @@ def test_json_arrays_are_read_in_splits(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want | {("c.json", 0): {"a": 1}}
     assert told == {("c.json#1", "not valid UTF-8"), ("c.json#2", "not valid JSON"), ("c.json#3", "not valid JSON"), ("d.json", "should hold a list")}
+
+
+def test_pieces_of_json_records_are_not_stored_or_shuffled(spark, tmp_path, monkeypatch):
+    """Records of many commas: what is kept on the way is a row a record or a split, not one a comma."""
+    kept = []
+    for name in ("durable", "stored"):
+        monkeypatch.setattr(files, name, lambda df, fn=getattr(session, name): kept.append(fn(df)) or kept[-1], raising=False)
+    (tmp_path / "a.json").write_text(json.dumps([{"t": ", ".join("ab" * 50)} for _ in range(40)]))
+    records, issues = files.json_records(spark, str(tmp_path))
+    assert records.count() == 40 and issues.count() == 0 and {len(json.loads(r.record)["t"]) for r in records.collect()} == {298}
+    assert max(df.count() for df in kept) <= 41
+
+
+def test_another_cut_of_a_file_is_no_silent_loss():
+    batch = pa.RecordBatch.from_pydict({"split": [None], "inside": [None], "deep": [None], "value": [b"[1"]}, schema=pa.schema([("split", pa.int64()), ("inside", pa.int64()), ("deep", pa.int64()), ("value", pa.binary())]))
+    with pytest.raises(RuntimeError):
+        list(files._split_records(iter([batch])))
