@@ -4,7 +4,8 @@ A shard is one binary value: a header, the token offset of each of its documents
 as few bits as the largest id of the vocabulary needs. Widths are the same everywhere, so id k of a shard lies at bit
 k * width: readers unpack a block, or any slice, with numpy alone. Shards are kept as rows of a Parquet table in the
 shared folder, in ascending document order: rows are dealt by range of the id, sorted inside each range, and cut
-into shards of bounded size; `first` is the shard's place in the whole sequence.
+into shards of bounded size; `inside` is the shard's place in its range. To read them, only the ranges' places in the
+whole sequence (one number for each) are sent to the tasks; shards are read where they lie.
 
 Encoding: the text is cut at ASCII white space so that no pre-token of the byte-level pattern is cut (a single space
 goes with the word after it), and each distinct piece of a worker's documents is encoded once, by the file's ranks. Texts with other white
@@ -164,7 +165,7 @@ class Pieces:
 
 
 def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shards of docs in ascending order of their ids, as rows (part, shard, n_ids, data). Texts are dealt by ranges of
+    """Shards of docs in ascending order of their ids, as rows (part, shard, inside, n_ids, data). Texts are dealt by ranges of
     the id before they are encoded, since the sampling of the ranges reads its input once more."""
     B.tune(docs.sparkSession)
     width = bit_width(tokenizer(path).get_vocab_size())
@@ -172,21 +173,22 @@ def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, pieces = TaskContext.get().partitionId(), 0, Pieces(path)
+        part, shard, inside, pieces = TaskContext.get().partitionId(), 0, 0, Pieces(path)
         for _, keys, texts in B.blocked(batches):
             made = [np.append(x, END_ID).astype(np.uint32) for at in range(0, len(texts), 2048) for x in pieces.encode(texts[at : at + 2048])]
             lengths = np.array([len(x) for x in made], np.int64)
             group = np.maximum(np.cumsum(lengths) - 1, 0) // SHARD_IDS
             for g in np.unique(group):
                 own = np.flatnonzero(group == g)
+                n_ids = int(lengths[own].sum())
                 data = write_shard([keys[k] for k in own], lengths[own], np.concatenate([made[k] for k in own]), width)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([int(lengths[own].sum())], pa.int64()), pa.array([data], pa.binary())], names=["part", "shard", "n_ids", "data"])
-                shard += 1
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (part, shard, inside, n_ids)), pa.array([data], pa.binary())], names=["part", "shard", "inside", "n_ids", "data"])
+                shard, inside = shard + 1, inside + n_ids
 
     n = B.buckets(docs.sparkSession)
     first, tie = F.col("id").asc_nulls_first(), F.col("tie")
     dealt = B.texts(docs, id_col, text_col).withColumn("tie", F.crc32("text")).repartitionByRange(n, first, tie).sortWithinPartitions(first, tie)
-    return dealt.select("id", "text").mapInArrow(run, "part long, shard long, n_ids long, data binary")
+    return dealt.select("id", "text").mapInArrow(run, "part long, shard long, inside long, n_ids long, data binary")
 
 
 def read_tokens(spark: SparkSession, target: str) -> DataFrame:
@@ -196,21 +198,21 @@ def read_tokens(spark: SparkSession, target: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range, whatever the documents
     starts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("part_start"))
-    index = shards.select("part", "shard", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    index = index.join(starts, "part").select("part", "shard", (F.col("inside") + F.col("part_start")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row["data"])
+            for first, data in zip(batch.column("first").to_pylist(), batch.column("data"), strict=True):
+                shard = Shard(data.as_buffer())
                 for at in range(0, len(shard.doc_ids), 512):
                     end = min(at + 512, len(shard.doc_ids))
                     yield pa.RecordBatch.from_arrays(
-                        [B.array_to_ids(shard.doc_ids[at:end], shard.valid[at:end]), pa.array(shard.offsets[at:end] + row["first"], pa.int64()), pa.array(np.diff(shard.offsets[at : end + 1]), pa.int64()), pa.array([shard.document(k).astype("<u4").tobytes() for k in range(at, end)], pa.binary())],
+                        [B.array_to_ids(shard.doc_ids[at:end], shard.valid[at:end]), pa.array(shard.offsets[at:end] + first, pa.int64()), pa.array(np.diff(shard.offsets[at : end + 1]), pa.int64()), pa.array([shard.document(k).astype("<u4").tobytes() for k in range(at, end)], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return shards.join(index, ["part", "shard"]).select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # without the hint both sides are shuffled before their sizes are known: the ids once more on disk
+    placed = shards.join(F.broadcast(starts), "part").select((F.col("inside") + F.col("part_start")).alias("first"), "data")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3(docs: DataFrame, path: str) -> DataFrame:

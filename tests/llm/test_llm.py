@@ -173,6 +173,22 @@ def test_many_small_shards(docs, monkeypatch):
     assert rows(got.select("doc_id", "start", "n_tokens", F.crc32("ids"))) == want
 
 
+def test_shards_are_read_where_they_lie(spark, docs):
+    """Whatever their size: only the places of the ranges move."""
+    path = binary.shared_dir(spark) + "/in_place"
+    binary.shards(docs, BYTE).write.mode("overwrite").parquet(path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = binary.read_tokens(spark, path)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert not any("Exchange hashpartitioning" in line and "data" in line for line in plan.splitlines())
+        assert sorted(tuple(r) for r in got.select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()) == sorted(tuple(r) for r in binary.op3(docs, BYTE).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_op4_tells_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
