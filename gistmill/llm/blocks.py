@@ -47,12 +47,12 @@ def release() -> None:
         trim(0)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, codec: pa.Codec = ZSTD) -> bytes:
     """Arrays to bytes: a header of types and lengths, then each array's byte planes, zstd-compressed."""
     parts = [struct.pack("<H", len(arrays))]
     for a in arrays:
         planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
-        body = ZSTD.compress(planes, asbytes=True) if planes else b""
+        body = codec.compress(planes, asbytes=True) if planes else b""
         parts += [struct.pack("<8sQQ", a.dtype.str.encode(), len(a), len(body)), body]
     return b"".join(parts)
 

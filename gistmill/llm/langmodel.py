@@ -21,6 +21,7 @@ not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ BLOCK_BYTES, BLOCK_DOCS = 12_000_000, 40_000
 CONTEXTS, STEPS, BINS, WORD_BINS = 24, 2, 40, 96
 ROUNDS = 60
 END = b"\n"  # no word: words hold no white space
+#: 1 for each byte of a word, 0 for white space.
+INSIDE = bytes(c not in b" \t\n\v\f\r" for c in range(256))
+#: Hashes and counts hardly get smaller at higher levels.
+FAST = pa.Codec("zstd", 1)
 WORDS, PAIRS, TRIPLES, TOTALS = 1, 2, 3, 9
 
 
@@ -53,6 +58,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    return B.pack(*arrays, codec=FAST)
+
+
 def previous(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The code before each token; the end token (code 0) before a text's first."""
     out = np.empty_like(codes)
@@ -61,42 +70,81 @@ def previous(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each text's number of tokens, the codes of all tokens in order of first appearance, and the words of the codes; the
+    end token, code 0, closes every text."""
+    joined = b"\n".join([*texts, b""]).lower()
+    inside = np.frombuffer(joined.translate(INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the last byte is white space, so that words come to an end
+    if len(inside) and inside[0]:
+        edges = np.concatenate([[0], edges])
+    offsets = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])])
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(joined, np.uint8)[inside])]).dictionary_encode()
+    ends = np.searchsorted(edges[::2], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+    lengths = np.diff(ends, prepend=0) + 1
+    word = np.ones(int(lengths.sum()), bool)
+    word[np.cumsum(lengths) - 1] = False
+    codes = np.zeros(len(word), np.int32)
+    codes[word] = words.indices.to_numpy() + 1
+    _, cuts, letters = words.dictionary.buffers()
+    cut = np.frombuffer(cuts, np.int64, len(words.dictionary) + 1).tolist() if len(words) else [0]
+    held = letters.to_pybytes() if len(words) else b""
+    return lengths.astype(np.int32), codes, [END, *(held[x:y] for x, y in itertools.pairwise(cut))]
+
+
 def split_blocks(folds: int, remainder: int):
-    def packed(name: str, ids: list, lengths: list[int], codes: list[np.ndarray], table: B.Codes) -> Iterator[pa.RecordBatch]:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, table), np.uint64, len(table))
+    def block(name: str, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        lengths, codes, words = coded(texts)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         train = np.array([not is_held_out(i, folds, remainder) for i in ids], np.uint8)
-        yield from B.rows(name, 0, [(0, B.pack(*B.ids_to_array(ids), np.array(lengths, np.int32), train, hashes, *B.pack_codes(np.concatenate(codes))))])
-
-    def fresh() -> tuple[list, list, list, B.Codes]:
-        table = B.Codes()
-        table[END]
-        return [], [], [], table
+        yield from B.rows(name, 0, [(0, packed(*B.ids_to_array(ids), lengths, train, hashes, *B.pack_codes(codes)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, size = B.partition(), 0, 0
-        ids, lengths, codes, table = fresh()
+        ids: list = []
+        texts: list[bytes] = []
         for i, raw in B.pairs(batches):
             if ids and (size + len(raw) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
-                yield from packed(f"{part}-{n}", ids, lengths, codes, table)
-                (ids, lengths, codes, table), size, n = fresh(), 0, n + 1
-            words = raw.lower().split()
-            words.append(END)
+                yield from block(f"{part}-{n}", ids, texts)
+                ids, texts, size, n = [], [], 0, n + 1
             ids.append(i)
-            lengths.append(len(words))
-            codes.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+            texts.append(raw)
             size += len(raw)
         if ids:
-            yield from packed(f"{part}-{n}", ids, lengths, codes, table)
+            yield from block(f"{part}-{n}", ids, texts)
 
     return run
 
 
+def distinct(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them; keys are from 0 to below the bound. Where a key and
+    its position fit into one number, numbers are sorted, which is several times as fast as sorting positions by key."""
+    bits = len(keys).bit_length()
+    if bound.bit_length() + bits > 63:
+        found, at = np.unique(keys, return_inverse=True)
+        return found, at.astype(np.int32)
+    both = np.sort((keys << bits) | np.arange(len(keys)))
+    position = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    at = np.empty(len(both), np.int32)
+    at[position] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], at
+
+
 def placed(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by (bucket, hash within it), and where each bucket starts. A block and its answers agree on it."""
-    bucket = (h >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)
-    # the bucket rises with the hash, so sorting the hash sorts both
-    order = np.argsort(h, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+    # the bucket rises with the hash, so sorting the hash sorts both; its upper bits with the position are one number
+    bits = np.uint64(len(h).bit_length())
+    both = np.sort((h >> bits << bits) | np.arange(len(h), dtype=np.uint64))
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    risen = h[order]
+    if (risen[1:] < risen[:-1]).any():  # two hashes that differ in the lower bits alone
+        order = np.argsort(h, kind="stable")
+        risen = h[order]
+    bucket = (risen >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)
+    return order, np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
 
 
 def shares(part: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
@@ -112,8 +160,7 @@ class Block:
         self.n_buckets = n_buckets
         self.replies = sorted(replies, key=lambda r: r[:2])
         n = len(self.hashes)
-        pairs, at = np.unique(previous(self.codes, self.lengths).astype(np.int64) * n + self.codes, return_inverse=True)
-        self.at = at.astype(np.int32)
+        pairs, self.at = distinct(previous(self.codes, self.lengths).astype(np.int64) * n + self.codes, n * n)
         self.first, self.last = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         self.counted = np.repeat(self.train, self.lengths).astype(bool)
         if self.replies:
@@ -132,7 +179,7 @@ class Block:
         inside = np.ones(len(self.codes), bool)
         inside[np.cumsum(self.lengths) - self.lengths] = False
         own = np.flatnonzero(inside)
-        found, at = np.unique(self.at[own - 1].astype(np.int64) * len(self.first) + self.at[own], return_inverse=True)
+        found, at = distinct(self.at[own - 1].astype(np.int64) * len(self.first) + self.at[own], len(self.first) ** 2)
         self.context, self.suffix = (found // max(len(self.first), 1)).astype(np.int32), (found % max(len(self.first), 1)).astype(np.int32)
         self.tri_at = np.full(len(self.codes), -1, np.int32)
         self.tri_at[own] = at
@@ -168,11 +215,12 @@ class Block:
     def tokens(self) -> tuple[np.ndarray, ...]:
         """Places of the distinct (trigram, bigram) pairs of tokens: for each the trigram's place or -1, the bigram's, and
         for each token the pair's place."""
-        both = np.where(self.tri_at >= 0, self.tri_at.astype(np.int64) + len(self.first), self.at)
-        found, at = np.unique(both, return_inverse=True)
-        tri = np.where(found >= len(self.first), found - len(self.first), -1)
-        pair = np.where(tri >= 0, self.suffix[np.maximum(tri, 0)] if len(self.suffix) else 0, found)
-        return tri, pair, at
+        starts = np.cumsum(self.lengths) - self.lengths
+        opening, where = np.unique(self.at[starts], return_inverse=True)
+        tri = np.concatenate([np.full(len(opening), -1), np.arange(len(self.suffix))])
+        at = self.tri_at + len(opening)
+        at[starts] = where
+        return tri, np.concatenate([opening, self.suffix]), at
 
 
 def request_rows(block: str, kind: int, h: np.ndarray, n: np.ndarray, extra: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -184,7 +232,7 @@ def request_rows(block: str, kind: int, h: np.ndarray, n: np.ndarray, extra: np.
     for b in range(n_buckets):
         if cuts[b] < cuts[b + 1]:
             x, y = cuts[b], cuts[b + 1]
-            yield from B.rows(block, kind, [(b, B.pack(h[x : x + 1], np.diff(h[x:y]), n[x:y], extra[x:y]))])
+            yield from B.rows(block, kind, [(b, packed(h[x : x + 1], np.diff(h[x:y]), n[x:y], extra[x:y]))])
 
 
 def requests(n_buckets: int):
@@ -209,15 +257,20 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not rows:
                 continue
             keys = [np.cumsum(np.concatenate([x[0], x[1]]), dtype=np.uint64) for _, x in rows]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total, extra = (np.bincount(at, weights=np.concatenate([x[k] for _, x in rows]), minlength=len(distinct)).astype(np.int64) for k in (2, 3))
+            every = np.concatenate(keys)
+            order = np.argsort(every, kind="stable")  # merges what each block has sorted
+            new = np.diff(every[order], prepend=np.uint64(0)) > 0
+            new[0] = True
+            at = np.empty(len(every), np.int64)
+            at[order] = np.cumsum(new) - 1
+            total, extra = (np.bincount(at, weights=np.concatenate([x[k] for _, x in rows])).astype(np.int64) for k in (2, 3))
             cut = 0
             for (block, _), own in zip(rows, keys, strict=True):
                 index = at[cut : cut + len(own)]
-                yield from B.rows(block, kind, [(bucket, B.pack(total[index], extra[index]))])
+                yield from B.rows(block, kind, [(bucket, packed(total[index], extra[index]))])
                 cut += len(own)
             if kind == WORDS:
-                yield from B.rows("", TOTALS, [(bucket, B.pack(np.array([total.sum(), (total > 0).sum()], np.int64)))])
+                yield from B.rows("", TOTALS, [(bucket, packed(np.array([total.sum(), (total > 0).sum()], np.int64)))])
 
 
 def opened(rows: pa.Table, n_buckets: int) -> tuple[str, Block]:
@@ -276,7 +329,7 @@ def cells(n_buckets: int, total: int):
         triple = np.where(tri >= 0, own.tri_counts()[tri] if len(own.tri_own) else 0, 1) - 1
         before = np.where(tri >= 0, own.pair_count[own.context[tri]] if len(own.context) else 0, 1) - 1
         word = own.word_count[own.first[pair]] - 1
-        cell, where = np.unique(cell_of(bucket_of(before, word), np.where(before > 0, shares(triple, before), 0.0), np.where(word > 0, shares(own.pair_count[pair] - 1, word), 0.0), (own.word_count[own.last[pair]] - 1) / max(total - 1, 1)), return_inverse=True)
+        cell, where = distinct(cell_of(bucket_of(before, word), np.where(before > 0, shares(triple, before), 0.0), np.where(word > 0, shares(own.pair_count[pair] - 1, word), 0.0), (own.word_count[own.last[pair]] - 1) / max(total - 1, 1)), 2 * CONTEXTS * BINS * BINS * WORD_BINS)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(np.bincount(where, weights=n, minlength=len(cell)), pa.float64())})
 
     return run

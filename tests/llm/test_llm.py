@@ -497,6 +497,55 @@ def test_op9_scores_equal_brute_force(spark, odd, monkeypatch, size):
     assert np.allclose(sorted(r.score for r in langmodel.score(odd).collect()), sorted(lm_brute(rows_odd)), atol=1e-6)
 
 
+def test_op9_codes_equal_split():
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer("aAb \t\n\v\f\r\x1c\x00\u00a0\u00c4".encode(), np.uint8)
+    given = [[b""], [b"", b""], [b" A b\x0bA ", b"", b"a"], [b"\n\n", b"x\n"]] + [[rng.choice(letters, int(rng.integers(0, 12))).tobytes() for _ in range(int(rng.integers(1, 5)))] for _ in range(500)]
+    for texts in given:
+        table = blocks.Codes()
+        table[b"\n"]
+        toks = [raw.lower().split() + [b"\n"] for raw in texts]
+        codes = [table[w] for ws in toks for w in ws]
+        lengths, got, words = langmodel.coded(texts)
+        assert (lengths.tolist(), got.tolist(), words) == ([len(ws) for ws in toks], codes, list(table))
+
+
+def test_op9_distinct_and_placed_equal_plain_sorts():
+    rng = np.random.default_rng(12)
+    for bound in (1, 3, 1000, 2**40, 2**62):
+        for n in (0, 1, 50):
+            keys = rng.integers(0, bound, n)
+            for x, want in zip(langmodel.distinct(keys, bound), np.unique(keys, return_inverse=True), strict=True):
+                assert (x == want).all()
+    for n in (0, 1, 5, 50):
+        h = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for twin in (0, 1, 2):  # equal, and different in the lowest bits alone
+            if n > 3:
+                h[1], h[3] = h[2] ^ np.uint64(twin), h[0] ^ np.uint64(twin)
+            order, cuts = langmodel.placed(h, 7)
+            assert (order == np.argsort(h, kind="stable")).all() and (cuts[0], cuts[-1]) == (0, n)
+
+
+def test_op9_sorts_no_positions_of_all_tokens(monkeypatch):
+    """Sorting the positions of a block's tokens by key took a third of the time; keys with their positions are sorted."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 100)).encode() for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+    sizes, unique = [0], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: (sizes.append(len(x)), unique(x, *a, **k))[1])
+    made = list(langmodel.split_blocks(7, 2)(iter([batch])))
+    assert sum(len(x) for x in made) == 1
+    own = langmodel.Block(made[0].column("payload")[0].as_py())
+    own.pair_all = np.full(len(own.first), 10**6)
+    own.triples()
+    tri, pair, at = own.tokens()
+    assert max(sizes) <= len(texts) and len(at) == 40 * 101
+    starts = np.cumsum(own.lengths) - own.lengths
+    assert (pair[at] == own.at).all() and (tri[at] == own.tri_at).all() and set(np.flatnonzero(tri[at] < 0)) == set(starts)
+
+
 def test_op9_probabilities_sum_to_one():
     """Over all words and the unknown one, for seen and unseen contexts."""
     total, vocabulary = 10, 4
