@@ -18,6 +18,7 @@ the order of their texts' hashes; other columns are not read; an empty table wri
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -39,7 +40,10 @@ MAGIC, END_ID = b"TOKPACK1", 0
 #: A shard closes at about so many ids; ids of a block of the index.
 SHARD_IDS, BLOCK_IDS = 2_000_000, 4096
 HELD_PIECES = 400_000
-PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+(?= [^ \t-\r])|[ \t-\r]+")
+#: Texts are encoded together up to so many bytes.
+CHUNK_BYTES = 6_000_000
+#: 1 for each byte of a word, 0 for white space.
+INSIDE = bytes(c not in b" \t\n\v\f\r" for c in range(256))
 ODD = re.compile("[^\\S \t-\r]")
 
 
@@ -133,6 +137,42 @@ def specials(path: str) -> tuple[bytes, ...]:
     return tuple(t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each text's number of pieces, the codes of all pieces, and the distinct pieces. A piece is a word with the space
+    before it; white space before that, and its last byte where that is no space; or white space at a text's end."""
+    joined = b"".join(texts)
+    data, inside = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(INSIDE), bool)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    mark = np.zeros(len(data) + 1, bool)
+    mark[1:-1] = inside[:-1] & ~inside[1:]
+    words = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    begins = np.zeros(len(data) + 1, bool)
+    begins[0] = begins[ends] = True
+    words = words[~begins[words]]
+    mark[words - 1] = True
+    mark[words[data[words - 1] != 32]] = True
+    at = np.flatnonzero(mark | begins)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(joined)]).dictionary_encode()
+    _, cuts, letters = pieces.dictionary.buffers()
+    bounds = np.frombuffer(cuts, np.int64, len(pieces.dictionary) + 1).tolist() if len(pieces) else [0]
+    held = letters.to_pybytes() if len(pieces) else b""
+    return np.diff(np.searchsorted(at, ends), prepend=0), pieces.indices.to_numpy(), [held[x:y] for x, y in itertools.pairwise(bounds)]
+
+
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts of up to CHUNK_BYTES or a single longer one, in their order."""
+    held: list[bytes] = []
+    size = 0
+    for raw in texts:
+        if held and size + len(raw) > CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield held
+
+
 class Pieces:
     """Ids of pieces; each distinct piece is encoded once until the table is full and starts anew."""
 
@@ -141,27 +181,26 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.lengths, self.flat, self.offsets = B.Codes(), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.table, self.lengths, self.flat, self.offsets = B.Codes(), np.empty(0, np.int64), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.table) > HELD_PIECES:
             self.clear()
-        codes: list[np.ndarray | None] = []
-        for raw in texts:
-            if any(s in raw for s in specials(self.path)) or (not raw.isascii() and ODD.search(raw.decode("utf-8", "replace"))):
-                codes.append(None)
-            else:
-                pieces = PIECE.findall(raw)
-                codes.append(np.fromiter(map(self.table.__getitem__, pieces), np.int64, len(pieces)))
+        whole = [any(s in raw for s in specials(self.path)) or (not raw.isascii() and ODD.search(raw.decode("utf-8", "replace")) is not None) for raw in texts]
+        counts, codes, pieces = cut([raw for raw, odd in zip(texts, whole, strict=True) if not odd])
+        codes = np.fromiter(map(self.table.__getitem__, pieces), np.int64, len(pieces))[codes]
         encoder = piece_encoder(self.path)
-        made = [encoder.encode_ordinary(p.decode("utf-8", "replace")) for p in list(self.table)[len(self.lengths) :]]
+        made = [encoder.encode_ordinary(p.decode("utf-8", "replace")) for p in itertools.islice(self.table, len(self.lengths), None)]
         n = np.fromiter(map(len, made), np.int64, len(made))
         self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in made for i in x), np.int64, int(n.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(n.sum()))])
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        whole = tokenizer(self.path)
-        return [np.array(whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64) if c is None else B.ragged_take(self.offsets, self.flat, c)[1] for c, raw in zip(codes, texts, strict=True)]
+        n, ids = B.ragged_take(self.offsets, self.flat, codes)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
+        plain = iter(np.split(ids, ends[:-1]))
+        library = tokenizer(self.path)
+        return [np.array(library.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) if odd else next(plain) for odd, raw in zip(whole, texts, strict=True)]
 
 
 def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +214,7 @@ def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         part, shard, inside, pieces = TaskContext.get().partitionId(), 0, 0, Pieces(path)
         for _, keys, texts in B.blocked(batches):
-            made = [np.append(x, END_ID).astype(np.uint32) for at in range(0, len(texts), 2048) for x in pieces.encode(texts[at : at + 2048])]
+            made = [np.append(x, np.uint32(END_ID)) for chunk in chunks(texts) for x in pieces.encode(chunk)]
             lengths = np.array([len(x) for x in made], np.int64)
             group = np.maximum(np.cumsum(lengths) - 1, 0) // SHARD_IDS
             for g in np.unique(group):

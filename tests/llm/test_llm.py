@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -152,6 +153,27 @@ def test_op3_equals_the_library(odd, docs):
         assert sorted(map(tuple, binary.op3(df, BYTE).collect()), key=lambda r: r[1]) == want
 
 
+def test_op3_pieces_equal_the_pattern():
+    pattern = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+(?= [^ \t-\r])|[ \t-\r]+")
+    rng = np.random.default_rng(14)
+    letters = np.frombuffer(b"ab  \t\n\r\x1c\xc2", np.uint8)
+    given = [[], [b""], [b"", b""], [b"a", b"", b"b"], [b" ", b"x"], [b"x", b" y"], [b"x ", b"y"], [b"\n", b"\n"]]
+    for texts in given + [[rng.choice(letters, int(rng.integers(0, 10))).tobytes() for _ in range(int(rng.integers(1, 5)))] for _ in range(1000)]:
+        want = [pattern.findall(raw) for raw in texts]
+        counts, codes, pieces = binary.cut(texts)
+        assert counts.tolist() == [len(x) for x in want] and [pieces[k] for k in codes] == [p for x in want for p in x]
+
+
+def test_op3_chunks_hold_all_texts_in_order(docs, monkeypatch):
+    want = rows(binary.op3(docs, BYTE))
+    monkeypatch.setattr(binary, "CHUNK_BYTES", 10)
+    given = [b"", b"x" * 30, b"", b"abc", b"de", b"fghijk", b""]
+    assert [t for c in binary.chunks(given) for t in c] == given and all(sum(map(len, c)) <= 10 or len(c) == 1 for c in binary.chunks(given) if c[0] != b"")
+    small = binary.Pieces(BYTE)
+    apart = [x for c in binary.chunks([(r.text or "").encode() for r in docs.collect()]) for x in small.encode(c)]
+    assert sorted(len(x) + 1 for x in apart) == sorted(r[2] for r in want)
+
+
 def test_shards_unpack_at_random(monkeypatch):
     rng = np.random.default_rng(3)
     for width in (1, 5, 8, 13, 16, 17, 32):
