@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gistmill import registry
 from gistmill.functions import markup, text
-from gistmill.operators import ask, sessions, topics
+from gistmill.operators import ask, graph, sessions, topics
 from gistmill.operators.topics import find_topics, topics_small
+from gistmill.plans import queries
 from gistmill.sources import chats, documents
 
 
@@ -137,3 +138,50 @@ def test_folded_words_are_not_held_as_lists(spark):
 def test_each_word_is_hashed_once():
     ask._slot.cache_clear()
     assert ask.embed_text("one two one one") == ask.embed_text("one one two one") and ask._slot.cache_info().misses == 2
+
+
+def test_weights_kept_from_round_to_round_settle_alike(monkeypatch):
+    """The table of nodes and communities is brought up to date by the nodes that moved, and gives the rounds of the sums made anew."""
+    rng = np.random.default_rng(3)
+    i, j = np.unique(np.sort(rng.integers(0, 300, (9000, 2)), axis=1), axis=0).T
+    i, j, w = *(x[i != j] for x in (i, j)), rng.integers(1, 4, len(i)).astype(float)[i != j]
+    a, b, w = np.r_[i, j], np.r_[j, i], np.r_[w, w]
+    order = np.argsort(a * 300 + b)
+    a, b, w, moves = a[order], b[order], w[order], []
+    move = topics._Table.move
+    monkeypatch.setattr(topics._Table, "move", lambda table, movers: moves.append(1) or move(table, movers))
+    found = []
+    for cells in (0, 4, 1000):
+        monkeypatch.setattr(topics, "CELLS", cells)
+        found.append(topics.settle(np.arange(300), a, b, w, np.bincount(a, w, 300), w.sum()))
+        assert bool(moves) == bool(cells)
+    assert all((x == found[0]).all() for x in found) and 1 < len(np.unique(found[0])) < 150
+
+
+def test_links_sum_alike_whatever_the_size_of_keys():
+    a, c, w = np.array([3, 1, 3, 1]), np.array([5, 2, 5, 9]), np.array([1.0, 2, 4, 8])
+    for far in (1, 2**28):
+        got = topics._links(a * far, c * far, w)
+        assert [list(x) for x in got] == [[far, far, 3 * far], [2 * far, 9 * far, 5 * far], [2, 8, 5]]
+
+
+def test_trees_keep_the_components_of_many_links(spark):
+    links = [(1000 * c + i, 1000 * c + j) for c in range(4) for i in range(30) for j in range(i)]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(3)
+    trees = graph.forest(edges, 400)
+    assert trees.count() * 2 < len(links)
+    roots = {r.id: r.root for r in graph.connected_components(trees).collect()}
+    assert roots == {1000 * c + i: 1000 * c for c in range(4) for i in range(30)}
+    path = spark.createDataFrame([(k, k + 1) for k in range(1000)], "a long, b long")
+    assert {r.root for r in graph.connected_components(graph.forest(path, 50), 50).collect()} == {0}
+
+
+def test_links_of_topics_carry_keys(spark, tmp_path, monkeypatch):
+    """Links are stored and settled by keys; only members get names, and a topic is named by the least of them."""
+    lines = [(o, p) for o in range(2) for p in (999_998, 999_999, 1_000_000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept, keep = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df: kept.append(df.dtypes) or keep(df))
+    assert [tuple(r) for r in registry.queries()["topics_communities"](spark, str(tmp_path)).collect()] == [("p1000000", 3)]
+    assert kept == [[("a", "bigint"), ("b", "bigint"), ("weight", "bigint")]]
+    assert [tuple(r) for r in registry.queries()["topics_hold"](spark, str(tmp_path)).collect()] == [(0, 0, 0, 0)]
