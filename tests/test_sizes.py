@@ -185,3 +185,22 @@ def test_links_of_topics_carry_keys(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in registry.queries()["topics_communities"](spark, str(tmp_path)).collect()] == [("p1000000", 3)]
     assert kept == [[("a", "bigint"), ("b", "bigint"), ("weight", "bigint")]]
     assert [tuple(r) for r in registry.queries()["topics_hold"](spark, str(tmp_path)).collect()] == [(0, 0, 0, 0)]
+
+
+def test_whole_weights_are_sorted_in_one_number():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 500, 8000), rng.integers(0, 500, 8000)
+    group, movers = rng.integers(0, 500, 500), rng.random(500) < 0.5
+    for most in (2, 2**30):
+        w = rng.integers(1, most, len(a)).astype(float)
+        got, wanted = topics._near_whole(movers, group, a, b, w), topics._near(movers, group, a, b, w)
+        assert all((x == y).all() for x, y in zip(got, wanted, strict=True))
+    assert topics._near_whole(movers, group, a, b, w * 2.0**22) is None
+    assert [len(x) for x in topics._near_whole(np.zeros(500, bool), group, a, b, w)] == [0, 0, 0]
+
+
+def test_close_numbers_are_placed_as_far_ones():
+    a, b = np.array([7, -3, 9]), np.array([9, 7, 0])
+    for far in (1, 10**6):
+        names, i, j = graph.numbered_ends(a * far, b * far)
+        assert list(names) == [-3 * far, 0, 7 * far, 9 * far] and list(i) == [2, 0, 3] and list(j) == [3, 2, 1]
